@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring_dedup
+from . import quality, simhash, substring_dedup
 from .common import documents
 
 
@@ -16,7 +16,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op2_quality_rules": op2_quality_rules,
 }
