@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, substring_dedup
+from . import quality, simhash, substring_dedup, token_counts
 from .common import documents
 
 
@@ -20,8 +20,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_token_counts": op4_token_counts,
 }
