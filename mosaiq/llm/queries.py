@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality, simhash, substring_dedup, token_counts
+from . import license_scan, pii, quality, simhash, substring_dedup, token_counts
 from .common import documents
 
 
@@ -28,10 +28,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op3_pii": op3_pii,
 }
