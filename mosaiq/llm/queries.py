@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, pii, quality, simhash, substring_dedup, token_counts
+from . import langid, license_scan, pii, quality, simhash, substring_dedup, token_counts
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -39,4 +43,5 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op10_license_scan": op10_license_scan,
     "op3_pii": op3_pii,
+    "op6_language_id": op6_language_id,
 }
