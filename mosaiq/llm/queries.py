@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, pii, quality, simhash, substring_dedup, token_counts
+from . import langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -44,4 +48,5 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op3_pii": op3_pii,
     "op6_language_id": op6_language_id,
+    "op1_packing": op1_packing,
 }
