@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts
+from . import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -49,4 +53,5 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op6_language_id": op6_language_id,
     "op1_packing": op1_packing,
+    "op7_decontamination": op7_decontamination,
 }
