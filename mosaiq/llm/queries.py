@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts
+from . import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import documents
 
 
@@ -44,6 +44,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -54,4 +58,5 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op1_packing": op1_packing,
     "op7_decontamination": op7_decontamination,
+    "op9_url_filter": op9_url_filter,
 }
