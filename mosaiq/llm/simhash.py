@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .common import ASCII_LOWER, cut, id_text
@@ -220,7 +221,7 @@ def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     # the least (id, fp) of each component, null ids last
     winner = where.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w"))
     winner = cut(winner.select(F.col("w.fp").alias("__wfp"), F.col("w.doc_id").alias("__wid")), "winners")
-    schema = docs.schema.add("__fp", "long")
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
     tagged = docs.mapInArrow(_with_fp, schema)
     same = (F.col("__fp") == F.col("__wfp")) & F.col("doc_id").eqNullSafe(F.col("__wid"))
     kept = tagged.join(winner, same, "left_semi")
