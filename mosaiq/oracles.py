@@ -20,6 +20,8 @@ pixels AS (
               THEN max(seed) FILTER (rn = 1) ELSE 0 END AS INTEGER) AS label
   FROM ranked WHERE rn <= 2 GROUP BY image_id, y, x)"""
 
+MOSAIC = RASTER.replace("1.5", "0")
+
 POINTS = """
 points AS (
   SELECT CAST(p_partkey // 40 AS VARCHAR) AS image_id, CAST(p_partkey % 40 + 1 AS INTEGER) AS label,
@@ -110,9 +112,9 @@ SELECT image_id, label, area, round(cy, 6) AS centroid_y, round(cx, 6) AS centro
 SELECT image_id, label, round(major, 5) AS major_axis_length, round(minor, 5) AS minor_axis_length, round(major / (minor + 1e-6), 5) AS aspect_ratio,
        round(CASE WHEN major > 0 THEN 1 - minor / (major + 1e-6) ELSE 0 END, 5) AS elongation FROM ax""",
     "region_orientation": _with(RASTER, GEOMETRY, MOMENTS) + """
-SELECT image_id, label, round(CASE WHEN area < 2 THEN 0 ELSE 0.5 * atan2(2 * mu11, mu20 - mu02) END, 5) AS orientation,
-       round(CASE WHEN mu20 = mu02 THEN CASE WHEN mu11 < 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE 0.5 * atan2(-2 * mu11, mu02 - mu20) END, 5) AS inertia_orientation
-FROM mom""",
+SELECT image_id, label, round(CASE WHEN area < 2 THEN 0 ELSE 0.5 * atan2(2 * b, a - c) END, 5) + 0.0 AS orientation,
+       round(CASE WHEN a = c THEN CASE WHEN b > 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE 0.5 * atan2(2 * b, a - c) END, 5) + 0.0 AS inertia_orientation
+FROM (SELECT image_id, label, area, round(mu20, 6) AS a, round(mu02, 6) AS c, round(mu11, 6) + 0.0 AS b FROM mom)""",
     "region_hu": _with(RASTER, GEOMETRY, MOMENTS) + """
 , e AS (SELECT image_id, label, mu20 / area ** 2 AS n20, mu02 / area ** 2 AS n02, mu11 / area ** 2 AS n11, mu30 / area ** 2.5 AS n30, mu03 / area ** 2.5 AS n03,
              mu21 / area ** 2.5 AS n21, mu12 / area ** 2.5 AS n12 FROM mom)
@@ -122,7 +124,7 @@ SELECT image_id, label, round(n20 + n02, 6) AS hu_moments_0, round((n20 - n02) *
        round((n20 - n02) * ((n30 + n12) ** 2 - (n21 + n03) ** 2) + 4 * n11 * (n30 + n12) * (n21 + n03), 6) + 0 AS hu_moments_5,
        round((3 * n21 - n03) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2), 6) + 0 AS hu_moments_6
 FROM e""",
-    "adjacency_edges": _with(RASTER, NEAR, ADJACENCY) + """
+    "adjacency_edges": _with(MOSAIC, NEAR, ADJACENCY) + """
 SELECT image_id, src, dst, contact FROM adj""",
     "boundary_pixels": _with(RASTER, NEAR) + """
 SELECT image_id, label, count(*) AS boundary_pixels FROM inner_boundary GROUP BY image_id, label""",
@@ -132,13 +134,13 @@ SELECT image_id, count(*) AS total_boundary_length FROM inner_boundary GROUP BY
 SELECT image_id, label, round(perimeter, 6) AS perimeter, round(CASE WHEN perimeter > 0 THEN 4 * pi() * area / (perimeter ** 2 + 1e-6) ELSE 0 END, 6) AS compactness,
        round(CASE WHEN perimeter > 0 THEN 4 * pi() * area / perimeter ** 2 ELSE 0 END, 6) AS shape_compactness, round(perimeter / sqrt(area), 6) AS perimeter_area_ratio,
        round(perimeter / (2 * sqrt(pi() * area)), 6) AS slenderness FROM perim JOIN geo USING (image_id, label)""",
-    "neighbor_area_stats": _with(RASTER, NEAR, GEOMETRY, ADJACENCY) + """
+    "neighbor_area_stats": _with(MOSAIC, NEAR, GEOMETRY, ADJACENCY) + """
 SELECT g.image_id, g.label, round(coalesce(avg(n.area), 0), 6) AS neighbor_area_mean, round(coalesce(stddev_pop(n.area), 0), 6) AS neighbor_area_std,
        round(coalesce(stddev_pop(n.area) / (avg(n.area) + 1e-6), 0), 6) AS neighbor_size_variation
 FROM geo g LEFT JOIN adj a ON a.image_id = g.image_id AND a.src = g.label LEFT JOIN geo n ON n.image_id = g.image_id AND n.label = a.dst GROUP BY g.image_id, g.label""",
-    "topology_features": _with(RASTER, NEAR, ADJACENCY, POINTS, DELAUNAY) + """
-, both AS (SELECT image_id, src, dst FROM edges UNION ALL SELECT image_id, dst, src FROM edges),
-al AS (SELECT image_id, src, dst, TRUE AS a FROM adj), vo AS (SELECT image_id, src, dst, TRUE AS v FROM both),
+    "topology_features": _with(MOSAIC, NEAR, ADJACENCY, POINTS, DELAUNAY) + """
+, two AS (SELECT image_id, src, dst FROM edges UNION ALL SELECT image_id, dst, src FROM edges),
+al AS (SELECT image_id, src, dst, TRUE AS a FROM adj), vo AS (SELECT image_id, src, dst, TRUE AS v FROM two),
 f AS (SELECT image_id, src, count(a) AS na, count(v) AS nv, count(*) FILTER (a AND v) AS common FROM al FULL JOIN vo USING (image_id, src, dst) GROUP BY image_id, src)
 SELECT p.image_id, p.label, coalesce(na, 0) AS neighbor_count, CAST(coalesce(na, 0) >= 3 AS DOUBLE) AS triple_junction, coalesce(nv, 0) AS voronoi_neighbors,
        coalesce(common, 0) AS neighbor_consistency, coalesce(na - common, 0) AS extra_neighbors, coalesce(nv - common, 0) AS missing_neighbors
@@ -184,3 +186,101 @@ tri AS (SELECT image_id, u, count(*) AS t FROM (
 SELECT p.image_id, round(avg(CASE WHEN k >= 2 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END), 6) AS avg_clustering
 FROM points p LEFT JOIN deg d ON d.image_id = p.image_id AND d.src = p.label LEFT JOIN tri r ON r.image_id = p.image_id AND r.u = p.label GROUP BY p.image_id""",
 }
+
+EVENTS_LONG = """
+ev AS (SELECT event_id, event_type AS sample, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rater, value, CAST(user_id AS DOUBLE) AS usr FROM events),
+long AS (SELECT sample, rater, 'value' AS feature, value AS v FROM ev UNION ALL SELECT sample, rater, 'user', usr FROM ev UNION ALL SELECT sample, rater, 'flat', 5.0 FROM ev)"""
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_LONG = "long AS (" + " UNION ALL ".join(f"SELECT l_returnflag AS sample, '{m}' AS feature, CAST({m} AS DOUBLE) AS v FROM lineitem" for m in MEASURES) + ")"
+
+ANOVA = """
+grp AS (SELECT feature, sample, count(*) AS n, avg(v) AS m, var_pop(v) AS var FROM long WHERE v IS NOT NULL GROUP BY feature, sample HAVING count(*) >= 2),
+grand AS (SELECT feature, sum(n * m) / sum(n) AS gm FROM grp GROUP BY feature),
+res AS (SELECT g.feature, CASE WHEN max(abs(var)) > 1e-8 THEN (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * var) / (sum(n) - count(*))) END AS f,
+          CAST(count(*) - 1 AS DOUBLE) AS df1, CAST(sum(n) - count(*) AS DOUBLE) AS df2 FROM grp g JOIN grand USING (feature) GROUP BY g.feature)"""
+
+DEGREES = _with(POINTS, DELAUNAY) + """
+, deg AS (SELECT p.image_id, p.label, count(e.src) AS degree FROM points p
+  LEFT JOIN (SELECT image_id, src, weight FROM edges UNION ALL SELECT image_id, dst, weight FROM edges) e ON e.image_id = p.image_id AND e.src = p.label AND e.weight <= 50
+  GROUP BY p.image_id, p.label)
+"""
+
+GAPS = "gaps AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS DOUBLE) END AS usr FROM events)"
+
+ORACLES |= {
+    "rater_index": "SELECT event_id, event_type AS sample, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rater FROM events",
+    "icc3k": _with(EVENTS_LONG) + """
+, r AS (SELECT * FROM long WHERE rater <= 8), k AS (SELECT feature, count(DISTINCT rater) AS k FROM r GROUP BY feature),
+c AS (SELECT r.* FROM r JOIN k USING (feature) JOIN (SELECT feature, sample, count(*) AS n FROM r GROUP BY feature, sample) s ON s.feature = r.feature AND s.sample = r.sample AND s.n = k.k),
+w AS (SELECT feature, sample, v, avg(v) OVER (PARTITION BY feature, sample) AS ms, avg(v) OVER (PARTITION BY feature, rater) AS mr, avg(v) OVER (PARTITION BY feature) AS m FROM c),
+t AS (SELECT feature, any_value(k) AS k, count(DISTINCT sample) AS n, sum((ms - m) ** 2) AS ssb, sum((v - ms - mr + m) ** 2) AS sse FROM w JOIN k USING (feature) GROUP BY feature)
+SELECT feature, round(CASE WHEN ssb > 0 THEN (ssb / (n - 1) - sse / ((n - 1) * (k - 1))) / (ssb / (n - 1)) END, 6) AS icc FROM t""",
+    "anova_f": "WITH " + LINE_LONG + "," + ANOVA + " SELECT feature, round(f, 6) AS f, df1, df2 FROM res",
+    "levene_f": "WITH " + LINE_LONG.replace("long AS", "raw AS") + """
+, md AS (SELECT feature, sample, quantile_cont(v, 0.5) AS q FROM raw GROUP BY feature, sample),
+long AS (SELECT feature, sample, abs(v - q) AS v FROM raw JOIN md USING (feature, sample)),""" + ANOVA + " SELECT feature, round(f, 6) AS f FROM res",
+    "sample_means": "SELECT l_returnflag, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in MEASURES) + " FROM lineitem GROUP BY l_returnflag",
+    "variance_filter": " UNION ALL ".join(
+        f"SELECT '{m}' AS feature, round(var_pop({m}), 6) AS variance, var_pop({m}) > 0 AND max({m}) > min({m}) AS kept FROM lineitem" for m in MEASURES
+    ) + " UNION ALL SELECT 'constant', 0.0, FALSE",
+    "corr_matrix": """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT 'd' || a.i AS feature_a, 'd' || b.i AS feature_b, round(covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0), 6) AS corr
+FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""",
+    "feature_target_corr": " UNION ALL ".join(
+        f"SELECT '{f or 'flat'}' AS feature, '{t}' AS target, " + (f"round(covar_pop({f}, {t}) / nullif(stddev_pop({f}) * stddev_pop({t}), 0), 6)" if f else "CAST(NULL AS DOUBLE)") + " AS corr" + (" FROM lineitem" if f else "")
+        for f in ("l_quantity", "l_discount", "")
+        for t in ("l_extendedprice", "l_tax")
+    ),
+    "merge_features_external": "SELECT o_custkey AS sample_id, o_orderkey, o_totalprice AS amount_x, c_acctbal AS amount_y, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
+    "target_groups": "SELECT * FROM (VALUES ('props', 'Br20'), ('props', 'Hc20'), ('props', 'Hc147'), ('props', 'Hr20'), ('props', 'Hr147'), ('pps', 'C'), ('pps', 'F'), ('pps', 'J'), ('pps', 'L'), ('effs', 'Neff'), ('effs', 'alpha'), ('pcs', 'PC5-X10000A')) t(target_group, target)",
+    "coerce_numeric": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS page, CAST(NULL AS DOUBLE) AS bad, CAST(user_id AS DOUBLE) AS \"user\" FROM events",
+    "drop_empty_columns": "SELECT 'value' AS feature UNION ALL SELECT 'user'",
+    "impute_mean": "WITH " + GAPS + ' SELECT event_id, round(coalesce(value, avg(value) OVER ()), 6) AS value, round(coalesce(usr, avg(usr) OVER ()), 6) AS "user" FROM gaps',
+    "fill_zero": "WITH " + GAPS + ' SELECT event_id, coalesce(value, 0) AS value, coalesce(usr, 0) AS "user" FROM gaps',
+    "drop_missing": "WITH " + GAPS + ' SELECT event_id, value, usr AS "user" FROM gaps WHERE value IS NOT NULL AND usr IS NOT NULL',
+    "nan_to_zero": "SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 0.0 ELSE value END AS value FROM events",
+    "standardize_pop": "WITH " + GAPS + """, f AS (SELECT event_id, coalesce(value, avg(value) OVER ()) AS a, coalesce(usr, avg(usr) OVER ()) AS b FROM gaps)
+SELECT event_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 5) + 0.0 AS value, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 5) + 0.0 AS "user" FROM f""",
+    "regex_sample_id": """SELECT event_id, 'S' || event_id % 17 AS by_name,
+  CASE WHEN event_id % 2 = 0 THEN 'dir' || event_id % 4 ELSE 'S' || event_id % 17 || '_' || event_type END AS by_path FROM events""",
+    "concat_union_by_name": 'SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value, CASE WHEN event_id % 2 = 1 THEN CAST(user_id AS DOUBLE) END AS "user" FROM events',
+    "topk_importance": "SELECT event_type, round(avg(abs(value)), 6) AS importance FROM events GROUP BY event_type ORDER BY importance DESC, event_type LIMIT 5",
+    "neighbour_sets": """SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey < 15 AND n_nationkey % 2 = 1 THEN 'common' WHEN n_nationkey < 15 THEN 'extra' ELSE 'missing' END AS part
+FROM nation WHERE n_nationkey < 15 OR n_nationkey % 2 = 1""",
+    "degree_value_counts": DEGREES + "SELECT degree AS value, count(*) AS n FROM deg GROUP BY degree",
+    "value_histogram": """WITH e AS (SELECT floor(min(value)) AS lo, ceil(max(value)) AS hi FROM events), b AS (SELECT least(floor((value - lo) / 2.5), greatest(1, ceil((hi + 2.5 - lo) / 2.5) - 1) - 1) AS bin, lo FROM events, e)
+SELECT CAST(bin AS BIGINT) AS bin, any_value(lo) + bin * 2.5 AS low, count(*) AS n FROM b GROUP BY bin""",
+    "histogram_by_sample": """WITH e AS (SELECT floor(min(value)) AS lo, ceil(max(value)) AS hi FROM events), b AS (SELECT event_type, least(floor((value - lo) / 10.0), greatest(1, ceil((hi + 10.0 - lo) / 10.0) - 1) - 1) AS bin, lo FROM events, e)
+SELECT event_type, CAST(bin AS BIGINT) AS bin, any_value(lo) + bin * 10.0 AS low, count(*) AS n FROM b GROUP BY event_type, bin""",
+    "compare_quartiles": """WITH q AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)
+SELECT event_type, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+  round(min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+  count(*) FILTER (NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outside
+FROM events JOIN q USING (event_type) GROUP BY event_type""",
+    "compare_ordered": """WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS sample, CAST(dense_rank() OVER (ORDER BY c_acctbal, CAST(c_custkey AS VARCHAR)) AS INTEGER) AS position FROM customer WHERE c_custkey % 3 > 0 AND c_acctbal IS NOT NULL)
+SELECT sample, position, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN r ON sample = CAST(user_id AS VARCHAR) GROUP BY sample, position""",
+    "kde_grid": """WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * count(*) ** -0.2 AS h, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type),
+g AS (SELECT *, lo - 3 * h + p * ((hi - lo + 6 * h) / 31) AS x FROM s, range(32) t(p))
+SELECT g.event_type, CAST(p AS INTEGER) AS point, round(any_value(x), 6) AS x, round(sum(exp(-0.5 * ((x - value) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density
+FROM g JOIN events e ON e.event_type = g.event_type GROUP BY g.event_type, p""",
+    "kde_2d": """WITH s AS (SELECT count(*) AS n, stddev_samp(value) * count(*) ** (-1.0 / 6) AS hx, stddev_samp(user_id) * count(*) ** (-1.0 / 6) AS hy, min(value) AS x0, max(value) AS x1, min(user_id) AS y0, max(user_id) AS y1 FROM events)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(exp(-0.5 * (((x0 + i * ((x1 - x0) / 11) - value) / hx) ** 2 + ((y0 + j * ((y1 - y0) / 11) - user_id) / hy) ** 2))) / any_value(n * hx * hy * 2 * pi()), 9) AS density
+FROM events, s, range(12) a(i), range(12) b(j) GROUP BY i, j""",
+    "hexbin": """WITH r AS (SELECT CAST(min(o_totalprice) AS DOUBLE) AS x0, (max(o_totalprice) - min(o_totalprice)) / 30 AS sx, CAST(min(o_custkey) AS DOUBLE) AS y0, (max(o_custkey) - min(o_custkey)) / CAST(17 AS DOUBLE) AS sy FROM orders),
+u AS (SELECT (o_totalprice - x0) / sx AS u, (o_custkey - y0) / sy AS v FROM orders, r),
+w AS (SELECT u, v, round_even(u, 0) AS a, round_even(v, 0) AS b, floor(u) AS c, floor(v) AS d FROM u),
+z AS (SELECT *, (u - a) ** 2 + 3 * (v - b) ** 2 < (u - c - 0.5) ** 2 + 3 * (v - d - 0.5) ** 2 AS one FROM w)
+SELECT CASE WHEN one THEN 1 ELSE 2 END AS lattice, CAST(CASE WHEN one THEN a ELSE c END AS BIGINT) AS ix, CAST(CASE WHEN one THEN b ELSE d END AS BIGINT) AS iy, count(*) AS n FROM z GROUP BY ALL""",
+    "outlier_flags": DEGREES + "SELECT image_id, label, degree, coalesce(degree < 3 OR degree > 7, FALSE) AS is_outlier FROM deg",
+    "node_scaling": DEGREES + """SELECT image_id, label, degree, round(CASE WHEN max(degree) OVER w > min(degree) OVER w THEN 50 + (degree - min(degree) OVER w) / CAST(max(degree) OVER w - min(degree) OVER w AS DOUBLE) * 450 ELSE 275 END, 6) AS size
+FROM deg WINDOW w AS (PARTITION BY image_id)""",
+    "discrete_colormap": DEGREES + """, u AS (SELECT image_id, CAST(degree AS DOUBLE) AS v FROM deg UNION ALL SELECT l_returnflag, l_discount FROM lineitem),
+s AS (SELECT image_id, count(DISTINCT v) AS n_values, bool_and(v = floor(v)) AS whole FROM u GROUP BY image_id)
+SELECT image_id, n_values, CASE WHEN whole AND n_values BETWEEN 2 AND 10 THEN 'tab10' WHEN whole AND n_values BETWEEN 11 AND 20 THEN 'tab20' ELSE 'continuous' END AS scheme FROM s""",
+    "spatial_coloring": _with(RASTER, POINTS, DELAUNAY) + DEGREES[DEGREES.index(", deg AS") :] + """, val AS (SELECT image_id, label, CAST(degree AS DOUBLE) AS v FROM deg WHERE label % 5 > 0), least AS (SELECT image_id, min(v) AS lo FROM val GROUP BY image_id)
+SELECT p.image_id, p.label, count(*) AS pixels, max(CASE WHEN p.label > 0 THEN coalesce(v, lo) END) AS value
+FROM pixels p LEFT JOIN val USING (image_id, label) LEFT JOIN least USING (image_id) GROUP BY p.image_id, p.label""",
+    "file_match": """SELECT 'P' || p_partkey % 3 AS parent, CAST(p_partkey AS VARCHAR) AS id,
+  CASE WHEN p_partkey % 5 <> 0 THEN 'out/' || CASE WHEN p_partkey % 2 = 0 THEN 'P' || p_partkey % 3 || '_' ELSE 'other_' END || p_partkey || '_details.csv' END AS path FROM part""",
+}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, neighbours, regions
+from .functions import columns
+from .operators import graph, neighbours, plots, regions, select, stats
 from .sources import raster
 
 
@@ -48,8 +49,13 @@ def _near(spark, sf_dir):
     return neighbours.with_neighbours(raster.raster(spark, sf_dir))
 
 
+def _mosaic(spark, sf_dir):
+    """The raster without gaps, whose regions touch."""
+    return raster.raster(spark, sf_dir, gap=0.0)
+
+
 def adjacency_edges(spark, sf_dir):
-    return neighbours.adjacency(_near(spark, sf_dir))
+    return neighbours.adjacency(neighbours.with_neighbours(_mosaic(spark, sf_dir)))
 
 
 def boundary_pixels(spark, sf_dir):
@@ -75,13 +81,13 @@ def region_perimeter(spark, sf_dir):
 
 
 def neighbor_area_stats(spark, sf_dir):
-    pixels = raster.raster(spark, sf_dir)
+    pixels = _mosaic(spark, sf_dir)
     return rounded(graph.neighbour_areas(regions.geometry(pixels), neighbours.adjacency(neighbours.with_neighbours(pixels))))
 
 
 def topology_features(spark, sf_dir):
     points = raster.points(spark, sf_dir)
-    return graph.topology(points, neighbours.adjacency(_near(spark, sf_dir)), graph.delaunay_relational(points))
+    return graph.topology(points, neighbours.adjacency(neighbours.with_neighbours(_mosaic(spark, sf_dir))), graph.delaunay_relational(points))
 
 
 def fractal_regions(spark, sf_dir):
@@ -102,7 +108,7 @@ def dilate_disk(spark, sf_dir):
 
 def thin_background(spark, sf_dir):
     pixels = raster.raster(spark, sf_dir)
-    thin = neighbours.within_distance(pixels.where("label = 0"), pixels.where("label > 0"), 3)
+    thin = neighbours.within_distance(pixels.where("label = 0"), neighbours.inner_boundary(neighbours.with_neighbours(pixels)), 3)
     return thin.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
 
 
@@ -134,11 +140,250 @@ def avg_clustering(spark, sf_dir):
     return rounded(c.select("image_id", F.col("c1").alias("avg_clustering")))
 
 
+# --- statistics -----------------------------------------------------------------------------
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events_by_rater(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), "ts", "event_id", "user_id", "value")
+    return columns.number_within(events, ["sample"], ["ts", "event_id"], "rater")
+
+
+def _events_long(spark, sf_dir):
+    wide = _events_by_rater(spark, sf_dir).select("sample", "rater", "value", F.col("user_id").alias("user"), F.lit(5.0).alias("flat"))
+    return stats.unpivot(wide, ["sample", "rater"], ["value", "user", "flat"])
+
+
+def _lineitem_long(spark, sf_dir):
+    wide = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample"), *MEASURES)
+    return stats.unpivot(wide, ["sample"], MEASURES)
+
+
+def rater_index(spark, sf_dir):
+    return _events_by_rater(spark, sf_dir).select("event_id", "sample", "rater")
+
+
+def icc3k(spark, sf_dir):
+    return rounded(stats.icc3k(_events_long(spark, sf_dir)))
+
+
+def anova_f(spark, sf_dir):
+    return rounded(stats.anova(_lineitem_long(spark, sf_dir)).select("feature", "f", "df1", "df2"))
+
+
+def levene_f(spark, sf_dir):
+    return rounded(stats.levene(_lineitem_long(spark, sf_dir)).select("feature", "f"))
+
+
+def anova_p(spark, sf_dir):
+    return rounded(stats.anova(_lineitem_long(spark, sf_dir)).select("feature", "p_value", "reject_h0"))
+
+
+def normality(spark, sf_dir):
+    long = _events_long(spark, sf_dir).where("rater <= 2000").select("feature", "sample", "value")
+    return rounded(stats.normality(long))
+
+
+def good_features(spark, sf_dir):
+    long = _events_long(spark, sf_dir)
+    return rounded(stats.good_features(stats.icc3k(long), stats.anova(long)).select("feature", "icc", "p_value", "reject_h0", "good_feature"))
+
+
+def sample_means(spark, sf_dir):
+    return rounded(_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in MEASURES]))
+
+
+def variance_filter(spark, sf_dir):
+    data = _table(spark, sf_dir, "lineitem").select(*MEASURES, F.lit(3.0).alias("constant"))
+    kept = select.variance_filter(data, data.columns)
+    return rounded(select.variances(data, data.columns).select("feature", "variance", F.col("feature").isin(kept).alias("kept")))
+
+
+def corr_matrix(spark, sf_dir):
+    dims = [f"d{i}" for i in range(64)]
+    wide = _table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
+    return rounded(select.correlation_matrix(wide, dims))
+
+
+def corr_filter(spark, sf_dir):
+    base = _table(spark, sf_dir, "lineitem").select(
+        *MEASURES, (F.col("l_quantity") * 2 + 1).alias("quantity_twice"), (F.col("l_quantity") + F.col("l_tax")).alias("quantity_std"), (-F.col("l_discount")).alias("discount_less")
+    )
+    kept = select.correlation_filter(base, base.columns)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(kept)], "position int, feature string")
+
+
+def feature_target_corr(spark, sf_dir):
+    data = _table(spark, sf_dir, "lineitem").withColumn("flat", F.lit(1.0))
+    return rounded(select.feature_target_correlation(data, ["l_quantity", "l_discount", "flat", "missing"], ["l_extendedprice", "l_tax"]))
+
+
+def merge_features_external(spark, sf_dir):
+    f = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample_id"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    e = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_acctbal").alias("amount"), "c_mktsegment")
+    return select.merge_external(f, e)
+
+
+def target_groups(spark, sf_dir):
+    rows = [(g, t) for g, names in select.TARGET_GROUPS.items() for t in names]
+    return spark.createDataFrame(rows, "target_group string, target string")
+
+
+# --- cleaning and scalar functions ----------------------------------------------------------
+
+
+def coerce_numeric(spark, sf_dir):
+    raw = _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("page"), F.concat_ws("", F.lit("x"), F.col("value").cast("string")).alias("bad"), F.col("user_id").cast("string").alias("user"))
+    return columns.coerce_numeric(raw, ["page", "bad", "user"])
+
+
+def drop_empty_columns(spark, sf_dir):
+    raw = _table(spark, sf_dir, "events").select(F.col("value").cast("double").alias("value"), F.lit(None).cast("double").alias("nothing"), F.col("user_id").cast("double").alias("user"))
+    kept = columns.present_columns(raw, raw.columns)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+def _with_gaps(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("double")).alias("user"))
+
+
+def impute_mean(spark, sf_dir):
+    return rounded(columns.impute_mean(_with_gaps(spark, sf_dir), ["value", "user"]))
+
+
+def fill_zero(spark, sf_dir):
+    return _with_gaps(spark, sf_dir).fillna({"value": 0.0, "user": 0.0})
+
+
+def drop_missing(spark, sf_dir):
+    return _with_gaps(spark, sf_dir).dropna(subset=["value", "user"])
+
+
+def nan_to_zero(spark, sf_dir):
+    v = F.col("value")
+    odd = F.when(F.col("event_id") % 7 == 0, float("nan")).when(F.col("event_id") % 7 == 1, float("inf")).when(F.col("event_id") % 7 == 2, float("-inf")).otherwise(v)
+    return _table(spark, sf_dir, "events").select("event_id", columns.finite_or_zero(odd).alias("value"))
+
+
+def standardize_pop(spark, sf_dir):
+    return rounded(columns.standardize(_with_gaps(spark, sf_dir), ["value", "user"]), 5)
+
+
+def regex_sample_id(spark, sf_dir):
+    name = F.concat_ws("_", F.concat(F.lit("S"), (F.col("event_id") % 17).cast("string")), F.col("event_type"), (F.col("event_id") % 3).cast("string"))
+    path = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("dir"), (F.col("event_id") % 4).cast("string"), F.lit("/"), name, F.lit(".mask"))).otherwise(F.concat(name, F.lit(".mask")))
+    e = _table(spark, sf_dir, "events").select("event_id", name.alias("name"), path.alias("path"))
+    return e.select("event_id", columns.sample_of_file(F.col("name")).alias("by_name"), columns.sample_of_path(F.col("path")).alias("by_path"))
+
+
+def concat_union_by_name(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    a = e.where("event_id % 2 = 0").select("event_id", "value")
+    b = e.where("event_id % 2 = 1").select("event_id", F.col("user_id").cast("double").alias("user"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def topk_importance(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(F.abs("value")).alias("importance"))
+    return rounded(e.orderBy(F.desc("importance"), "event_type").limit(5))
+
+
+def neighbour_sets(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    low, odd = n.where("k < 15"), n.where("k % 2 = 1")
+    tag = lambda d, t: d.withColumn("part", F.lit(t))
+    return tag(low.intersect(odd), "common").unionByName(tag(low.exceptAll(odd), "extra")).unionByName(tag(odd.exceptAll(low), "missing"))
+
+
+def random_rows(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey").limit(100)
+
+
+# --- plot tables ----------------------------------------------------------------------------
+
+
+def _degrees(spark, sf_dir, limit=50.0):
+    points = raster.points(spark, sf_dir)
+    ends = graph.both_ways(graph.delaunay_relational(points)).where(F.col("weight") <= limit)
+    counted = ends.groupBy("image_id", F.col("u").alias("label")).agg(F.count(F.lit(1)).alias("degree"))
+    return points.select("image_id", "label").join(counted, ["image_id", "label"], "left").fillna({"degree": 0})
+
+
+def degree_value_counts(spark, sf_dir):
+    return plots.value_counts(_degrees(spark, sf_dir), "degree")
+
+
+def value_histogram(spark, sf_dir):
+    return plots.histogram(_table(spark, sf_dir, "events"), "value", 2.5)
+
+
+def histogram_by_sample(spark, sf_dir):
+    return plots.histogram(_table(spark, sf_dir, "events"), "value", 10.0, ("event_type",))
+
+
+def compare_quartiles(spark, sf_dir):
+    return rounded(plots.box_summary(_table(spark, sf_dir, "events"), "value", "event_type"))
+
+
+def compare_ordered(spark, sf_dir):
+    details = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sample"), "value")
+    external = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("Hc20"))
+    return plots.ordered_samples(details, external, "value", "Hc20").groupBy("sample", "position").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def kde_grid(spark, sf_dir):
+    return rounded(plots.density(_table(spark, sf_dir, "events"), "value", "event_type"))
+
+
+def kde_2d(spark, sf_dir):
+    return rounded(plots.density_2d(_table(spark, sf_dir, "events").select("value", "user_id"), "value", "user_id"), 9)
+
+
+def hexbin(spark, sf_dir):
+    return plots.hexbin(_table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey")
+
+
+def outlier_flags(spark, sf_dir):
+    return plots.degree_outliers(_degrees(spark, sf_dir), "degree", 3, 7)
+
+
+def node_scaling(spark, sf_dir):
+    return rounded(plots.node_sizes(_degrees(spark, sf_dir), "degree"))
+
+
+def discrete_colormap(spark, sf_dir):
+    degrees = plots.colour_scheme(_degrees(spark, sf_dir), "degree")
+    return degrees.unionByName(plots.colour_scheme(_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image_id"), "l_discount"), "l_discount"))
+
+
+def spatial_coloring(spark, sf_dir):
+    values = _degrees(spark, sf_dir).where("label % 5 > 0").withColumn("degree", F.col("degree").cast("double"))
+    coloured = plots.coloured_pixels(raster.raster(spark, sf_dir), values, "degree")
+    return rounded(coloured.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.max("value").alias("value")))
+
+
+def file_match(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    masks = part.select(F.concat(F.lit("P"), (F.col("k") % 3).cast("string")).alias("parent"), F.col("k").cast("string").alias("id"))
+    folder = F.when(F.col("k") % 2 == 0, F.concat(F.lit("P"), (F.col("k") % 3).cast("string"), F.lit("_"))).otherwise(F.lit("other_"))
+    details = part.where("k % 5 <> 0").select(F.concat(F.lit("out/"), folder, F.col("k").cast("string"), F.lit("_details.csv")).alias("path"))
+    return plots.match_details(masks, details)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         image_region_stats, label_raster, region_geometry, region_axes, region_orientation, region_hu, adjacency_edges, boundary_pixels,
         total_boundary_length, region_perimeter, neighbor_area_stats, topology_features, fractal_regions, fractal_boundaries, dilate_disk,
         thin_background, nn_distance, pairwise_distance, delaunay_edges, degree_distribution, avg_clustering,
+        rater_index, icc3k, anova_f, levene_f, anova_p, normality, good_features, sample_means, variance_filter, corr_matrix, corr_filter, feature_target_corr,
+        merge_features_external, target_groups, coerce_numeric, drop_empty_columns, impute_mean, fill_zero, drop_missing, nan_to_zero, standardize_pop,
+        regex_sample_id, concat_union_by_name, topk_importance, neighbour_sets, random_rows, degree_value_counts, value_histogram, histogram_by_sample,
+        compare_quartiles, compare_ordered, kde_grid, kde_2d, hexbin, outlier_flags, node_scaling, discrete_colormap, spatial_coloring, file_match,
     )
 }

@@ -35,9 +35,11 @@ def _seeds(part: DataFrame) -> DataFrame:
     )
 
 
-def synthetic_pixels(part: DataFrame) -> DataFrame:
+def synthetic_pixels(part: DataFrame, gap: float = GAP) -> DataFrame:
     """The raster of part's seeds: a pixel belongs to its nearest seed unless the second is near.
 
+    With a gap of 0 every pixel is labelled and the regions touch.
+
     The lattice cell of a pixel and its eight neighbours hold all seeds that can matter, so each
     cell carries nine candidates as columns and makes its pixels in place: nothing of pixel size
     is shuffled.
@@ -72,7 +74,7 @@ def synthetic_pixels(part: DataFrame) -> DataFrame:
     near = F.sort_array(F.array(*[code(i) for i in range(9)]))
     pixels = pixels.select("image_id", "y", "x", near.alias("near"))
     first, second = F.col("near")[0], F.col("near")[1]
-    far = F.sqrt(F.floor(second / 64)) - F.sqrt(F.floor(first / 64)) >= GAP
+    far = F.sqrt(F.floor(second / 64)) - F.sqrt(F.floor(first / 64)) >= gap
     label = F.when(far, first % 64).otherwise(0)
     return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), label.cast("int").alias("label"))
 
@@ -93,8 +95,8 @@ def load_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_pixels(load_part(spark, sf_dir))
+def raster(spark: SparkSession, sf_dir: str, gap: float = GAP) -> DataFrame:
+    return synthetic_pixels(load_part(spark, sf_dir), gap)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
