@@ -73,6 +73,21 @@ def delaunay_relational(points: DataFrame) -> DataFrame:
     return tested.where(F.coalesce(F.col("low") < F.col("high"), F.lit(True)) & (F.col("blocked") == 0)).select("image_id", "src", "dst", "weight")
 
 
+def hull_order(p: np.ndarray) -> np.ndarray:
+    """Indices of the convex hull's vertices in order (monotone chain)."""
+
+    def half(order) -> list[int]:
+        out: list[int] = []
+        for i in order:
+            while len(out) > 1 and (p[out[-1], 0] - p[out[-2], 0]) * (p[i, 1] - p[out[-2], 1]) <= (p[out[-1], 1] - p[out[-2], 1]) * (p[i, 0] - p[out[-2], 0]):
+                out.pop()
+            out.append(int(i))
+        return out[:-1]
+
+    order = np.lexsort((p[:, 1], p[:, 0]))
+    return np.array(half(order) + half(order[::-1]))
+
+
 def triangulate(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Delaunay edges (i < j) by incremental insertion; empty for fewer than three or collinear points."""
     n = len(y)
@@ -82,7 +97,7 @@ def triangulate(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     centred = p - p.mean(axis=0)
     if np.linalg.matrix_rank(centred, tol=1e-12 * max(1.0, np.abs(centred).max())) < 2:
         return np.empty((0, 2), np.int64)
-    reach = 1e4 * max(1.0, np.abs(centred).max())
+    reach = 1e6 * max(1.0, np.abs(centred).max())
     q = np.vstack((centred, [[-3 * reach, -reach], [3 * reach, -reach], [0, 3 * reach]]))
     tri = np.array([[n, n + 1, n + 2]])
 
@@ -108,8 +123,10 @@ def triangulate(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         nc, nr = circles(new)
         tri, centre, radius = np.vstack((tri[~inside], new)), np.vstack((centre[~inside], nc)), np.concatenate((radius[~inside], nr))
     edge = np.sort(np.vstack((tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]])), axis=1)
-    edge = np.unique(edge, axis=0)
-    return edge[edge[:, 1] < n]
+    # hull edges always belong; the outer triangle can hide one whose ends are almost in line
+    rim = hull_order(centred)
+    edge = np.vstack((edge[edge[:, 1] < n], np.sort(np.column_stack((rim, np.roll(rim, -1))), axis=1)))
+    return np.unique(edge, axis=0)
 
 
 EDGES = "image_id string, src int, dst int, weight double"

@@ -283,4 +283,20 @@ SELECT p.image_id, p.label, count(*) AS pixels, max(CASE WHEN p.label > 0 THEN c
 FROM pixels p LEFT JOIN val USING (image_id, label) LEFT JOIN least USING (image_id) GROUP BY p.image_id, p.label""",
     "file_match": """SELECT 'P' || p_partkey % 3 AS parent, CAST(p_partkey AS VARCHAR) AS id,
   CASE WHEN p_partkey % 5 <> 0 THEN 'out/' || CASE WHEN p_partkey % 2 = 0 THEN 'P' || p_partkey % 3 || '_' ELSE 'other_' END || p_partkey || '_details.csv' END AS path FROM part""",
+    "delaunay_kernel": _with(POINTS, DELAUNAY) + " SELECT image_id, src, dst, round(weight, 6) AS weight FROM edges",
+    "delaunay_degree_29": _with(RASTER, GEOMETRY, POINTS, DELAUNAY) + """
+, r AS (SELECT image_id, avg(eqd / 2) AS m, stddev_pop(eqd / 2) AS s FROM geo GROUP BY image_id), two AS (SELECT image_id, src, weight FROM edges UNION ALL SELECT image_id, dst, weight FROM edges)
+SELECT p.image_id, p.label, """ + ", ".join(f"count(*) FILTER (weight <= {t}) AS delaunay_degree_fixed_{t}" for t in (20, 50, 100, 150)) + ", " + ", ".join(
+        f"count(*) FILTER (weight <= greatest(0, {k} * m + {i} * s)) AS delaunay_degree_adaptive_{k}r{str(i).replace('.', '_')}std" for k in (1, 2, 4, 6, 8) for i in (0, 0.5, 1, 1.5, 2)
+    ) + """
+FROM points p JOIN r ON r.image_id = p.image_id LEFT JOIN two ON two.image_id = p.image_id AND two.src = p.label GROUP BY p.image_id, p.label""",
+    "labels_from_masks": _with(MOSAIC) + """
+, m AS (SELECT image_id, y + dy AS y, x + dx AS x, min(label) AS label FROM pixels, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4 GROUP BY ALL)
+SELECT image_id, CAST(label AS INTEGER) AS label, count(*) AS n, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM m WHERE y BETWEEN 0 AND 95 AND x BETWEEN 0 AND 127 GROUP BY image_id, label""",
+    "persistence_h0": _with(POINTS) + """
+, e AS (SELECT a.image_id, a.label AS s, b.label AS t, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS w FROM points a JOIN points b ON a.image_id = b.image_id AND a.label < b.label),
+two AS (SELECT image_id, s, t, w FROM e UNION ALL SELECT image_id, t, s, w FROM e),
+-- an edge is in the minimum spanning tree iff its ends are not joined by shorter edges
+reach(image_id, s, t, w, pos) AS (SELECT image_id, s, t, w, s FROM e WHERE w <= 30 UNION SELECT r.image_id, r.s, r.t, r.w, x.t FROM reach r JOIN two x ON x.image_id = r.image_id AND x.s = r.pos AND (x.w, least(x.s, x.t), greatest(x.s, x.t)) < (r.w, r.s, r.t))
+SELECT e.image_id, round(e.w, 6) AS death FROM e WHERE w <= 30 AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.image_id = e.image_id AND r.s = e.s AND r.t = e.t AND r.pos = e.t)""",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns
-from .operators import graph, neighbours, plots, regions, select, stats
+from .operators import graph, models, morphology, neighbours, plots, regions, select, stats
+from .plans import features
 from .sources import raster
 
 
@@ -375,6 +376,136 @@ def file_match(spark, sf_dir):
     return plots.match_details(masks, details)
 
 
+# --- image kernels --------------------------------------------------------------------------
+
+
+def boundary_classes(spark, sf_dir):
+    typed = morphology.typed_pixels(raster.raster(spark, sf_dir))
+    return typed.where("label > 0").groupBy("image_id", "region_type").agg(F.count(F.lit(1)).alias("pixels"), F.max("label").alias("regions"))
+
+
+def connected_regions(spark, sf_dir):
+    """Components of the labelled pixels; seeds whose cells touch nothing are one each."""
+    found = morphology.connected_components(raster.raster(spark, sf_dir))
+    return found.where("label > 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.min(F.col("y") * 128 + F.col("x")).alias("first"))
+
+
+def region_shapes(spark, sf_dir):
+    return rounded(morphology.region_shapes(raster.raster(spark, sf_dir)))
+
+
+def skeleton_branches(spark, sf_dir):
+    background = raster.raster(spark, sf_dir).withColumn("label", (F.col("label") == 0).cast("int"))
+    near = neighbours.with_neighbours(morphology.skeleton_pixels(background)).where("label = 1")
+    around = F.lit(0)
+    for o in neighbours.EIGHT:
+        around = around + F.coalesce(F.col(neighbours._name(*o)), F.lit(0))
+    return near.select("image_id", around.alias("k")).groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("k") > 2).alias("branches"), F.count_if(F.col("k") == 1).alias("ends"))
+
+
+def boundary_network(spark, sf_dir):
+    return morphology.boundary_networks(raster.raster(spark, sf_dir).withColumn("label", (F.col("label") == 0).cast("int")))
+
+
+def skeleton_edges(spark, sf_dir):
+    return morphology.skeleton_edges(raster.raster(spark, sf_dir).withColumn("label", (F.col("label") == 0).cast("int"))).drop("path")
+
+
+def persistence_h0(spark, sf_dir):
+    return rounded(morphology.persistence(raster.points(spark, sf_dir)).where("dim = 0").select("image_id", "death"))
+
+
+def persistence_h1(spark, sf_dir):
+    return rounded(morphology.persistence(raster.points(spark, sf_dir)).where("dim = 1").select("image_id", "birth", "death"))
+
+
+def small_world(spark, sf_dir):
+    points = raster.points(spark, sf_dir)
+    limits = graph.thresholds(regions.geometry(raster.raster(spark, sf_dir)))
+    flags = morphology.small_worlds(points, graph.delaunay_relational(points), limits)
+    return flags.select("image_id", *[F.col("small_world")[i].alias(f"is_small_world_{s}") for i, s in enumerate(graph.SUFFIXES)])
+
+
+def delaunay_degree_29(spark, sf_dir):
+    points = raster.points(spark, sf_dir)
+    limits = graph.thresholds(regions.geometry(raster.raster(spark, sf_dir)))
+    return graph.degrees(points, graph.delaunay_relational(points), limits)
+
+
+def delaunay_kernel(spark, sf_dir):
+    return rounded(graph.delaunay(raster.points(spark, sf_dir), relational_up_to=0))
+
+
+def dedup_masks(spark, sf_dir):
+    masks, frame = _overlapping_masks(spark, sf_dir)
+    kept = morphology.deduplicate_masks(masks, frame, 100)
+    return kept.groupBy("image_id", "mask_id").agg(F.count(F.lit(1)).alias("area"))
+
+
+def _overlapping_masks(spark, sf_dir):
+    """Each region of the raster without gaps, grown by two pixels, so neighbours overlap."""
+    pixels = _mosaic(spark, sf_dir)
+    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in neighbours.disk(2)]))
+    grown = pixels.select("image_id", F.col("label").alias("mask_id"), "y", "x", o.alias("o")).select("image_id", "mask_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    inside = grown.where(F.col("y").between(0, 95) & F.col("x").between(0, 127)).distinct()
+    return inside, pixels.select("image_id").distinct().select("image_id", F.lit(96).alias("height"), F.lit(128).alias("width"))
+
+
+def labels_from_masks(spark, sf_dir):
+    masks, frame = _overlapping_masks(spark, sf_dir)
+    pixels = raster.from_masks(masks, frame)
+    return pixels.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
+
+
+def region_details(spark, sf_dir):
+    return rounded(features.region_details(features.Rasters(raster.raster(spark, sf_dir))), 4)
+
+
+def image_features(spark, sf_dir):
+    return rounded(features.image_features(raster.raster(spark, sf_dir)), 4)
+
+
+def region_type_stats(spark, sf_dir):
+    """Means and deviations of a few features per image and region type."""
+    typed = morphology.typed_pixels(raster.raster(spark, sf_dir)).where("label > 0")
+    key = typed.select(F.concat_ws("|", "image_id", "region_type").alias("image_id"), "y", "x", "label")
+    g = regions.geometry(key).groupBy("image_id").agg(F.avg("area").alias("area_mean"), F.stddev_pop("area").alias("area_std"), F.avg("rectangularity").alias("rectangularity_mean"))
+    return rounded(g)
+
+
+# --- models ---------------------------------------------------------------------------------
+
+PARTS = ["p_size", "log_size", "p_key", "odd"]
+
+
+def _parts(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.log1p("p_size").alias("log_size"), (F.col("p_partkey") % 1000).cast("double").alias("p_key"), (F.col("p_partkey") % 2).cast("double").alias("odd"), "p_retailprice")
+
+
+def model_comparison(spark, sf_dir):
+    # the kernel models take a bounded table: the rows of least hash stand for a small study
+    few = _parts(spark, sf_dir).orderBy(F.xxhash64("p_partkey"), "p_partkey").limit(600)
+    return rounded(models.compare_models(few, PARTS, "p_retailprice", "p_partkey", models.SMALL_GRIDS, k=3), 4)
+
+
+def ridge_cv(spark, sf_dir):
+    return rounded(models.compare_models(_parts(spark, sf_dir), PARTS, "p_retailprice", "p_partkey", {"Ridge": models.GRIDS["Ridge"], "Lasso": models.GRIDS["Lasso"]}), 4)
+
+
+def rfe_selected(spark, sf_dir):
+    kept, trail = models.recursive_elimination(_parts(spark, sf_dir), PARTS, "p_retailprice", "p_partkey", trees=10, k=3)
+    return spark.createDataFrame([(n, round(r, 4), c) for n, r in trail for c in kept], "n_features int, cv_r2 double, selected string")
+
+
+def feature_importance(spark, sf_dir):
+    return rounded(models.feature_importance(_parts(spark, sf_dir), PARTS, "p_retailprice", trees=20))
+
+
+def shap_mean_abs(spark, sf_dir):
+    return rounded(models.attribution(_parts(spark, sf_dir), PARTS, "p_retailprice", "p_partkey", trees=5, depth=4, background=20), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -385,5 +516,8 @@ QUERIES = {
         merge_features_external, target_groups, coerce_numeric, drop_empty_columns, impute_mean, fill_zero, drop_missing, nan_to_zero, standardize_pop,
         regex_sample_id, concat_union_by_name, topk_importance, neighbour_sets, random_rows, degree_value_counts, value_histogram, histogram_by_sample,
         compare_quartiles, compare_ordered, kde_grid, kde_2d, hexbin, outlier_flags, node_scaling, discrete_colormap, spatial_coloring, file_match,
+        boundary_classes, connected_regions, region_shapes, skeleton_branches, boundary_network, skeleton_edges, persistence_h0, persistence_h1, small_world,
+        delaunay_degree_29, delaunay_kernel, dedup_masks, labels_from_masks, region_details, image_features, region_type_stats,
+        model_comparison, ridge_cv, rfe_selected, feature_importance, shap_mean_abs,
     )
 }
