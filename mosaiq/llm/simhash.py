@@ -203,9 +203,20 @@ def near_duplicates(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_fp(batches):
-    for batch in batches:
-        yield batch.append_column("__fp", pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64()))
+def free_name(docs: DataFrame, wish: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
+def _with_fp(name: str):
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column(name, pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64()))
+
+    return run
 
 
 def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
@@ -218,13 +229,11 @@ def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     prints = cut(fingerprints(docs), "docprints")
     groups = group_by_fingerprint(prints, pair_limit)
     where = prints.join(groups, "fp").select("fp", "doc_id", "component_id")
-    # the least (id, fp) of each component, null ids last
-    winner = where.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w"))
-    winner = cut(winner.select(F.col("w.fp").alias("__wfp"), F.col("w.doc_id").alias("__wid")), "winners")
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    tagged = docs.mapInArrow(_with_fp, schema)
-    same = (F.col("__fp") == F.col("__wfp")) & F.col("doc_id").eqNullSafe(F.col("__wid"))
-    kept = tagged.join(winner, same, "left_semi")
-    return kept.dropDuplicates(["__fp", "doc_id"]).drop("__fp")
-
-
+    # the least (id, fp) of each component, null ids last; a component without ids goes by fp
+    group = F.struct(F.col("component_id").isNull().alias("none"), "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    winner = where.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w"))
+    winner = cut(winner.select(F.col("w.fp").alias("fp"), F.col("w.doc_id").alias("doc_id")), "winners")
+    name = free_name(docs, "__fp")
+    tagged = docs.mapInArrow(_with_fp(name), StructType([*docs.schema.fields, StructField(name, LongType())]))
+    same = (tagged[name] == winner["fp"]) & tagged["doc_id"].cast("long").eqNullSafe(winner["doc_id"])
+    return tagged.join(winner, same, "left_semi").dropDuplicates([name, "doc_id"]).drop(name)
