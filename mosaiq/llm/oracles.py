@@ -1 +1,86 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the corpus queries that SQL can express."""
+
+from .license_scan import BAND, K, MIN_SHARE, PHRASES, TEMPLATES
+from .quality import ABUSIVE
+from .url_filter import MIN_SEGMENT_PAGES, MIN_SEGMENT_SHARE, REJECT_FROM, RULES, SIMILAR_Z, SMOOTHING, VARIABLE
+
+QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+tok AS (SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+tri AS (SELECT *, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, count(*) OVER (PARTITION BY rid) AS n FROM tok WINDOW o AS (PARTITION BY rid ORDER BY i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word, w2, w3) AS c FROM tri WHERE i <= n - 2) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT j) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rid),
+runs AS (SELECT rid, max(c) AS longest FROM (SELECT rid, count(*) AS c FROM (SELECT rid, word, i - row_number() OVER (PARTITION BY rid, word ORDER BY i) AS g FROM tok) GROUP BY rid, word, g) GROUP BY rid),
+letters AS (SELECT rid, count(*) FILTER (regexp_matches(word, '\\p{{L}}')) AS lettered FROM tok GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n, count(DISTINCT line) AS k FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+f AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.k, 0) AS n_dup_lines, coalesce(c.n_repeat, 0) AS n_repeat_words, coalesce(r.longest, 0) AS longest, coalesce(t.lettered, 0) AS lettered,
+        length(text) - length(replace(text, '!', '')) AS shouts, len(regexp_extract_all(text, '(?i)\\b(?:{"|".join(sorted(ABUSIVE))})\\b')) AS insults
+      FROM w LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN runs r USING (rid) LEFT JOIN letters t USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT 10 * n_symbols > 2 * n_words AND NOT 2 * n_dup_lines > n_lines AND word_chars BETWEEN 2 * n_words AND 12 * n_words AND NOT 10 * shouts > 5 * n_words
+  AND NOT 10 * lettered < 7 * n_words AND longest <= 20 AND insults < 3 AS kept
+FROM b"""
+
+SUBSTRINGS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT rid, unnest(range(1, len(ws) - 33)) AS s, ws FROM d WHERE len(ws) >= 35),
+h AS (SELECT rid, s, md5(array_to_string(list_slice(ws, s, s + 34), ' ')) AS k FROM win),
+dup AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY k) AS c FROM h) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, s + o AS i FROM dup, range(35) t(o)),
+g AS (SELECT rid, list(i) AS gi FROM gone GROUP BY rid),
+tok AS (SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM tok ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+_FITS = [(w, h, p, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for w, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in _FITS)} END AS rule, CASE {" ".join(f"WHEN {c} THEN '{w}'" for w, _, _, c in _FITS)} END AS ruled FROM hp),
+paths AS (SELECT host, path, ruled, count(*) AS n FROM r GROUP BY ALL),
+seg AS (SELECT host, path, n, generate_subscripts(s, 1) AS depth, unnest(s) AS raw FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM paths)),
+gen AS (SELECT *, CASE WHEN regexp_matches(raw, '{VARIABLE}') THEN '*' ELSE raw END AS segment FROM seg),
+freq AS (SELECT host, depth, segment, sum(n) AS pages FROM gen GROUP BY ALL),
+lit AS (SELECT f.host, f.depth, f.segment FROM freq f JOIN (SELECT host, depth, sum(pages) AS total FROM freq GROUP BY ALL) t USING (host, depth)
+  WHERE f.segment <> '*' AND pages >= {MIN_SEGMENT_PAGES} AND pages >= {MIN_SEGMENT_SHARE} * total),
+tmpl AS (SELECT g.host, g.path, list(CASE WHEN l.segment IS NULL THEN '*' ELSE g.segment END ORDER BY g.depth) AS template FROM gen g LEFT JOIN lit l USING (host, depth, segment) GROUP BY g.host, g.path),
+tree AS (SELECT p.host, p.path, p.ruled, p.n, coalesce(template, []) AS template FROM paths p LEFT JOIN tmpl USING (host, path)),
+labelled AS (SELECT host, template, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS blocked, sum(CASE WHEN ruled IS NOT NULL THEN n ELSE 0 END) AS labels FROM tree GROUP BY ALL),
+prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labels), 0), 0.0) AS p FROM labelled),
+leaf AS (SELECT *, list_transform(template, lambda s, i: CASE WHEN i = len(template) + 1 - coalesce(list_position(list_transform(list_reverse(template), lambda q: q <> '*'), TRUE), 0) THEN '*' ELSE s END) AS parent FROM labelled WHERE labels > 0),
+marked AS (SELECT *, abs(blocked / labels - pb / pn) <= {SIMILAR_Z} * sqrt(pb / pn * (1 - pb / pn) * (1 / labels + 1 / pn)) AS alike
+  FROM (SELECT *, sum(blocked) OVER (PARTITION BY host, parent) AS pb, sum(labels) OVER (PARTITION BY host, parent) AS pn FROM leaf)),
+scored AS (SELECT *, CASE WHEN alike THEN sum(blocked) FILTER (alike) OVER (PARTITION BY host, parent) ELSE blocked END AS b, CASE WHEN alike THEN sum(labels) FILTER (alike) OVER (PARTITION BY host, parent) ELSE labels END AS l FROM marked),
+bad AS (SELECT DISTINCT t.host, t.path FROM tree t JOIN scored s ON s.host = t.host AND s.template = t.template, prior WHERE ruled IS NULL AND (b + {SMOOTHING} * p) / (l + {SMOOTHING}) >= {REJECT_FROM})
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN bad ON bad.host = r.host AND bad.path = r.path"""
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+tok AS (SELECT rid, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word FROM d),
+nxt AS (SELECT *, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM tok WINDOW o AS (PARTITION BY rid ORDER BY i)),
+place AS ({" UNION ALL ".join(f"SELECT rid, i, '{lab}' AS label FROM nxt WHERE word = '{p.split()[0]}' AND w2 = '{p.split()[1]}'" + (f" AND w3 = '{p.split()[2]}'" if len(p.split()) > 2 else "") for p, lab in PHRASES.items())}),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY rid),
+tm AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{lab}', {_quoted(t)})" for n, (lab, t) in enumerate(TEMPLATES))}) t(template, label, text)),
+tw AS (SELECT template, label, {_WORDS.format("text")} AS ws FROM tm),
+tg AS (SELECT template, label, len(ws) AS size, t, list_slice(ws, t + 1, t + {K}) AS gram FROM tw, range(200) r(t) WHERE t <= len(ws) - {K}),
+hit AS (SELECT DISTINCT n.rid, g.template, g.label, g.size, n.i - g.t AS diagonal, g.t FROM nxt n JOIN tg g ON n.word = g.gram[1] AND n.w2 = g.gram[2] AND n.w3 = g.gram[3]),
+dg AS (SELECT DISTINCT rid, template, diagonal FROM hit),
+bd AS (SELECT rid, template, diagonal, sum(far) OVER (PARTITION BY rid, template ORDER BY diagonal) AS band
+  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS far FROM dg)),
+cov AS (SELECT rid, template, label, band, any_value(size) AS size, count(DISTINCT w) AS c FROM (SELECT hit.*, band, unnest(range(t, t + {K})) AS w FROM hit JOIN bd USING (rid, template, diagonal)) GROUP BY rid, template, label, band),
+sp AS (SELECT rid, list(DISTINCT label) AS found, max(c / size) AS best FROM cov WHERE c / size >= {MIN_SHARE} GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN sp USING (rid)"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_url_filter": URLS, "op10_license_scan": LICENSES}
