@@ -7,11 +7,12 @@ every executor can read; a lost executor therefore never takes finished work wit
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,10 @@ ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopq
 _roots: dict[str, str] = {}
 
 
-def ship_by_value(module) -> None:
-    """Send a module's functions with the task, so executors need no copy of this package."""
-    cloudpickle.register_pickle_by_value(module)
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the worker process, and never travels with a task."""
+    home = sys.modules.setdefault("_mosaiq_process", types.ModuleType("_mosaiq_process"))
+    return home.__dict__.setdefault(name, {})
 
 
 def prepare(spark: SparkSession) -> None:
@@ -76,16 +78,16 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
+    powers = process_cache("powers")
+    have = powers.get(name)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
+        have = powers[name] = np.multiply.accumulate(steps)
     return have[:n]
 
 

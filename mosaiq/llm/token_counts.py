@@ -11,6 +11,9 @@ encoded once and moved once per task.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 import uuid
 
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import id_text, scratch_root
+from .common import id_text, process_cache, scratch_root
 
 LIMIT = 512
 #: Texts longer than this many characters are encoded one by one, others in batches.
@@ -26,8 +29,6 @@ LONG_TEXT = 100_000
 BATCH = 64
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
-_loaded: dict[str, object] = {}
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -40,27 +41,76 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def count_tokens(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text as the file's library gives them, without added special tokens."""
-    if path not in _loaded:
-        if path.endswith(".json"):
-            import os
+#: Characters on which every engine's letter, digit and space classes agree.
+_SAFE = re.compile(r"[\t\n\r -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*")
+#: Fixed value: how byte-level encoders cut a text into pieces.
+_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_names() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
 
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
-            from tokenizers import Tokenizer
+class _Counter:
+    """Token counts of one tokenizer file.
 
-            encoder = Tokenizer.from_file(path)
-            encoder.no_truncation()
-            encoder.no_padding()
-        else:
+    A plain byte-level BPE file also gets a faster encoder built from its own merges; that one
+    takes the texts made of _SAFE characters without special strings, on which both agree.
+    """
+
+    def __init__(self, path: str):
+        self.fast, self.special = None, ()
+        if not path.endswith(".json"):
             import sentencepiece
 
-            encoder = sentencepiece.SentencePieceProcessor(model_file=path)
-        _loaded[path] = encoder
-    encoder = _loaded[path]
-    if path.endswith(".json"):
-        return [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-    return [len(ids) for ids in encoder.encode(texts, num_threads=1)]
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.slow = lambda texts: [len(ids) for ids in pieces.encode(texts, num_threads=1)]
+            return
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.slow = lambda texts: [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if plain and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True):
+            import tiktoken
+
+            names = _byte_names()
+            ranks = {bytes([b]): b for b in range(256)}
+            for merge in model["merges"]:
+                left, right = merge if isinstance(merge, list) else merge.split(" ")
+                ranks.setdefault(bytes(names[c] for c in left + right), len(ranks))
+            self.fast = tiktoken.Encoding("merges", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+            self.special = tuple(t["content"] for t in spec.get("added_tokens", ()))
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        out: list[int] = [0] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if self.fast and _SAFE.fullmatch(text) and not any(s in text for s in self.special):
+                out[i] = len(self.fast.encode_ordinary(text))
+            else:
+                rest.append(i)
+        if rest:
+            for i, n in zip(rest, self.slow([texts[i] for i in rest]), strict=True):
+                out[i] = n
+        return out
+
+
+def count_tokens(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text as the file's library gives them, without added special tokens."""
+    loaded = process_cache("tokenizers")
+    if path not in loaded:
+        loaded[path] = _Counter(path)
+    return loaded[path](texts)
 
 
 def _encode(path: str):
