@@ -76,7 +76,8 @@ def synthetic_pixels(part: DataFrame, gap: float = GAP) -> DataFrame:
     first, second = F.col("near")[0], F.col("near")[1]
     far = F.sqrt(F.floor(second / 64)) - F.sqrt(F.floor(first / 64)) >= gap
     label = F.when(far, first % 64).otherwise(0)
-    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), label.cast("int").alias("label"))
+    # made by a generator, so a filter on the label is not pushed down into a second evaluation
+    return pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.explode(F.array(label.cast("int"))).alias("label"))
 
 
 def synthetic_points(part: DataFrame) -> DataFrame:
