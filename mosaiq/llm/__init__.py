@@ -1,7 +1 @@
 """Operators of a training-data pipeline over documents and pages."""
-
-import sys
-
-from . import common
-
-common.ship_by_value(sys.modules[__name__])

@@ -21,7 +21,7 @@ f AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT 10 * n_symbols > 2 * n_words AND NOT 2 * n_dup_lines > n_lines AND word_chars BETWEEN 2 * n_words AND 12 * n_words AND NOT 10 * shouts > 5 * n_words
-  AND NOT 10 * lettered < 7 * n_words AND longest <= 20 AND insults < 3 AS kept
+  AND NOT 10 * lettered < 7 * n_words AND longest <= 20 AND NOT (insults >= 3 AND 250 * insults >= n_words) AS kept
 FROM b"""
 
 SUBSTRINGS = """

@@ -3,8 +3,8 @@
 The base finds plain identifiers. For disguises three transducers rewrite the text while an
 offset map keeps, for every character they write, the source characters it came from:
 
-* homoglyphs: look-alike letters (full-width, mathematical, Cyrillic, Greek), digits of other
-  scripts, odd dots and at-signs become ASCII; zero-width characters and soft hyphens vanish;
+* homoglyphs: look-alike letters (full-width, mathematical, Cyrillic, Greek; O and l among digits),
+  digits of other scripts, odd dots and at-signs become ASCII; zero-width characters and soft hyphens vanish;
 * spelled digits: runs of at least three number words become digits, their separators vanish;
 * at/dot disguises: "[at]", "(dot)", "{.}", "&#64;", spaced "at" and "dot" words between host
   labels become "@" and ".".
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .common import id_text
+from .common import id_text, process_cache
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -79,17 +79,17 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
 _CYRILLIC_GREEK = dict(zip("АВЕЅІЈКМНОРСТУХаеіјорсухѕԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧοντ", "ABESIJKMHOPCTYXaeijopcyxsdgABEZHIKMNOPTYXovt", strict=True))
 #: Signs that stand for the at-sign, the dot, the plus and the hyphen.
 _SIGNS = {
-    "﹫": "@", "。": ".", "․": ".", "‧": ".", "∙": ".", "·": ".", "﹒": ".",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹢": "+",
-    " ": " ", " ": " ", " ": " ",
+    "﹫": "@", "。": ".", "\u2024": ".", "\u2027": ".", "∙": ".", "·": ".", "﹒": ".",
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "–": "-", "\u2212": "-", "﹢": "+",
+    "\u00A0": " ", "\u202F": " ", "\u2007": " ", "\u3000": " ",
 }
-_INVISIBLE = frozenset("­​‌‍⁠﻿")
-_fold_cache: dict[str, str | None] = {}
+_INVISIBLE = frozenset("\u00AD\u200B\u200C\u200D\u2060\uFEFF")
 
 
 def _fold(c: str) -> str | None:
     """The ASCII text that a non-ASCII character disguises, or None."""
-    if c not in _fold_cache:
+    known = process_cache("folds")
+    if c not in known:
         out = "" if c in _INVISIBLE else _CYRILLIC_GREEK.get(c) or _SIGNS.get(c)
         if out is None:
             digit = unicodedata.digit(c, None) if unicodedata.category(c) == "Nd" else None
@@ -98,10 +98,10 @@ def _fold(c: str) -> str | None:
             elif "！" <= c <= "～" or "\U0001d400" <= c <= "\U0001d7ff":
                 plain = unicodedata.normalize("NFKC", c)
                 out = plain if len(plain) == 1 and plain.isascii() else None
-        if len(_fold_cache) > 1 << 16:
-            _fold_cache.clear()
-        _fold_cache[c] = out
-    return _fold_cache[c]
+        if len(known) > 1 << 16:
+            known.clear()
+        known[c] = out
+    return known[c]
 
 
 class Tape:
@@ -147,17 +147,30 @@ class Tape:
         return self.first[start], self.last[end - 1]
 
 
-#: Number words.
-NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NUMBER = "|".join(NUMBER_WORDS)
-_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
-_RUN = re.compile(rf"(?:\bplus[ -]{{1,3}})?(?<![A-Za-z])(?:{_NUMBER}|[0-9])(?:(?:[ ,;-]{{1,3}}|[ ]?(?:dot|point|\.)[ ]?)?(?:{_NUMBER}|[0-9])){{2,}}(?![A-Za-z])", re.IGNORECASE)
-_PIECE = re.compile(rf"(?P<plus>plus[ -]{{1,3}})|(?P<word>{_NUMBER})|(?P<dot>[ ]?(?:dot|point)[ ]?)|(?P<digit>[0-9])|(?P<gap>[ ,;-]{{1,3}}|[ ]?\.[ ]?)", re.IGNORECASE)
-_AT_DOT_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|&(?:#64|#46|#x40|#x2e|commat|period);|\bdot\b|%40| @ |\s@|@\s", re.IGNORECASE)
-_BRACKETED = re.compile(r"\s{0,3}(?:[\[({<]\s{0,3}(?:(?P<at>at|@)|(?P<dot>dot|\.))\s{0,3}[\])}>]|(?P<at2>&(?:#64|#x40|commat);|%40)|(?P<dot2>&(?:#46|#x2e|period);))\s{0,3}", re.IGNORECASE)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s+dot\s+[A-Za-z0-9_%+-]{1,64}){0,4}(?P<at>\s+at\s+|\s*@\s*)[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]{1,63}){0,4}(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.IGNORECASE)
-_SPOKEN_DOT = re.compile(r"\s+dot\s+|\s+\.\s*|\.\s+|(?<=\w)\.(?=\w)", re.IGNORECASE)
-_SPOKEN_WORD = re.compile(r"\b(?:dot)\b|\s@|@\s", re.IGNORECASE)
+#: Number words of English, German, French and Spanish.
+NUMBER_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_NUMBER = "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w)))
+_AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|punkt|point)"
+_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})[ ,;-]{{1,3}}(?:{_NUMBER})\b", re.IGNORECASE)
+_RUN = re.compile(rf"(?:\b(?:plus|más)[ -]{{1,3}})?(?<![^\W\d_])(?:{_NUMBER}|[0-9])(?:(?:[ ,;-]{{1,3}}|[ ]?(?:{_DOT}|\.)[ ]?)?(?:{_NUMBER}|[0-9])){{2,}}(?![^\W\d_])", re.IGNORECASE)
+_PIECE = re.compile(rf"(?P<plus>(?:plus|más)[ -]{{1,3}})|(?P<word>{_NUMBER})|(?P<dot>[ ]?{_DOT}[ ]?)|(?P<digit>[0-9])|(?P<gap>[ ]?\.[ ]?|[ ,;-]{{1,3}})", re.IGNORECASE)
+_LOOKALIKE = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,}(?![A-Za-z0-9])")
+_LOOKALIKE_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
+_AT_DOT_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|&(?:#64|#46|#x40|#x2e|commat|period);|%40", re.IGNORECASE)
+_BRACKETED = re.compile(rf"\s{{0,3}}(?:[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]|(?P<at2>&(?:#64|#x40|commat);|%40)|(?P<dot2>&(?:#46|#x2e|period);))\s{{0,3}}", re.IGNORECASE)
+_SPOKEN = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s+{_DOT}\s+[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?P<at>\s+{_AT}\s+|\s*@\s*)"
+    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\s+{_DOT}\s+|\s*\.\s*)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\s+{_DOT}\s+|\s*\.\s*)[A-Za-z]{{2,24}}(?![A-Za-z0-9-])",
+    re.IGNORECASE,
+)
+_SPOKEN_DOT = re.compile(rf"\s+{_DOT}\s+|\s+\.\s*|\.\s+|(?<=\w)\.(?=\w)", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"\s{_DOT}\s", re.IGNORECASE)
+_SPOKEN_WORD = re.compile(rf"\s{_DOT}\s|\s@|@\s", re.IGNORECASE)
 
 
 def _homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
@@ -170,6 +183,18 @@ def _homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), folds[m.group()]) for m in pattern.finditer(text)]
 
 
+def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
+    """Letters that stand for digits inside runs that are digits for the most part."""
+    if not _LOOKALIKE_HINT.search(text):
+        return []
+    edits = []
+    for m in _LOOKALIKE.finditer(text):
+        letters = [i for i, c in enumerate(m.group(), m.start()) if c > "9"]
+        if letters and 2 * len(letters) <= len(m.group()):
+            edits += [(i, i + 1, "0" if text[i] in "Oo" else "1") for i in letters]
+    return edits
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     if not _SPELLED_HINT.search(text):
         return []
@@ -200,7 +225,7 @@ def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPOKEN.finditer(text):
         at, whole = m.start("at"), m.group()
-        if not re.search(r"\sdot\s", whole, re.IGNORECASE) and "@" not in m.group("at"):
+        if not _SPACED_DOT.search(whole) and "@" not in m.group("at"):
             continue
         if "@" in m.group("at") and re.search(r"\.\s", text[m.end("at") : m.end()]):
             continue  # a sentence end, not a host
@@ -214,7 +239,7 @@ def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of disguised identifiers, in source offsets, that overlap no plain span of their kind."""
     tape = Tape(text)
-    for transducer in (_homoglyph_edits, _spelled_edits, _bracket_edits, _spoken_edits):
+    for transducer in (_homoglyph_edits, _lookalike_edits, _spelled_edits, _bracket_edits, _spoken_edits):
         tape.rewrite(transducer(tape.text))
     if not tape.touched:
         return []

@@ -107,7 +107,7 @@ RULES = (
     Rule("shouting", lambda t: 10 * t.text.count("!") > 5 * t.n_words),
     Rule("letters", lambda t: 10 * sum(any(map(str.isalpha, w)) for w in t.words) < 7 * t.n_words),
     Rule("one_word", _long_run),
-    Rule("abusive", lambda t: len(_ABUSIVE.findall(t.text)) >= 3),
+    Rule("abusive", lambda t: (hits := len(_ABUSIVE.findall(t.text))) >= 3 and 250 * hits >= t.n_words),
 )
 BASE_RULES = (
     Rule("short", lambda t: t.n_words < 50),

@@ -147,6 +147,9 @@ DISGUISED = [
     ("ip one nine two dot one six eight dot one dot one end", "ip", "one nine two dot one six eight dot one dot one"),
     ("at 192[.]168[.]1[.]20", "ip", "192[.]168[.]1[.]20"),
     ("٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
+    ("juan arroba correo punto es", "email", "juan arroba correo punto es"),
+    ("Karte vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins", "card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
+    ("host 192.l68.1.1", "ip", "192.l68.1.1"),
     ("x jo​hn@exam​ple.com", "email", "jo​hn@exam​ple.com"),
 ]
 
@@ -158,7 +161,7 @@ def test_disguises_map_back(text, kind, span):
     assert pii.redacted(text) == text.replace(span, f"[{kind.upper()}]")
 
 
-@pytest.mark.parametrize("text", ["look at the example.com dot this", "one two three four", "we meet at noon. dot com", "une année à Paris", "joe AT example.com", "five at one dot"])
+@pytest.mark.parametrize("text", ["look at the example.com dot this", "one two three four", "we meet at noon. dot com", "une année à Paris", "joe AT example.com", "five at one dot", "le point est un deux", "B12 O2 10l 5I", "un deux trois soleil"])
 def test_clean_text_stays(text):
     assert pii.find(text) == ([], []) and pii.redacted(text) == text
 
