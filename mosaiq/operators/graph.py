@@ -7,10 +7,12 @@ image), so pairs and triples are generated in place and only aggregates are shuf
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.raster import spread
+
 FIXED = (20, 50, 100, 150)
 ADAPTIVE = tuple((k, i) for k in (1, 2, 4, 6, 8) for i in (0, 0.5, 1, 1.5, 2))
 
@@ -26,7 +28,7 @@ SUFFIXES = tuple(str(t) for t in FIXED) + THRESHOLD_NAMES[len(FIXED) :]
 
 def gathered(points: DataFrame) -> DataFrame:
     """image_id, pts: the points of each image by label."""
-    return points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "y", "x"))).alias("pts"))
+    return spread(points).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "y", "x"))).alias("pts"))
 
 
 def pairs(points: DataFrame) -> DataFrame:
@@ -132,22 +134,27 @@ def triangulate(y: np.ndarray, x: np.ndarray) -> np.ndarray:
 EDGES = "image_id string, src int, dst int, weight double"
 
 
-def _triangulated(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("label")
-    y, x, label = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float), pdf["label"].to_numpy()
-    e = triangulate(y, x)
-    w = np.hypot(y[e[:, 0]] - y[e[:, 1]], x[e[:, 0]] - x[e[:, 1]])
-    return pd.DataFrame({"image_id": pdf["image_id"].iloc[0] if len(pdf) else None, "src": label[e[:, 0]], "dst": label[e[:, 1]], "weight": w})
+def _triangulations(batches):
+    for batch in batches:
+        rows = []
+        for image, pts in zip(batch.column("image_id").to_pylist(), batch.column("pts").to_pylist(), strict=True):
+            y, x = np.array([p["y"] for p in pts]), np.array([p["x"] for p in pts])
+            e = triangulate(y, x)
+            w = np.hypot(y[e[:, 0]] - y[e[:, 1]], x[e[:, 0]] - x[e[:, 1]])
+            rows += [(image, pts[i]["label"], pts[j]["label"], d) for (i, j), d in zip(e.tolist(), w.tolist(), strict=True)]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["image_id", "src", "dst", "weight"])
 
 
 def delaunay(points: DataFrame, relational_up_to: int = 150) -> DataFrame:
     """image_id, src, dst, weight: the test over triples for small images, insertion for large ones."""
     if relational_up_to <= 0:
-        return points.select("image_id", "label", "y", "x").groupBy("image_id").applyInPandas(_triangulated, EDGES)
+        return gathered(points).mapInArrow(_triangulations, EDGES)
     size = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     large = points.join(size.where(F.col("n") > relational_up_to).select("image_id"), "image_id", "left_semi")
     small = points.join(size.where(F.col("n") <= relational_up_to).select("image_id"), "image_id", "left_semi")
-    return delaunay_relational(small).unionByName(large.select("image_id", "label", "y", "x").groupBy("image_id").applyInPandas(_triangulated, EDGES))
+    return delaunay_relational(small).unionByName(gathered(large).mapInArrow(_triangulations, EDGES))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.raster import bands
+from ..sources.raster import bands, spread
 from . import graph, kernels
 
 
@@ -195,7 +195,7 @@ def _small_worlds(batches):
 
 def small_worlds(points: DataFrame, edges: DataFrame, limits: DataFrame) -> DataFrame:
     """image_id, small_world: a flag per threshold, against seeded random graphs."""
-    nodes = points.groupBy("image_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    nodes = spread(points).groupBy("image_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
     links = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("weight", "src", "dst"))).alias("edges"))
     rows = nodes.join(links, "image_id", "left").join(limits, "image_id").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<weight:double,src:int,dst:int>>")))
     return rows.mapInArrow(_small_worlds, "image_id string, small_world array<boolean>")

@@ -35,6 +35,15 @@ def _seeds(part: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str = "image_id") -> DataFrame:
+    """df dealt out by image over twice the cluster's cores.
+
+    For small rows from which much is made or computed: their bytes say nothing about the work,
+    so they are not left to the sizing of shuffles. Later groupings by image need no shuffle.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def synthetic_pixels(part: DataFrame, gap: float = GAP) -> DataFrame:
     """The raster of part's seeds: a pixel belongs to its nearest seed unless the second is near.
 
@@ -44,19 +53,19 @@ def synthetic_pixels(part: DataFrame, gap: float = GAP) -> DataFrame:
     cell carries nine candidates as columns and makes its pixels in place: nothing of pixel size
     is shuffled.
     """
-    seeds = _seeds(part)
+    seeds = spread(_seeds(part))
     rows = (HEIGHT + CELL_Y - 1) // CELL_Y
     # each seed is a candidate of the cells around it; the cell collects nine at most
     around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    spread = seeds.select("image_id", "row", "column", "seed", "sy", "sx", around.alias("o"))
-    spread = spread.select("image_id", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("column") + F.col("o.dx")).alias("column"), "o", "seed", "sy", "sx")
-    spread = spread.where(F.col("row").between(0, rows - 1) & F.col("column").between(0, SEED_COLUMNS - 1))
+    placed = seeds.select("image_id", "row", "column", "seed", "sy", "sx", around.alias("o"))
+    placed = placed.select("image_id", (F.col("row") + F.col("o.dy")).alias("row"), (F.col("column") + F.col("o.dx")).alias("column"), "o", "seed", "sy", "sx")
+    placed = placed.where(F.col("row").between(0, rows - 1) & F.col("column").between(0, SEED_COLUMNS - 1))
     # one integer holds a candidate's place and number; a cell without it has one far away
     packed = (F.col("sy").cast("long") * 65536 + F.col("sx")) * 64 + F.col("seed")
     nowhere = (20_000 * 65536 + 20_000) * 64
     slots = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     here = [F.coalesce(F.max(F.when((F.col("o.dy") == dy) & (F.col("o.dx") == dx), packed)), F.lit(nowhere)).alias(f"c{i}") for i, (dy, dx) in enumerate(slots)]
-    cells = spread.groupBy("image_id", "row", "column").agg(*here)
+    cells = placed.groupBy("image_id", "row", "column").agg(*here)
     parts = [c for i in range(9) for c in (
         F.floor(F.col(f"c{i}") / (65536 * 64)).cast("int").alias(f"sy{i}"),
         (F.floor(F.col(f"c{i}") / 64) % 65536).cast("int").alias(f"sx{i}"),
