@@ -231,6 +231,51 @@ def fourier_energy(c: np.ndarray, harmonics: int = 10) -> float:
     return float(energy[-take:].sum()) / total if total >= 1e-9 and take > 0 else 0.0
 
 
+def box_dimension(mask: np.ndarray, scales: int = 10) -> float:
+    """Box-counting slope of a region's crop, boxes from its corner; 0 with fewer than two scales.
+
+    Scales are spaced evenly in the logarithm up to the longer side; those beyond the shorter
+    side are left out.
+    """
+    h, w = mask.shape
+    if max(h, w) <= 1:
+        return 0.0
+    every = np.unique(np.rint(10 ** (np.log10(float(max(h, w))) * np.arange(scales) / (scales - 1))).astype(int))
+    used = every[every <= min(h, w)]
+    if len(used) < 2:
+        return 0.0
+    y, x = np.nonzero(mask)
+    counts = [np.unique((y // s) * (w + 1) + x // s).size for s in used.tolist()]
+    a, b = np.log(used), np.log(counts)
+    a = a - a.mean()
+    return float(-(a @ (b - b.mean())) / (a @ a))
+
+
+#: Border-pixel codes (1 + 2 per 4-neighbour + 10 per diagonal neighbour) and weights.
+BORDER_WEIGHTS = {1.0: (5, 7, 15, 17, 25, 27), 2**0.5: (21, 33), (1 + 2**0.5) / 2: (13, 23)}
+
+
+def perimeters(labels: np.ndarray) -> np.ndarray:
+    """Perimeter of each label 0..max by the weights of its border pixels (Benkrid and Crookes)."""
+
+    def at(raster: np.ndarray, dy: int, dx: int) -> np.ndarray:
+        out = np.zeros_like(raster)
+        h, w = raster.shape
+        out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = raster[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+        return out
+
+    inner = np.logical_and.reduce([at(labels, dy, dx) == labels for dy, dx in AROUND if not (dy and dx)])
+    border = np.where(inner, 0, labels)
+    code = np.ones(labels.shape, int)
+    for dy, dx in AROUND:
+        code += np.where(at(border, dy, dx) == border, 10 if dy and dx else 2, 0)
+    weight = np.zeros(64)
+    for value, codes in BORDER_WEIGHTS.items():
+        weight[list(codes)] = value
+    on = border > 0
+    return np.bincount(border[on], weight[code[on]], minlength=int(labels.max(initial=0)) + 1)
+
+
 def region_shape(mask: np.ndarray) -> dict[str, float]:
     """Hull, skeleton and contour features of one region's crop."""
     area = int(mask.sum())
@@ -245,6 +290,7 @@ def region_shape(mask: np.ndarray) -> dict[str, float]:
     out["tortuosity"] = tortuosity(c) if c is not None else 0.0
     out["curvature_std"] = float(k.std()) if c is not None and len(c) >= 3 else 0.0
     out["fourier_energy"] = fourier_energy(c) if c is not None else 0.0
+    out["fractal_dimension_boxcount"] = box_dimension(mask)
     out["curvature_sum"], out["curvature_points"] = float(k.sum()), float(len(k))
     return out
 

@@ -25,7 +25,7 @@ def _raster(value) -> np.ndarray:
 
 SHAPES = (
     "image_id string, label int, convexity double, convex_defect double, feret_diameter_max double, skeleton_branches double, skeleton_length_ratio double,"
-    " tortuosity double, curvature_std double, fourier_energy double, curvature_sum double, curvature_points double"
+    " tortuosity double, curvature_std double, fourier_energy double, fractal_dimension_boxcount double, curvature_sum double, curvature_points double, perimeter double"
 )
 _SHAPE_NAMES = [c.split()[0] for c in SHAPES.split(",")][2:]
 
@@ -33,7 +33,9 @@ _SHAPE_NAMES = [c.split()[0] for c in SHAPES.split(",")][2:]
 def _shapes(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            rows = [(label, kernels.region_shape(mask)) for label, _, _, mask in kernels.crops(_raster(labels.as_py()))]
+            raster = _raster(labels.as_py())
+            around = kernels.perimeters(raster) if raster.size else ()
+            rows = [(label, kernels.region_shape(mask) | {"perimeter": around[label]}) for label, _, _, mask in kernels.crops(raster)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([image] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([float(r[1][n]) for r in rows], pa.float64()) for n in _SHAPE_NAMES)],
                 names=["image_id", "label", *_SHAPE_NAMES],
@@ -41,7 +43,7 @@ def _shapes(batches):
 
 
 def region_shapes(pixels: DataFrame) -> DataFrame:
-    """Hull, skeleton and first-contour features of each region."""
+    """Hull, skeleton, first-contour, box-counting and perimeter features of each region."""
     return images(pixels).mapInArrow(_shapes, SHAPES)
 
 
@@ -94,6 +96,43 @@ def skeleton_pixels(mask: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", F.posexplode("labels").alias("x", "label"))
 
 
+def _measures(batches):
+    for batch in batches:
+        for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
+            raster = _raster(labels.as_py())
+            around = kernels.perimeters(raster) if raster.size else ()
+            rows = [(label, around[label], kernels.box_dimension(mask)) for label, _, _, mask in kernels.crops(raster)]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([image] * len(rows), pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())],
+                names=["image_id", "label", "perimeter", "fractal_dimension_boxcount"],
+            )
+
+
+def region_measures(pixels: DataFrame) -> DataFrame:
+    """image_id, label, perimeter, fractal_dimension_boxcount: what neighbours.perimeters and
+    regions.fractal_dimension say, from one pass over the images."""
+    return images(pixels).mapInArrow(_measures, "image_id string, label int, perimeter double, fractal_dimension_boxcount double")
+
+
+def _near(radius: int):
+    def run(batches):
+        for batch in batches:
+            for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
+                raster = _raster(labels.as_py())
+                near = kernels.dilate(raster > 0, radius) if raster.size else raster
+                yield _band_batch(image, [("near", 2 * raster + near)])
+
+    return run
+
+
+def near_labels(pixels: DataFrame, radius: int) -> DataFrame:
+    """Pixels with near: whether a labelled pixel lies within a disk of the radius around them."""
+    rows = images(pixels).mapInArrow(_near(radius), "image_id string, region_type string, y int, labels array<int>")
+    flat = rows.select("image_id", "y", F.posexplode("labels").alias("x", "v"))
+    return flat.select("image_id", "y", "x", F.shiftright("v", 1).alias("label"), (F.col("v") % 2 == 1).alias("near"))
+
+
 NETWORK = "image_id string, nodes long, edges long, components long, network_euler_number long, longest_chain_length long, endpoints long"
 
 

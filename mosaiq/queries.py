@@ -70,7 +70,7 @@ def total_boundary_length(spark, sf_dir):
 def region_perimeter(spark, sf_dir):
     pixels = raster.raster(spark, sf_dir)
     p, a = F.col("perimeter"), F.col("area")
-    joined = neighbours.perimeters(neighbours.with_neighbours(pixels)).join(regions.geometry(pixels).select("image_id", "label", "area"), ["image_id", "label"])
+    joined = morphology.region_measures(pixels).join(regions.geometry(pixels).select("image_id", "label", "area"), ["image_id", "label"])
     return rounded(
         joined.select(
             "image_id", "label", p.alias("perimeter"),
@@ -92,7 +92,7 @@ def topology_features(spark, sf_dir):
 
 
 def fractal_regions(spark, sf_dir):
-    return rounded(regions.fractal_dimension(raster.raster(spark, sf_dir)))
+    return rounded(morphology.region_measures(raster.raster(spark, sf_dir)).drop("perimeter"))
 
 
 def fractal_boundaries(spark, sf_dir):
@@ -100,17 +100,18 @@ def fractal_boundaries(spark, sf_dir):
     return rounded(regions.boundary_fractal(neighbours.inner_boundary(neighbours.with_neighbours(pixels)), regions.frames(pixels)))
 
 
+def _places(df):
+    return df.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
+
+
 def dilate_disk(spark, sf_dir):
-    pixels = raster.raster(spark, sf_dir)
-    spots = neighbours.inner_boundary(neighbours.with_neighbours(pixels)).where("label % 10 = 1")
-    grown = neighbours.dilate(spots, pixels, 3)
-    return grown.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
+    near = neighbours.with_neighbours(raster.raster(spark, sf_dir))
+    spots = near.select("image_id", "y", "x", F.when(neighbours.on_boundary() & (F.col("label") % 10 == 1), 1).otherwise(0).alias("label"))
+    return _places(morphology.near_labels(spots, 3).where("near"))
 
 
 def thin_background(spark, sf_dir):
-    pixels = raster.raster(spark, sf_dir)
-    thin = neighbours.within_distance(pixels.where("label = 0"), neighbours.inner_boundary(neighbours.with_neighbours(pixels)), 3)
-    return thin.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
+    return _places(morphology.near_labels(raster.raster(spark, sf_dir), 3).where("label = 0 and near"))
 
 
 def nn_distance(spark, sf_dir):

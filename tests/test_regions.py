@@ -130,3 +130,17 @@ def test_feature_vector_has_701_columns(spark):
     assert len(rows) == 2 and all(r.global_num_grains == 40 for r in rows)
     assert all(sum(r[f"global_degree_dist_{d}_150"] for d in range(9)) <= 40 for r in rows)
     assert all(r.thinw_neighbor_count_mean == 0 and r.junc_triple_junction_mean == 0 for r in rows)
+
+
+def test_kernel_measures_match_the_relations(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    for gap in (0.0, 1.5):
+        p = raster.synthetic_pixels(part, gap)
+        found = {(r.image_id, r.label): r for r in morphology.region_measures(p).collect()}
+        for r in neighbours.perimeters(neighbours.with_neighbours(p)).collect():
+            assert found[r.image_id, r.label].perimeter == pytest.approx(r.perimeter)
+        for r in regions.fractal_dimension(p).collect():
+            assert found[r.image_id, r.label].fractal_dimension_boxcount == pytest.approx(r.fractal_dimension_boxcount)
+        near = morphology.near_labels(p, 2).where("label = 0 and near").select("image_id", "y", "x")
+        edge = neighbours.inner_boundary(neighbours.with_neighbours(p))
+        assert sorted(near.collect()) == sorted(neighbours.within_distance(p.where("label = 0").select("image_id", "y", "x"), edge, 2).collect())
