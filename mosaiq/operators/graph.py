@@ -196,18 +196,15 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def clustering(points: DataFrame, edges: DataFrame, limits: DataFrame) -> DataFrame:
     """Mean clustering per image and threshold (columns c0..c28): nodes of degree < 2 count 0."""
-    k = both_ways(edges).join(limits, "image_id").groupBy("image_id", F.col("u").alias("label"))
-    count = len(THRESHOLD_NAMES)
-    deg = k.agg(*[F.count_if(F.col("weight") <= F.col("t")[i]).alias(f"k{i}") for i in range(count)])
+    steps = F.posexplode("t").alias("i", "limit")
+    deg = both_ways(edges).join(limits, "image_id").select("image_id", F.col("u").alias("label"), "weight", steps).where("weight <= limit").groupBy("image_id", "label", "i").agg(F.count(F.lit(1)).alias("k"))
     tri = triangles(edges).select("image_id", "side", F.explode(F.array("a", "b", "c")).alias("label")).join(limits, "image_id")
-    tri = tri.groupBy("image_id", "label").agg(*[F.count_if(F.col("side") <= F.col("t")[i]).alias(f"t{i}") for i in range(count)])
-    joined = points.select("image_id", "label").join(deg, ["image_id", "label"], "left").join(tri, ["image_id", "label"], "left")
-
-    def local(i: int) -> Column:
-        kk = F.col(f"k{i}")
-        return F.when(kk >= 2, 2.0 * F.coalesce(f"t{i}", F.lit(0)) / (kk * (kk - 1))).otherwise(0.0)
-
-    return joined.groupBy("image_id").agg(*[F.avg(local(i)).alias(f"c{i}") for i in range(count)])
+    tri = tri.select("image_id", "label", "side", steps).where("side <= limit").groupBy("image_id", "label", "i").agg(F.count(F.lit(1)).alias("n"))
+    local = deg.where("k >= 2").join(tri, ["image_id", "label", "i"]).select("image_id", "i", (2.0 * F.col("n") / (F.col("k") * (F.col("k") - 1))).alias("c"))
+    total = local.groupBy("image_id", "i").agg(F.sum("c").alias("c")).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))
+    nodes = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(total, "image_id", "left")
+    at = lambda i: F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) / F.col("n")
+    return nodes.select("image_id", *[at(i).alias(f"c{i}") for i in range(len(THRESHOLD_NAMES))])
 
 
 def topology(points: DataFrame, adjacency: DataFrame, edges: DataFrame) -> DataFrame:

@@ -129,6 +129,8 @@ def test_feature_vector_has_701_columns(spark):
     rows = f.collect()
     assert len(rows) == 2 and all(r.global_num_grains == 40 for r in rows)
     assert all(sum(r[f"global_degree_dist_{d}_150"] for d in range(9)) <= 40 for r in rows)
+    assert all(r.grain_area_mean == pytest.approx(r.global_area_mean) and r.grain_area_std == pytest.approx(r.global_area_std) for r in rows)
+    assert all(0 < r.global_avg_clustering_150 <= 1 and r.global_avg_clustering_adaptive_1r0std == 0 for r in rows)
     assert all(r.thinw_neighbor_count_mean == 0 and r.junc_triple_junction_mean == 0 for r in rows)
 
 
