@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+_NORMAL = NormalDist()
+
 
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (Lentz)."""
@@ -58,43 +61,72 @@ def normal_quantile(p: float) -> float:
     return x
 
 
-def shapiro(values: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p after Royston (1995), for 3 to 5000 values."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3 or x[0] == x[-1]:
-        return float("nan"), float("nan")
-    m = np.array([normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm = float(m @ m)
-    u = 1 / math.sqrt(n)
+#: Ranks whose normal scores are summed at a time.
+SCORE_BLOCK = 1 << 16
+
+
+def normal_scores(before: int, count: int, n: int, ends: int) -> tuple[float, float]:
+    """Of the ranks before + 1 .. before + count of n: the sum of their normal scores, without the
+    `ends` outermost ranks on either side, and the sum of all their squares."""
+    inner = square = 0.0
+    for start in range(before + 1, before + count + 1, SCORE_BLOCK):
+        i = np.arange(start, min(start + SCORE_BLOCK, before + count + 1))
+        low = np.minimum(i, n + 1 - i)  # the scores are symmetric
+        m = np.fromiter(map(_NORMAL.inv_cdf, (low - 0.375) / (n + 0.25)), float, len(i)) * np.where(2 * i > n + 1, -1.0, 1.0)
+        inner += float(m[(i > ends) & (i <= n - ends)].sum())
+        square += float(m @ m)
+    return inner, square
+
+
+def shapiro_ends(n: int) -> int:
+    """Ranks at either end that have weights of their own."""
+    return 1 if n <= 5 else 2
+
+
+def shapiro_weights(n: int, mm: float) -> tuple[float, float, float]:
+    """Weights of the outermost and of the second values, and the factor of the other scores; mm
+    is the sum of the squared scores."""
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        # fixed values: Royston's polynomials for the outer weights
-        last = m[-1] / math.sqrt(mm) + u * (0.221157 + u * (-0.147981 + u * (-2.071190 + u * (4.434685 + u * -2.706056))))
-        a = m.copy()
-        if n > 5:
-            second = m[-2] / math.sqrt(mm) + u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 + u * -3.582633))))
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
-            a[-2], a[1] = second, -second
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = m / math.sqrt(phi)
-        a[-1], a[0] = last, -last
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+        return math.sqrt(0.5), 0.0, 0.0
+    u = 1 / math.sqrt(n)
+    outer = -_NORMAL.inv_cdf((1 - 0.375) / (n + 0.25))
+    # fixed values: Royston's polynomials for the outer weights
+    last = outer / math.sqrt(mm) + u * (0.221157 + u * (-0.147981 + u * (-2.071190 + u * (4.434685 + u * -2.706056))))
+    if n <= 5:
+        return last, 0.0, 1 / math.sqrt((mm - 2 * outer**2) / (1 - 2 * last**2))
+    next_to = -_NORMAL.inv_cdf((2 - 0.375) / (n + 0.25))
+    second = next_to / math.sqrt(mm) + u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 + u * -3.582633))))
+    return last, second, 1 / math.sqrt((mm - 2 * outer**2 - 2 * next_to**2) / (1 - 2 * last**2 - 2 * second**2))
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """P of Shapiro-Wilk's W; fitted by Royston for up to 5000 values, the same formula beyond."""
     if n == 3:
-        p = max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-        return w, p
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y, ln = math.log(max(1 - w, 1e-300)), math.log(n)
     if n <= 11:
         g = -2.273 + 0.459 * n
         if y >= g:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(g - y)
         mu = 0.5440 + n * (-0.39978 + n * (0.025054 + n * -0.0006714))
         sigma = math.exp(1.3822 + n * (-0.77857 + n * (0.062767 + n * -0.0020322)))
     else:
         mu = -1.5861 + ln * (-0.31082 + ln * (-0.083751 + ln * 0.0038915))
         sigma = math.exp(-0.4803 + ln * (-0.082676 + ln * 0.0030302))
-    return w, 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2))
+    return 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2))
+
+
+def shapiro(values: np.ndarray) -> tuple[float, float]:
+    """Shapiro-Wilk W and p after Royston (1995), for 3 values at least."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 3 or x[0] == x[-1]:
+        return float("nan"), float("nan")
+    ends = shapiro_ends(n)
+    scores = [normal_scores(i, 1, n, ends) for i in range(n)]
+    last, second, factor = shapiro_weights(n, sum(s for _, s in scores))
+    c = x - x.mean()
+    b = last * (c[-1] - c[0]) + second * (c[-2] - c[1]) + factor * float(np.array([m for m, _ in scores]) @ c)
+    w = min(1.0, float(b * b / (c @ c)))
+    return w, shapiro_p(w, n)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.special import f_sf, shapiro
+from ..functions.special import f_sf, normal_scores, shapiro_ends, shapiro_p, shapiro_weights
+from ..plans.scratch import materialise
 
 #: Variances up to this count as zero, whatever the feature's scale.
 ZERO_VARIANCE = 1e-8
@@ -77,16 +79,58 @@ def levene(long: DataFrame) -> DataFrame:
     return anova(deviations(long)).select("feature", "f", "p_value")
 
 
-def _shapiro(pdf: pd.DataFrame) -> pd.DataFrame:
-    w, p = shapiro(pdf["value"].to_numpy(float))
-    return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "sample": [pdf["sample"].iloc[0]], "w": [w], "p_value": [p]})
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
 
 
-def normality(long: DataFrame, up_to: int = 5000) -> DataFrame:
-    """Shapiro-Wilk by feature and sample, where a sample has 3 to 5000 values (the test's range)."""
-    known = long.where(F.col("value").isNotNull()).select("feature", "sample", "value")
-    sizes = known.groupBy("feature", "sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(3, up_to)).select("feature", "sample")
-    return known.join(sizes, ["feature", "sample"], "left_semi").groupBy("feature", "sample").applyInPandas(_shapiro, "feature string, sample string, w double, p_value double")
+@F.pandas_udf(_doubles("inner", "square"))
+def _scores(before: pd.Series, count: pd.Series, n: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([normal_scores(b, c, k, shapiro_ends(k)) for b, c, k in zip(before.tolist(), count.tolist(), n.tolist(), strict=True)], columns=["inner", "square"])
+
+
+@F.pandas_udf(_doubles("w", "p_value"))
+def _shapiro(n: pd.Series, outer: pd.Series, second: pd.Series, inner: pd.Series, square: pd.Series, ss: pd.Series) -> pd.DataFrame:
+    out = []
+    for k, x, y, z, mm, s in zip(n.tolist(), outer, second, inner, square, ss, strict=True):
+        if not x or not s > 0:
+            out.append((float("nan"), float("nan")))
+            continue
+        last, next_to, factor = shapiro_weights(k, mm)
+        w = min(1.0, (last * x + next_to * y + factor * z) ** 2 / s)
+        out.append((w, shapiro_p(w, k)))
+    return pd.DataFrame(out, columns=["w", "p_value"])
+
+
+def normality(long: DataFrame, chunks: int = 32) -> DataFrame:
+    """Shapiro-Wilk by feature and sample, on all values of every sample of at least three.
+
+    Equal values collapse first; the ranks of the others come from chunks of each sample (cut at
+    its quantiles) and the sizes of the chunks before, so no task holds a whole sample. Samples
+    without spread have NULLs. W is exact for any size; p above 5000 values is the same formula
+    beyond the range it was fitted on.
+    """
+    key = ["feature", "sample"]
+    known = long.where(F.col("value").isNotNull()).select(*key, "value")
+    sizes = known.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), (F.count(F.lit(1)) * F.var_pop("value")).alias("ss"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile_approx("value", [i / chunks for i in range(1, chunks)], 1000).alias("cuts"),
+    ).where("n >= 3")
+    values = known.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("count"))
+    # written once: another run could cut at other approximate quantiles
+    sizes = materialise(sizes, "samples")
+    parts = values.join(sizes.select(*key, "n", "mean", "cuts"), key).withColumn("chunk", F.size(F.filter(F.array_distinct("cuts"), lambda q: F.col("value") > q))).drop("cuts")
+    inside = F.sum("count").over(Window.partitionBy(*key, "chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    filled = parts.groupBy(*key, "chunk").agg(F.sum("count").alias("filled"))
+    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = filled.select(*key, "chunk", F.coalesce(F.sum("filled").over(earlier), F.lit(0)).alias("offset"))
+    ranked = parts.withColumn("inside", inside).join(offsets, [*key, "chunk"]).withColumn("before", F.col("inside") + F.col("offset"))
+    at = lambda rank: F.max(F.when((F.col("before") < rank) & (F.col("before") + F.col("count") >= rank), F.col("value")))
+    scored = ranked.withColumn("s", _scores("before", "count", "n"))
+    sums = scored.groupBy(*key).agg(
+        F.sum(F.col("s.inner") * (F.col("value") - F.col("mean"))).alias("inner"), F.sum("s.square").alias("square"), at(F.lit(2)).alias("second"), at(F.col("n") - 1).alias("next_to_last")
+    )
+    tested = sizes.join(sums, key).withColumn("t", _shapiro("n", F.col("most") - F.col("least"), F.col("next_to_last") - F.col("second"), "inner", "square", "ss"))
+    return tested.select(*key, "t.w", "t.p_value")
 
 
 def good_features(icc: DataFrame, tested: DataFrame, threshold: float = 0.75) -> DataFrame:

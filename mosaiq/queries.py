@@ -188,8 +188,7 @@ def anova_p(spark, sf_dir):
 
 
 def normality(spark, sf_dir):
-    long = _events_long(spark, sf_dir).where("rater <= 2000").select("feature", "sample", "value")
-    return rounded(stats.normality(long))
+    return rounded(stats.normality(_events_long(spark, sf_dir)))
 
 
 def good_features(spark, sf_dir):

@@ -55,6 +55,17 @@ def test_special_functions():
     assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.001)
 
 
+def test_normality_uses_all_values_of_a_sample(spark):
+    rng = np.random.default_rng(5)
+    groups = {"large": rng.normal(size=6001) + 1000, "tied": rng.integers(0, 9, 700).astype(float), "three": np.array([1.0, 2.0, 4.0]), "five": np.array([3.0, 1.0, 4.0, 1.0, 5.0]), "six": np.array([3.0, 1.0, 4.0, 1.0, 5.0, 9.0]), "two": np.array([1.0, 2.0]), "flat": np.full(50, 5.0)}
+    rows = [("f", s, float(v)) for s, x in groups.items() for v in x] + [("f", "three", None)]
+    found = {r["sample"]: (r.w, r.p_value) for r in stats.normality(spark.createDataFrame(rows, "feature string, sample string, value double")).collect()}
+    assert sorted(found) == ["five", "flat", "large", "six", "three", "tied"]
+    assert found["flat"] == (None, None)
+    for s in ("large", "tied", "three", "five", "six"):
+        assert found[s] == pytest.approx(special.shapiro(groups[s]), rel=1e-9)
+
+
 def test_filters(spark):
     rng = random.Random(3)
     rows = []
