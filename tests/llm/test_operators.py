@@ -328,6 +328,12 @@ def test_templates(spark, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {3, 4, 5} and 1 not in {r.doc_id for r in kept.collect()}
 
 
+def test_items_of_few_literals_are_found_as_they_stand(spark, corpus):
+    items = [(1, "Solve 3 x 4 + 5 x 6"), (2, "What is 12 + 35 - 7 * 2?"), (3, "Anna Berg Carl Holm Mia Lind Otto Falk Eva Dahl Nils Krog Ida Moe")]
+    docs = [(i, f"We went on and {t} was there") for i, t in items] + [(4, "We went on and Solve 9 x 8 + 7 x 1 was there"), (5, "What is 13 + 36 - 8 * 3?")]
+    assert {(r.doc_id, r.item_id, r.share) for r in decontam.matches(corpus(docs), bench(spark, items)).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
+
+
 def test_benchmark_passages_are_found(spark, real):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     norm = lambda t: " " + " ".join(re.sub(r"[^\w\s]", "", t.lower()).split()) + " "
