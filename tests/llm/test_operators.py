@@ -334,6 +334,13 @@ def test_items_of_few_literals_are_found_as_they_stand(spark, corpus):
     assert {(r.doc_id, r.item_id, r.share) for r in decontam.matches(corpus(docs), bench(spark, items)).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
 
 
+def test_copies_are_found_whatever_their_case_and_context(spark, corpus):
+    short = "What did Anna buy? The pens were blue. In May Carl paid. Then Otto went home."
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, f"He asked What it was and The man said In short Then no. {short} More of it."), (4, BROKEN.lower()), (5, "STRASSE " + ITEM.upper())]
+    found = {(r.doc_id, r.item_id): r.share for r in decontam.matches(corpus(docs), bench(spark, [(10, ITEM), (11, short), (12, "straße")])).collect()}
+    assert found == {(1, 10): 1.0, (2, 10): 1.0, (3, 11): 1.0, (5, 10): 1.0, (5, 12): 1.0}
+
+
 def test_benchmark_passages_are_found(spark, real):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     norm = lambda t: " " + " ".join(re.sub(r"[^\w\s]", "", t.lower()).split()) + " "
