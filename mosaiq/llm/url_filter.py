@@ -1,7 +1,7 @@
 """URL filter: explicit rules, and a path-template tree where no rule fits.
 
-Per host, path segments become a tree: a segment that is a number or an identifier, or that is
-rare among the segments of its depth on its host, is generalised to a wildcard. Pages that a
+Per host, path segments become a tree: a segment that is a number or an identifier, or that has
+hardly any pages, is generalised to a wildcard, however large its host is. Pages that a
 rule judges are the labels of their template. Sibling templates (those equal but for their last
 literal segment) whose blocked shares do not differ significantly from their pool are merged.
 A template is rejected if its smoothed blocked share, drawn towards the share of all labelled
@@ -26,10 +26,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A segment stays literal from this share of the pages at its depth on its host, ...
-MIN_SEGMENT_SHARE = 0.01
-#: ... and from this number of pages.
+#: A segment stays literal from this number of pages.
 MIN_SEGMENT_PAGES = 3
+#: Of the SQL alone, which also asks for this share of the pages of a segment's depth on its host.
+MIN_SEGMENT_SHARE = 0.01
 #: Branches within so many standard errors of their pool are merged.
 SIMILAR_Z = 1.96
 SMOOTHING = 2.0
@@ -59,10 +59,7 @@ def templates(paths: DataFrame) -> DataFrame:
     segments = paths.select("host", "path", "n", F.posexplode(F.filter(F.split("path", "/"), lambda s: s != "")).alias("depth", "segment"))
     segments = segments.withColumn("segment", F.when(F.rlike("segment", F.lit(VARIABLE)), F.lit("*")).otherwise(F.col("segment")))
     pages = cut(segments.groupBy("host", "depth", "segment").agg(F.sum("n").alias("pages")), "segments")
-    total = cut(pages.groupBy("host", "depth").agg(F.sum("pages").alias("total")), "depths")
-    literal = pages.join(total, ["host", "depth"]).where(
-        (F.col("segment") != "*") & (F.col("pages") >= MIN_SEGMENT_PAGES) & (F.col("pages") >= MIN_SEGMENT_SHARE * F.col("total"))
-    )
+    literal = pages.where((F.col("segment") != "*") & (F.col("pages") >= MIN_SEGMENT_PAGES))
     literal = cut(literal.select("host", "depth", "segment", F.lit(True).alias("literal")), "literals")
     kept = segments.join(literal, ["host", "depth", "segment"], "left")
     piece = F.struct("depth", F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*")).alias("s"))

@@ -422,6 +422,14 @@ def test_url_templates(spark):
     assert v["/ads/203"] == "block" and v["/shop/7"] == "allow" and v["/news/9"] == "allow"
 
 
+def test_url_sections_of_a_large_host_are_judged_as_those_of_a_small_one(spark):
+    few = [f"http://few.com/de/{i}" for i in range(40)] + [f"http://few.com/{s}/{i}" for s in ("news", "shop") for i in range(40)]
+    many = [f"http://many.com/de/{i}" for i in range(40)] + [f"http://many.com/section-{k}/{i}" for k in range(120) for i in range(40)]
+    many += [f"http://more.com/{s}/{i}" for s in ("fr", "de") for i in range(40)] + [f"http://more.com/section-{k}/{i}" for k in range(120) for i in range(40)]
+    v = {(r.host, r.path): r.verdict for r in url_filter.judge(spark.createDataFrame(list(enumerate(few + many)), "page_id long, url string")).collect()}
+    assert all(verdict == ("block" if path.startswith("/de/") else "allow") for (_, path), verdict in v.items())
+
+
 # --- 10 license scan ------------------------------------------------------------------------
 
 
