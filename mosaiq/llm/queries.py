@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import documents
@@ -37,7 +38,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    counted = token_counts.token_counts(documents(spark, sf_dir))
+    return packing.pack(counted, F.col("n_tokens"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

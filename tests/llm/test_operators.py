@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mosaiq.llm import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
+from mosaiq.llm import decontam, langid, license_scan, packing, pii, quality, queries, simhash, substring_dedup, token_counts, url_filter
 
 
 def texts(df):
@@ -55,6 +55,19 @@ def test_pack_odd(odd, spark):
         packing.pack(odd, max_len=10, budget=5)
 
 
+def test_packing_query_counts_tokens(spark, tmp_path):
+    rows = [(1, "plain prose of a few words"), (2, "0123456789abcdefghij" * 800), (3, None), (4, "plain prose of a few words"), (None, "漢字仮名交" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = token_counts.count_tokens([t or "" for _, t in rows], token_counts.default_tokenizer())
+    found = queries.op1_packing(spark, str(tmp_path)).toPandas()
+    want = {-1 if i is None else i: n for (i, _), n in zip(rows, counts, strict=True)}
+    assert found.assign(doc_id=found.doc_id.fillna(-1).astype(int)).groupby("doc_id").n_tokens.sum().to_dict() == want and want[2] > packing.MAX_LEN
+    assert (found.n_tokens <= found.bucket_len).all() and found.bucket_len.max() <= packing.MAX_LEN
+    assert (found.groupby(["bucket", "batch"]).n_tokens.sum() <= packing.BUDGET).all()
+    long = found[found.doc_id == 2].sort_values("piece")
+    assert (long.first_token == long.piece * packing.MAX_LEN).all()
+
+
 # --- 2 quality ------------------------------------------------------------------------------
 
 
