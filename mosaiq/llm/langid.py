@@ -3,7 +3,7 @@
 Features are the hashed 1- to 3-grams of the lower-cased text. Document frequencies come from
 every training row (partial sums of a fixed-size vector, merged by feature). The weights are
 fitted by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded
-sample of the training rows, spread evenly over the languages; a second, disjoint part of the sample sets the temperature
+sample of the training rows (whole texts, counted by the workers), spread evenly over the languages; a second, disjoint part of the sample sets the temperature
 that calibrates the scores. Prediction broadcasts the weights, whose size is fixed by BUCKETS
 and the number of languages.
 """
@@ -23,8 +23,6 @@ from .common import mix
 BUCKETS = 1 << 14
 #: Rows of each language that may train the weights; as many again, by a quarter, calibrate.
 TRAIN_ROWS = 600
-#: Characters of a training text that are used; predictions read whole texts.
-TRAIN_CHARS = 20_000
 EPOCHS = 4
 ALPHA, BETA = 0.5, 1.0
 L1, L2 = 1e-4, 1e-4
@@ -130,6 +128,26 @@ def _document_frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
 
+COUNTS = "lang string, order long, buckets binary, counts binary"
+
+
+def _count_rows(batches):
+    """The features of whole texts and their counts, the features in ascending order."""
+    for batch in batches:
+        found = [term_counts(text) for text in batch.column("text").to_pylist()]
+        at = [np.flatnonzero(c) for c in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("order"), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.uint32).tobytes() for c, a in zip(found, at, strict=True)], pa.binary())],
+            names=[c.split()[0] for c in COUNTS.split(", ")],
+        )
+
+
+def _row_vector(row: dict, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[np.frombuffer(row["buckets"], np.uint16)] = np.frombuffer(row["counts"], np.uint32)
+    return vector(counts, idf)
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on the rows of docs (text, lang) that are not held out; None if there are none."""
     spark = docs.sparkSession
@@ -150,16 +168,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     for lang, n in by_lang.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.6 * train_rows / n)).otherwise(share)
     drawn = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6) < share
-    rows = known.where(drawn).select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang", F.xxhash64("doc_id", "text", F.lit(12)).alias("order"))
+    rows = known.where(drawn).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(12)).alias("order")).mapInArrow(_count_rows, COUNTS)
     rows = rows.limit(int(2 * train_rows * len(by_lang))).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["order"], r["text"]))
+    rows.sort(key=lambda r: (r["order"], r["buckets"], r["counts"]))
     languages = tuple(sorted(by_lang))
     taken = dict.fromkeys(languages, 0)
     train, rest = [], []
     for r in rows:
         taken[r["lang"]] += 1
         if taken[r["lang"]] <= 1.25 * train_rows:
-            (rest if taken[r["lang"]] % 5 == 0 else train).append((vector(term_counts(r["text"]), idf), languages.index(r["lang"])))
+            (rest if taken[r["lang"]] % 5 == 0 else train).append((_row_vector(r, idf), languages.index(r["lang"])))
     weights = fit_ftrl([v for v, _ in train], np.array([y for _, y in train], int), len(languages))
     scores = np.array([weights[:, at] @ x for (at, x), _ in rest]).reshape(len(rest), len(languages))
     return Model(languages, idf, weights, calibrate(scores, np.array([y for _, y in rest], int)))

@@ -321,6 +321,13 @@ def test_ftrl_is_sparse_and_calibration_minimises():
     assert 3 < langid.calibrate(s, y) < 8
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    head = "xyz " * 5001
+    rows = [(i, head + ("abab baba " if i % 2 else "cdcd dcdc ") * 50, "aa" if i % 2 else "cc") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.classify("baba abab", model)[0] == "aa" and langid.classify("dcdc cdcd", model)[0] == "cc"
+
+
 # --- 7 decontamination ----------------------------------------------------------------------
 
 ITEM = "Anna Berg buys 12 pens and Carl Holm buys 30 kg of apples, so how many euros does Anna pay for 12 pens today?"
