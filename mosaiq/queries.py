@@ -105,10 +105,20 @@ def _places(df):
     return df.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("y") * 131 + F.col("x")).cast("long")).alias("place"))
 
 
+def _near_boundary(pixels, of, radius=3):
+    """Pixels within a disk around the inner boundary of the regions that fit `of`."""
+    near = neighbours.with_neighbours(pixels)
+    spots = near.select("image_id", "y", "x", F.when(neighbours.on_boundary() & of, 1).otherwise(0).alias("label"))
+    return morphology.near_labels(spots, radius).where("near")
+
+
 def dilate_disk(spark, sf_dir):
-    near = neighbours.with_neighbours(raster.raster(spark, sf_dir))
-    spots = near.select("image_id", "y", "x", F.when(neighbours.on_boundary() & (F.col("label") % 10 == 1), 1).otherwise(0).alias("label"))
-    return _places(morphology.near_labels(spots, 3).where("near"))
+    """Of every tenth region, as its SQL has it; dilate_disk_all has every region."""
+    return _places(_near_boundary(raster.raster(spark, sf_dir), F.col("label") % 10 == 1))
+
+
+def dilate_disk_all(spark, sf_dir):
+    return _places(_near_boundary(raster.raster(spark, sf_dir), F.lit(True)))
 
 
 def thin_background(spark, sf_dir):
@@ -511,7 +521,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         image_region_stats, label_raster, region_geometry, region_axes, region_orientation, region_hu, adjacency_edges, boundary_pixels,
-        total_boundary_length, region_perimeter, neighbor_area_stats, topology_features, fractal_regions, fractal_boundaries, dilate_disk,
+        total_boundary_length, region_perimeter, neighbor_area_stats, topology_features, fractal_regions, fractal_boundaries, dilate_disk, dilate_disk_all,
         thin_background, nn_distance, pairwise_distance, delaunay_edges, degree_distribution, avg_clustering,
         rater_index, icc3k, anova_f, levene_f, anova_p, normality, good_features, sample_means, variance_filter, corr_matrix, corr_filter, feature_target_corr,
         merge_features_external, target_groups, coerce_numeric, drop_empty_columns, impute_mean, fill_zero, drop_missing, nan_to_zero, standardize_pop,

@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mosaiq import queries
 from mosaiq.operators import graph, kernels, morphology, neighbours, regions
 from mosaiq.plans import features
 from mosaiq.sources import raster
@@ -57,6 +59,19 @@ def test_dilation_and_distance(pixels):
     assert neighbours.within_distance(p.where("label = 0"), p.where("label = 1"), 1).count() == 4
 
 
+def test_boundaries_of_all_regions_dilate(spark, monkeypatch, pixels):
+    rng = np.random.default_rng(4)
+    drawings = {name: ["".join(map(str, row)) for row in np.kron(rng.integers(0, 5, (3, 4)), np.ones((6, 5), int))] for name in ("a", "b")}
+    monkeypatch.setattr(queries.raster, "raster", lambda spark, sf_dir: pixels(drawings))
+    want = {}
+    for name, lines in drawings.items():
+        at = {(y, x): c for y, line in enumerate(lines) for x, c in enumerate(line)}
+        edge = [(y, x) for (y, x), c in at.items() if c != "0" and any(at.get((y + dy, x + dx), c) != c for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))]
+        hit = {(y, x) for y, x in at if any((y - v) ** 2 + (x - u) ** 2 <= 9 for v, u in edge)}
+        want[name] = (len(hit), sum(y * 131 + x for y, x in hit))
+    assert {r.image_id: (r.pixels, r.place) for r in queries.QUERIES["dilate_disk_all"](spark, "").collect()} == want
+
+
 def points(spark, rows):
     return spark.createDataFrame([("a", i + 1, float(y), float(x)) for i, (y, x) in enumerate(rows)], "image_id string, label int, y double, x double")
 
