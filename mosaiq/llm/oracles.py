@@ -2,7 +2,7 @@
 
 from .license_scan import BAND, K, MIN_SHARE, PHRASES, TEMPLATES
 from .quality import ABUSIVE
-from .url_filter import MIN_SEGMENT_PAGES, MIN_SEGMENT_SHARE, REJECT_FROM, RULES, SIMILAR_Z, SMOOTHING, VARIABLE
+from .url_filter import DOMAINS, IDENTIFIER, LEVELS, LONG_SEGMENT, MIN_SEGMENT_PAGES, NUMBER, REJECT_FROM, RULES, SIMILAR_Z, SMOOTHING
 
 QUALITY = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -42,19 +42,40 @@ hp AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
 r AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in _FITS)} END AS rule, CASE {" ".join(f"WHEN {c} THEN '{w}'" for w, _, _, c in _FITS)} END AS ruled FROM hp),
 paths AS (SELECT host, path, ruled, count(*) AS n FROM r GROUP BY ALL),
 seg AS (SELECT host, path, n, generate_subscripts(s, 1) AS depth, unnest(s) AS raw FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM paths)),
-gen AS (SELECT *, CASE WHEN regexp_matches(raw, '{VARIABLE}') THEN '*' ELSE raw END AS segment FROM seg),
-freq AS (SELECT host, depth, segment, sum(n) AS pages FROM gen GROUP BY ALL),
-lit AS (SELECT f.host, f.depth, f.segment FROM freq f JOIN (SELECT host, depth, sum(pages) AS total FROM freq GROUP BY ALL) t USING (host, depth)
-  WHERE f.segment <> '*' AND pages >= {MIN_SEGMENT_PAGES} AND pages >= {MIN_SEGMENT_SHARE} * total),
-tmpl AS (SELECT g.host, g.path, list(CASE WHEN l.segment IS NULL THEN '*' ELSE g.segment END ORDER BY g.depth) AS template FROM gen g LEFT JOIN lit l USING (host, depth, segment) GROUP BY g.host, g.path),
+gen AS (SELECT *, CASE WHEN depth > {LEVELS} THEN '*' WHEN regexp_matches(raw, '{NUMBER}') THEN raw[1] || '#' WHEN regexp_matches(raw, '{IDENTIFIER}') THEN '#h' WHEN length(raw) >= {LONG_SEGMENT} THEN '*' ELSE raw END AS segment FROM seg),
+lit AS (SELECT host, depth, segment FROM (SELECT *, count(*) OVER (PARTITION BY depth, segment) AS hosts FROM (SELECT host, depth, segment, sum(n) AS pages FROM gen WHERE segment <> '*' AND NOT contains(segment, '#') GROUP BY ALL))
+  WHERE pages >= {MIN_SEGMENT_PAGES} OR hosts >= {MIN_SEGMENT_PAGES}),
+tmpl AS (SELECT g.host, g.path, list(CASE WHEN l.segment IS NOT NULL OR contains(g.segment, '#') THEN g.segment ELSE '*' END ORDER BY g.depth) AS template FROM gen g LEFT JOIN lit l USING (host, depth, segment) GROUP BY g.host, g.path),
 tree AS (SELECT p.host, p.path, p.ruled, p.n, coalesce(template, []) AS template FROM paths p LEFT JOIN tmpl USING (host, path)),
-labelled AS (SELECT host, template, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS blocked, sum(CASE WHEN ruled IS NOT NULL THEN n ELSE 0 END) AS labels FROM tree GROUP BY ALL),
-prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labels), 0), 0.0) AS p FROM labelled),
-leaf AS (SELECT *, list_transform(template, lambda s, i: CASE WHEN i = len(template) + 1 - coalesce(list_position(list_transform(list_reverse(template), lambda q: q <> '*'), TRUE), 0) THEN '*' ELSE s END) AS parent FROM labelled WHERE labels > 0),
-marked AS (SELECT *, abs(blocked / labels - pb / pn) <= {SIMILAR_Z} * sqrt(pb / pn * (1 - pb / pn) * (1 / labels + 1 / pn)) AS alike
-  FROM (SELECT *, sum(blocked) OVER (PARTITION BY host, parent) AS pb, sum(labels) OVER (PARTITION BY host, parent) AS pn FROM leaf)),
-scored AS (SELECT *, CASE WHEN alike THEN sum(blocked) FILTER (alike) OVER (PARTITION BY host, parent) ELSE blocked END AS b, CASE WHEN alike THEN sum(labels) FILTER (alike) OVER (PARTITION BY host, parent) ELSE labels END AS l FROM marked),
-bad AS (SELECT DISTINCT t.host, t.path FROM tree t JOIN scored s ON s.host = t.host AND s.template = t.template, prior WHERE ruled IS NULL AND (b + {SMOOTHING} * p) / (l + {SMOOTHING}) >= {REJECT_FROM})
+leaf AS (SELECT host, template, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS b, sum(n) AS n FROM tree WHERE ruled IS NOT NULL GROUP BY ALL),
+prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0.0) AS p FROM leaf),
+spot AS (SELECT host, template, list_filter(range(len(template)), lambda i: template[i + 1] <> '*') AS pos FROM (SELECT DISTINCT host, template FROM tree)),
+anc AS (SELECT host, template, j, CASE WHEN j = 0 THEN template ELSE list_concat(list_slice(template, 1, pos[len(pos) - j + 1]), list_transform(range(len(template) - pos[len(pos) - j + 1]), lambda x: '*')) END AS node,
+        j > 0 AND contains(template[pos[len(pos) - j + 1] + 1], '#') AS wild, j < len(pos) AS said FROM spot, range(17) t(j) WHERE j <= len(pos)),
+anf AS (SELECT *, said AND bool_and(wild OR j = 0) OVER (PARTITION BY host, template ORDER BY j) AS free FROM anc),
+branch AS (SELECT a.host, a.node, coalesce(c.node, a.node) AS child, sum(b) AS b, sum(n) AS n FROM anc a JOIN leaf USING (host, template) LEFT JOIN anc c ON c.host = a.host AND c.template = a.template AND c.j = a.j - 1 GROUP BY ALL),
+hlab AS (SELECT host, list_slice(string_split(host, '.'), -least(len(string_split(host, '.')), {DOMAINS}), -1) AS parts FROM (SELECT DISTINCT host FROM tree)),
+dom AS (SELECT host, d, array_to_string(list_slice(parts, d, {DOMAINS}), '.') AS domain, CASE WHEN d = 1 THEN '=' || host ELSE array_to_string(list_slice(parts, d - 1, {DOMAINS}), '.') END AS below FROM hlab, range(1, {DOMAINS} + 2) t(d) WHERE d <= len(parts) + 1),
+wide AS (SELECT domain, node, child, below, host, sum(b) AS b, sum(n) AS n FROM (SELECT host, node, child, b, n FROM branch WHERE len(list_filter(node, lambda x: x <> '*')) > 0) JOIN dom USING (host) GROUP BY ALL),
+pool AS (SELECT 'h' AS what, host AS name, node, sum(b) AS b, sum(n) AS n, count(*) AS k, count(*) AS c, sum(b * b / n) AS s FROM branch GROUP BY ALL
+  UNION ALL SELECT 'd', domain, node, sum(b), sum(n), sum(k), count(*), sum(b * b / n) FROM (SELECT domain, node, below, sum(b) AS b, sum(n) AS n, count(DISTINCT host) AS k FROM wide GROUP BY ALL) GROUP BY ALL
+  UNION ALL SELECT 's', domain, node, sum(b), sum(n), 0, count(*), sum(b * b / n) FROM (SELECT domain, node, child, sum(b) AS b, sum(n) AS n FROM wide GROUP BY ALL) GROUP BY ALL),
+node AS (SELECT *, c = 1 OR b = 0 OR b = n OR (s - b * b / n) / (b / n * (1 - b / n)) <= c - 1 + {SIMILAR_Z} * sqrt(2 * (c - 1)) AS alike FROM pool),
+step AS (SELECT a.host, a.template, a.j, 0 AS d, a.wild, a.free, b, n, k, alike AS sections, TRUE AS hosts FROM anf a JOIN node p ON what = 'h' AND p.name = a.host AND p.node = a.node
+  UNION ALL SELECT a.host, a.template, a.j, d.d, a.wild, a.free, p.b, p.n, p.k, q.alike, p.alike FROM anf a JOIN dom d USING (host) JOIN node p ON p.what = 'd' AND p.name = d.domain AND p.node = a.node
+    JOIN node q ON q.what = 's' AND q.name = p.name AND q.node = p.node WHERE said),
+near AS (SELECT host, template, j, min(d) FILTER (k >= 2 AND (j = 0 OR sections)) AS ok, coalesce(min(d) FILTER (NOT hosts), 99) AS bad, bool_or(free) AS free FROM step WHERE d > 0 GROUP BY ALL),
+inn AS (SELECT host, template, bool_or(j = 0) AS labelled, min(j) FILTER (sections AND (k >= 2 OR wild)) AS above, coalesce(min(j) FILTER (NOT sections), 99) AS unlike FROM step WHERE d = 0 GROUP BY ALL),
+free AS (SELECT host, template, min(j) AS j FROM near WHERE free GROUP BY ALL),
+start AS (SELECT t.host, t.template, CASE WHEN labelled THEN 0 WHEN z.ok < z.bad THEN 0 WHEN above < unlike THEN above WHEN f.ok < f.bad THEN f.j END AS level,
+        CASE WHEN labelled THEN 0 WHEN z.ok < z.bad THEN z.ok WHEN above < unlike THEN 0 ELSE f.ok END AS domain
+  FROM (SELECT DISTINCT host, template FROM step) t LEFT JOIN inn USING (host, template) LEFT JOIN near z ON z.host = t.host AND z.template = t.template AND z.j = 0
+  LEFT JOIN (near f JOIN free USING (host, template, j)) f ON f.host = t.host AND f.template = t.template),
+seen AS (SELECT x.host, x.template, x.j, x.d, x.b, x.n FROM step x JOIN start o USING (host, template) JOIN step y USING (host, template) WHERE level IS NOT NULL AND x.j >= level AND x.d >= domain GROUP BY ALL
+  HAVING bool_and(y.hosts OR y.j <> level OR y.d <= domain OR y.d > x.d) AND bool_and(y.sections OR y.d <> x.d OR y.j <= level OR y.j > x.j)),
+judged AS (SELECT host, template, arg_max(struct_pack(b := b, n := n), struct_pack(n := n, j := -j, d := -d)) AS best FROM seen GROUP BY ALL),
+bad AS (SELECT DISTINCT t.host, t.path FROM tree t JOIN judged o ON o.host = t.host AND o.template = t.template, prior
+  WHERE ruled IS NULL AND (best.b + {SMOOTHING} * p) / (best.n + {SMOOTHING}) >= {REJECT_FROM})
 SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN bad ON bad.host = r.host AND bad.path = r.path"""
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
