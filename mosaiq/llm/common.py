@@ -32,16 +32,18 @@ def process_cache(name: str) -> dict:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session."""
+    """Bound the Arrow batches of the session; the setting stays, since plans run after the call that made them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir (a local one only if that is unset)."""
+    """This application's folder below spark.checkpoint.dir; a local one only on a local master that leaves it unset."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="mosaiq-")
         _roots[app] = f"{base.rstrip('/')}/mosaiq-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_drop, spark, _roots[app])

@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .common import ASCII_LOWER, cut, id_text
@@ -155,16 +154,17 @@ def links(distinct: DataFrame, pair_limit: int = 256) -> DataFrame:
     return out.unionByName(stars)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the undirected edges (u, v); root is the component's least node.
 
-    Alternates large-star and small-star contraction until the edges no longer change.
+    Alternates large-star and small-star contraction until the edges no longer change, however
+    many rounds that takes (about the square of the logarithm of the longest chain).
     """
     now = cut(
         edges.where("u <> v").select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("low")).distinct(), "edges"
     )
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of a node is linked to the node's least neighbour
         both = now.select("node", F.col("low").alias("other")).unionByName(now.select(F.col("low").alias("node"), F.col("node").alias("other")))
         least = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "large")
@@ -182,58 +182,59 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def group_by_fingerprint(prints: DataFrame, pair_limit: int = 256) -> DataFrame:
-    """fp, component_id for each different fingerprint of prints (doc_id, fp)."""
+    """fp, root (the group's least fingerprint) and component_id for each different fingerprint of prints (doc_id, fp)."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = components(links(distinct.select("fp"), pair_limit))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     member = cut(member, "members")
     least = cut(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
-    return cut(member.join(least, "root").select("fp", "component_id"), "groups")
+    return cut(member.join(least, "root").select("fp", "root", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
-    A null text has no words and so fingerprint zero, linked like any other. Rows with a null
-    doc_id get their group's smallest doc_id (null if it has none). Repeated rows are kept. An
-    empty table gives an empty result; further columns of docs are ignored.
+    A null or empty text has no words and so fingerprint zero, linked like any other; a very long
+    one is read whole. Rows with a null doc_id get their group's smallest doc_id (null if it has
+    none). Repeated rows are kept. An empty table gives an empty result; further columns of docs
+    are ignored, whatever their names.
     """
     prints = cut(fingerprints(docs), "docprints")
     groups = group_by_fingerprint(prints, pair_limit)
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def free_name(docs: DataFrame, wish: str) -> str:
-    """A column name that docs does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while wish.lower() in taken:
-        wish = f"_{wish}"
-    return wish
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with key: the id and two hashes of the whole text, told apart from its own columns by being a struct named so."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")).alias("key"))
 
 
-def _with_fp(name: str):
-    def run(batches):
-        for batch in batches:
-            yield batch.append_column(name, pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64()))
-
-    return run
+def _key_prints(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())], names=["key", "fp"])
 
 
 def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id.
 
-    Rows with a null doc_id come last in their group; among rows alike in doc_id and fingerprint
-    one stays.
+    Rows with a null doc_id come last in their group; among rows alike in doc_id the one with the
+    least fingerprint and text hash stays, among rows alike in text too the one whose columns as
+    JSON come first. Null and empty texts have fingerprint zero and are one group. Very long texts
+    are read whole. An empty table gives an empty result; all columns stay, whatever their names.
     """
     common.prepare(docs.sparkSession)
-    prints = cut(fingerprints(docs), "docprints")
-    groups = group_by_fingerprint(prints, pair_limit)
-    where = prints.join(groups, "fp").select("fp", "doc_id", "component_id")
-    # the least (id, fp) of each component, null ids last; a component without ids goes by fp
-    group = F.struct(F.col("component_id").isNull().alias("none"), "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    winner = where.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w"))
-    winner = cut(winner.select(F.col("w.fp").alias("fp"), F.col("w.doc_id").alias("doc_id")), "winners")
-    name = free_name(docs, "__fp")
-    tagged = docs.mapInArrow(_with_fp(name), StructType([*docs.schema.fields, StructField(name, LongType())]))
-    same = (tagged[name] == winner["fp"]) & tagged["doc_id"].cast("long").eqNullSafe(winner["doc_id"])
-    return tagged.join(winner, same, "left_semi").dropDuplicates([name, "doc_id"]).drop(name)
+    keyed = _keyed(docs)
+    prints = cut(keyed.select("key", F.col("row.text").cast("string").alias("text")).mapInArrow(_key_prints, "key struct<id:long,h1:long,h2:long>, fp long"), "docprints")
+    groups = group_by_fingerprint(prints.select(F.col("key.id").alias("doc_id"), "fp"), pair_limit)
+    where = prints.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n")).join(groups, "fp")
+    # the least key of each component, null ids last; a component without ids goes by its least fingerprint
+    first = F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id").alias("id"), "fp", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"))
+    where = cut(where.select("key", "n", "root", first.alias("first")), "keys")
+    winner = where.groupBy("root").agg(F.min("first").alias("least"))
+    settled = where.join(winner, "root").select("key", "n", (F.col("first") == F.col("least")).alias("wins"))
+    out = cut(settled.where("not wins or n > 1").select("key", "wins"), "losers")
+    stay = keyed.join(out.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").select("row")
+    repeated = keyed.join(out.where("wins").select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    one = repeated.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return stay.unionByName(one).select("row.*")

@@ -2,10 +2,11 @@
 
 The cache is a parquet table of (tokenizer digest, content digest, n_tokens). A text's content
 digest is the SHA-256 of its UTF-8 bytes after null has become the empty text; the tokenizer's
-is the SHA-256 of its file, so another version of the file never meets old counts. Digests are
-joined to the cache, one text of each missing digest is encoded, and the new counts are appended.
-Copies collapse map side, before the shuffle, so a text that fills a third of the table is
-encoded once and moved once per task.
+is the SHA-256 of its file, so another version of the file never meets old counts. The cache is
+partitioned by tokenizer and by the digest's first bits. Digests alone are joined to it; only texts
+that it lacks are moved, one of each is encoded, and the new counts are appended. Copies collapse
+map side, before the shuffle, so a text that fills a third of the table is encoded once and moved
+once per task. A digest that two writers append at the same time is read as one row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ LIMIT = 512
 #: Texts longer than this many characters are encoded one by one, others in batches.
 LONG_TEXT = 100_000
 BATCH = 64
-CACHE = "tokenizer string, digest binary, n_tokens long"
+#: Partitions of the cache's digests.
+PARTS = 16
+#: Up to so many missing digests (16 MB) are sent to the tasks, so that only their texts are moved.
+BROADCAST_DIGESTS = 500_000
+CACHE = "digest binary, n_tokens long, tokenizer string, part int"
 
 
 def default_tokenizer() -> str:
@@ -133,22 +138,29 @@ def _encode(path: str):
 
 
 def refresh(docs: DataFrame, cache_path: str, tokenizer: str) -> DataFrame:
-    """Encode what the cache lacks, append it, and return the cache rows of this tokenizer."""
+    """Encode what the cache lacks, append it, and return digest, n_tokens of this tokenizer, a row for each digest."""
     spark = docs.sparkSession
     common.prepare(spark)
     version = tokenizer_digest(tokenizer)
 
     def cached() -> DataFrame:
-        return spark.read.schema(CACHE).option("mergeSchema", "false").parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        rows = spark.read.schema(CACHE).option("mergeSchema", "false").parquet(cache_path).where(F.col("tokenizer") == version)
+        return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
+    filled = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
     text = F.coalesce("text", F.lit(""))
-    distinct = id_text(docs).select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    missing = distinct.join(cached().select("digest"), "digest", "left_anti")
-    counted = missing.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    rows = id_text(docs).select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    if filled:
+        missing = common.cut(rows.select("digest").distinct().join(cached().select("digest"), "digest", "left_anti"), "missing")
+        n = missing.count()
+        if not n:
+            return cached()
+        rows = rows.join(F.broadcast(missing) if n <= BROADCAST_DIGESTS else missing, "digest", "left_semi")
+    distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    counted = distinct.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    part = F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int")
+    counted.select("digest", "n_tokens", F.lit(version).alias("tokenizer"), part.alias("part")).write.partitionBy("tokenizer", "part").mode("append").parquet(cache_path)
     return cached()
 
 
@@ -156,8 +168,9 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     """One row per row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Without a cache_path the cache is a fresh table of this call. A null text counts as empty
-    (0 bytes, 0 tokens). Repeated rows and rows with a null doc_id are counted like any other;
-    an empty table gives an empty result; further columns of docs are ignored.
+    (0 bytes, 0 tokens). Very long texts are encoded whole, one at a time. Repeated rows and rows
+    with a null doc_id are counted like any other; an empty table gives an empty result; further
+    columns of docs are ignored, whatever their names.
     """
     tokenizer = tokenizer or default_tokenizer()
     cache_path = cache_path or f"{scratch_root(docs.sparkSession)}/token-cache-{uuid.uuid4().hex[:12]}"

@@ -226,6 +226,37 @@ def test_cache_encodes_only_misses(corpus, tmp_path, spark, monkeypatch):
     assert spark.read.parquet(cache).groupBy("tokenizer").count().count() == 2
 
 
+def test_a_repeated_or_racing_append_changes_nothing(corpus, tmp_path, spark):
+    cache = str(tmp_path / "cache")
+    docs = corpus([(1, "alpha beta"), (2, "alpha beta"), (3, "gamma"), (None, None)])
+    want = sorted(map(tuple, token_counts.token_counts(docs, cache).collect()), key=repr)
+    rows = spark.read.schema(token_counts.CACHE).parquet(cache).collect()
+    spark.createDataFrame(rows, token_counts.CACHE).write.partitionBy("tokenizer", "part").mode("append").parquet(cache)
+    assert spark.read.parquet(cache).count() == 2 * len(rows)
+    assert sorted(map(tuple, token_counts.token_counts(docs, cache).collect()), key=repr) == want and len(want) == 4
+
+
+def test_a_warm_cache_moves_no_text(real, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    want = sorted(map(tuple, token_counts.token_counts(real, cache).collect()))
+    monkeypatch.setattr(token_counts, "_encode", lambda path: (_ for _ in ()).throw(AssertionError("nothing is to be encoded")))
+    warm = token_counts.token_counts(real, cache)
+    assert sorted(map(tuple, warm.collect())) == want
+    plan = warm._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange" in x and "text" in x]
+
+
+def test_the_fast_encoder_agrees_with_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_counts.default_tokenizer())
+    rng = random.Random(8)
+    letters = "abcdefgh  \n\t'sstt.,!?-0123456789ABCÀÖöøÿßé<|>endoftext"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    made += ["".join(chr(rng.choice([32, 10, 39, 115, rng.randrange(33, 700), rng.randrange(0x3000, 0x3100)])) for _ in range(40)) for _ in range(1000)]
+    assert token_counts.count_tokens(made, token_counts.default_tokenizer()) == [len(library.encode(t, add_special_tokens=False).ids) for t in made]
+
+
 # --- 5 simhash ------------------------------------------------------------------------------
 
 
