@@ -6,12 +6,16 @@ offset map keeps, for every character they write, the source characters it came
 * homoglyphs: look-alike letters (full-width, mathematical, Cyrillic, Greek; O and l among digits),
   digits of other scripts, odd dots and at-signs become ASCII; zero-width characters and soft hyphens vanish;
 * spelled digits: runs of at least three number words become digits, their separators vanish;
+  single characters set apart by single blanks close up if they make an address or an IP;
 * at/dot disguises: "[at]", "(dot)", "{.}", "&#64;", spaced "at" and "dot" words between host
-  labels become "@" and ".".
+  labels become "@" and ".". Blanks around them, labels and their number may be of any length.
+
+All of them take time linear in the text: patterns repeat possessively, and the scans to the left
+and right of a sign never pass the end of the address before.
 
 The base patterns run over the rewritten text; what they find there and that touches a rewritten
 character is mapped back to source offsets. Such a span is added unless it overlaps a base span
-of its kind; base spans always stay.
+of its kind that it does not merely complete by disguised letters; base spans always stay.
 """
 
 from __future__ import annotations
@@ -156,21 +160,21 @@ NUMBER_WORDS = {
 }
 _NUMBER = "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w)))
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|punkt|point)"
-_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER})[ ,;-]{{1,3}}(?:{_NUMBER})\b", re.IGNORECASE)
-_RUN = re.compile(rf"(?:\b(?:plus|más)[ -]{{1,3}})?(?<![^\W\d_])(?:{_NUMBER}|[0-9])(?:(?:[ ,;-]{{1,3}}|[ ]?(?:{_DOT}|\.)[ ]?)?(?:{_NUMBER}|[0-9])){{2,}}(?![^\W\d_])", re.IGNORECASE)
-_PIECE = re.compile(rf"(?P<plus>(?:plus|más)[ -]{{1,3}})|(?P<word>{_NUMBER})|(?P<dot>[ ]?{_DOT}[ ]?)|(?P<digit>[0-9])|(?P<gap>[ ]?\.[ ]?|[ ,;-]{{1,3}})", re.IGNORECASE)
-_LOOKALIKE = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,}(?![A-Za-z0-9])")
-_LOOKALIKE_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
-_AT_DOT_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|&(?:#64|#46|#x40|#x2e|commat|period);|%40", re.IGNORECASE)
-_BRACKETED = re.compile(rf"\s{{0,3}}(?:[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]|(?P<at2>&(?:#64|#x40|commat);|%40)|(?P<dot2>&(?:#46|#x2e|period);))\s{{0,3}}", re.IGNORECASE)
-_SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s+{_DOT}\s+[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?P<at>\s+{_AT}\s+|\s*@\s*)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\s+{_DOT}\s+|\s*\.\s*)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\s+{_DOT}\s+|\s*\.\s*)[A-Za-z]{{2,24}}(?![A-Za-z0-9-])",
-    re.IGNORECASE,
-)
-_SPOKEN_DOT = re.compile(rf"\s+{_DOT}\s+|\s+\.\s*|\.\s+|(?<=\w)\.(?=\w)", re.IGNORECASE)
-_SPACED_DOT = re.compile(rf"\s{_DOT}\s", re.IGNORECASE)
-_SPOKEN_WORD = re.compile(rf"\s{_DOT}\s|\s@|@\s", re.IGNORECASE)
+_SEP = r"[ ,;-]++"
+_SPELLED_HINT = re.compile(rf"\b(?:{_NUMBER}){_SEP}(?:{_NUMBER})\b", re.IGNORECASE)
+_RUN = re.compile(rf"(?:\b(?:plus|más){_SEP})?(?<![^\W\d_])(?:{_NUMBER}|[0-9])(?:(?:[ ,;-]*+{_DOT}[ ,;-]*+|[ ]*+\.[ ]*+|{_SEP})?(?:{_NUMBER}|[0-9])){{2,}}(?![^\W\d_])", re.IGNORECASE)
+_PIECE = re.compile(rf"(?P<plus>(?:plus|más){_SEP})|(?P<word>{_NUMBER})|(?P<dot>[ ,;-]*+{_DOT}[ ,;-]*+)|(?P<digit>[0-9])|(?P<gap>[ ]*+\.[ ]*+|{_SEP})", re.IGNORECASE)
+_LOOKALIKE = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,}+(?![A-Za-z0-9])")
+_LOOKALIKE_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OoIl]++(?:\.[0-9OoIl]++){3}(?![A-Za-z0-9]|\.[A-Za-z0-9])")
+_LOOKALIKE_HINT = re.compile(r"[0-9][OoIl.]|[OoIl.][0-9]")
+_APART = re.compile(r"(?<!\S)\S(?: \S(?!\S)){5,}+")
+_CORE = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]|(?P<at2>&(?:#64|#x40|commat);|%40)|(?P<dot2>&(?:#46|#x2e|period);)", re.IGNORECASE)
+_AT_SIGN = re.compile(rf"(?<=\s){_AT}(?=\s)|@", re.IGNORECASE)
+_DOT_RIGHT = re.compile(rf"\s++{_DOT}\s++|\s*+\.\s*+", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_SPOKEN_HINT = re.compile(rf"\s{_DOT}\s|\s@|@\s", re.IGNORECASE)
+_WORDS_LEFT = re.compile(rf"\s{_DOT}\s", re.IGNORECASE)
+_DOT_WORDS = frozenset(["dot", "punto", "punkt", "point"])
 
 
 def _homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
@@ -184,14 +188,27 @@ def _homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
-    """Letters that stand for digits inside runs that are digits for the most part."""
+    """Letters that stand for digits inside runs that are digits for the most part, or in dotted quads with a digit."""
     if not _LOOKALIKE_HINT.search(text):
         return []
-    edits = []
+    at = set()
     for m in _LOOKALIKE.finditer(text):
         letters = [i for i, c in enumerate(m.group(), m.start()) if c > "9"]
-        if letters and 2 * len(letters) <= len(m.group()):
-            edits += [(i, i + 1, "0" if text[i] in "Oo" else "1") for i in letters]
+        if 2 * len(letters) <= len(m.group()):
+            at.update(letters)
+    for m in _LOOKALIKE_IP.finditer(text):
+        if _DIGIT.search(m.group()):
+            at.update(i for i, c in enumerate(m.group(), m.start()) if c > "9")
+    return [(i, i + 1, "0" if text[i] in "Oo" else "1") for i in sorted(at)]
+
+
+def _apart_edits(text: str) -> list[tuple[int, int, str]]:
+    """Blanks between single characters that together are an address, an IP or a phone number."""
+    edits = []
+    for m in _APART.finditer(text):
+        closed = m.group()[::2]
+        if plain_spans(closed):
+            edits += [(i, i + 1, "") for i in range(m.start() + 1, m.end(), 2)]
     return edits
 
 
@@ -213,40 +230,109 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
-    if not _AT_DOT_HINT.search(text):
-        return []
-    return [(m.start(), m.end(), "@" if m.group("at") or m.group("at2") else ".") for m in _BRACKETED.finditer(text)]
+    """Bracketed or encoded signs, with the blanks around them."""
+    edits, free = [], 0
+    for m in _CORE.finditer(text):
+        start, end = m.span()
+        while start > free and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        free = end
+        edits.append((start, end, "@" if m.group("at") or m.group("at2") else "."))
+    return edits
+
+
+def _left_of(text: str, end: int, free: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """Start of the local part that ends at end, and its spoken dots, last first; nothing before free is read."""
+    dots, start = [], end
+    while True:
+        begin = start
+        while begin > free and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin == start:
+            return None if not dots else (dots[-1][1], dots[:-1])
+        start = begin
+        # a spoken dot and another label before it?
+        gap = begin
+        while gap > free and text[gap - 1].isspace():
+            gap -= 1
+        word = gap
+        while word > free and text[word - 1].isalpha():
+            word -= 1
+        lead = word
+        while lead > free and text[lead - 1].isspace():
+            lead -= 1
+        if gap == begin or lead == word or text[word:gap].lower() not in _DOT_WORDS:
+            return start, dots
+        dots.append((lead, begin))
+        start = lead
+
+
+def _right_of(text: str, start: int) -> list[tuple[int, int, int]]:
+    """The host from start on: start and end of each label and where the dot before it began; empty if it is none."""
+    labels, at, dot = [], start, start
+    while m := _LABEL.match(text, at):
+        labels.append((m.start(), m.end(), dot))
+        sign = _DOT_RIGHT.match(text, m.end())
+        if not sign:
+            break
+        dot, at = m.end(), sign.end()
+    while labels and not (text[labels[-1][0] : labels[-1][1]].isalpha() and labels[-1][1] - labels[-1][0] >= 2):
+        labels.pop()
+    return labels if len(labels) > 1 else []
 
 
 def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
     """Addresses with spaced signs: the dot must be disguised too, or a spaced at-sign stand."""
-    if not _SPOKEN_WORD.search(text):
+    if not _SPOKEN_HINT.search(text):
         return []
-    edits = []
-    for m in _SPOKEN.finditer(text):
-        at, whole = m.start("at"), m.group()
-        if not _SPACED_DOT.search(whole) and "@" not in m.group("at"):
+    edits, free = [], 0
+    for m in _AT_SIGN.finditer(text):
+        if m.start() < free:
+            continue
+        begin, end = m.span()
+        while begin > free and text[begin - 1].isspace():
+            begin -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        sign = m.group() == "@"
+        host = _right_of(text, end)
+        local = _left_of(text, begin, free) if host else None
+        if not local or not host:
+            continue
+        start, dots = local
+        gaps = [(d, a) for a, _, d in host[1:]]
+        spoken = bool(dots) or any(_WORDS_LEFT.search(text, d, a) for d, a in gaps)
+        if not spoken and not (sign and end - begin > 1):
             continue
-        if "@" in m.group("at") and re.search(r"\.\s", text[m.end("at") : m.end()]):
+        if sign and any("." in text[d:a] and text[d:a][-1].isspace() for d, a in gaps):
             continue  # a sentence end, not a host
-        edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPOKEN_DOT.finditer(whole) if d.end() + m.start() <= at and d.group() != "."]
-        if m.group("at") != "@":
-            edits.append((at, m.end("at"), "@"))
-        edits += [(m.end("at") + d.start(), m.end("at") + d.end(), ".") for d in _SPOKEN_DOT.finditer(text[m.end("at") : m.end()]) if d.group() != "."]
+        found = [(d, a, ".") for d, a in dots[::-1]]
+        if text[begin:end] != "@":
+            found.append((begin, end, "@"))
+        edits += found + [(d, a, ".") for d, a in gaps if text[d:a] != "."]
+        free = host[-1][1]
     return edits
 
 
+def _grows(text: str, plain: tuple[int, int], span: tuple[int, int]) -> bool:
+    """Whether the span goes on where the plain one broke off at a disguised letter."""
+    more = text[span[0] : plain[0]] + text[plain[1] : span[1]]
+    return span[0] <= plain[0] and plain[1] <= span[1] and more != "" and all(c.isalnum() or c in _INVISIBLE for c in more)
+
+
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of disguised identifiers, in source offsets, that overlap no plain span of their kind."""
+    """Spans of disguised identifiers, in source offsets; they overlap no plain span of their kind but to complete it."""
     tape = Tape(text)
-    for transducer in (_homoglyph_edits, _lookalike_edits, _spelled_edits, _bracket_edits, _spoken_edits):
+    for transducer in (_homoglyph_edits, _apart_edits, _lookalike_edits, _spelled_edits, _bracket_edits, _spoken_edits):
         tape.rewrite(transducer(tape.text))
     if not tape.touched:
         return []
     out = []
     for kind, start, end in plain_spans(tape.text):
         at = tape.source(start, end)
-        if at and not any(k == kind and s < at[1] and at[0] < e for k, s, e in plain):
+        if at and all(k != kind or s >= at[1] or at[0] >= e or _grows(text, (s, e), at) for k, s, e in plain):
             out.append((kind, *at))
     return out
 
@@ -283,8 +369,9 @@ def detect(docs: DataFrame) -> DataFrame:
     """One row per row of docs: counts and digest of the plain spans, all spans, n_disguised.
 
     Offsets count code points, ends are exclusive. A null text is empty and has no spans; its
-    digest is that of the empty string. Repeated rows and null ids are treated like any other;
-    an empty table gives an empty result; further columns of docs are ignored.
+    digest is that of the empty string. Very long texts are read whole, in linear time. Spans that
+    start together come in the order of KINDS. Repeated rows and null ids are treated like any
+    other; an empty table gives an empty result; further columns of docs are ignored.
     """
     common.prepare(docs.sparkSession)
     return id_text(docs).mapInArrow(_detect, SCHEMA)
@@ -314,6 +401,11 @@ def _redact(batches):
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with all spans of text replaced by placeholders, and n_chars (if there) set anew."""
+    """docs with all spans of text replaced by placeholders, and n_chars (if there) set anew.
+
+    Null texts stay null, empty ones empty; very long ones are read whole. Repeated rows and null
+    ids are treated like any other; all columns stay, whatever their names; an empty table gives
+    an empty result.
+    """
     common.prepare(docs.sparkSession)
     return docs.mapInArrow(_redact, docs.schema)
