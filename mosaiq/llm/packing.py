@@ -22,6 +22,8 @@ BUCKETS = 12
 BUDGET = 16_384
 #: Mean sequences of a chunk.
 CHUNK_ROWS = 8192
+#: Chunks whose sizes one task adds up.
+BLOCK_CHUNKS = 1024
 
 
 def word_tokens(text: str = "text") -> Column:
@@ -77,13 +79,15 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN,
 
     batch numbers the batches of a bucket, slot the sequences of a batch; a batch holds at most
     budget // bucket_len sequences (at least one). A null or empty text is one sequence of no
-    tokens in the first bucket. Repeated rows are packed each; which of two equal rows comes
-    first makes no difference. An empty table gives an empty result.
+    tokens in the first bucket; a very long one becomes many sequences. Repeated rows and rows
+    without an id are packed each; which of two equal rows comes first makes no difference. An
+    empty table gives an empty result; further columns are ignored, whatever their names.
     """
     if budget < max_len:
         raise ValueError("the budget must hold a sequence of max_len tokens")
     tokens = word_tokens() if tokens is None else tokens
-    rows = cut(sequences(docs, tokens, max_len), "sequences")
+    # a written number spreads rows that are alike, such as those without an id, over the chunks
+    rows = cut(sequences(docs, tokens, max_len).withColumn("salt", F.monotonically_increasing_id()), "sequences")
     histogram = {r.n_tokens: r.n for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds = boundaries(histogram, buckets) or [max_len]
     bucket = F.lit(len(bounds) - 1)
@@ -91,10 +95,15 @@ def pack(docs: DataFrame, tokens: Column | None = None, max_len: int = MAX_LEN,
         bucket = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(bucket)
     chunks = max(1, sum(histogram.values()) // chunk_rows)
     order = ["doc_id", "piece", "n_tokens"]
-    rows = rows.withColumn("bucket", bucket).withColumn("chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    rows = rows.withColumn("bucket", bucket).withColumn("chunk", F.pmod(F.xxhash64(*order, "salt"), F.lit(chunks)))
     sizes = cut(rows.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("size")), "chunks")
-    before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(sizes.select("bucket", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")), "offsets")
+    # offsets in two levels, so no task sees all chunks of a bucket
+    sizes = sizes.withColumn("block", F.floor(F.col("chunk") / BLOCK_CHUNKS))
+    blocks = sizes.groupBy("bucket", "block").agg(F.sum("size").alias("block_size"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("bucket", "block", F.coalesce(F.sum("block_size").over(before(["bucket"], "block")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("size").over(before(["bucket", "block"], "chunk")), F.lit(0))
+    offsets = cut(sizes.withColumn("within", within).join(blocks, ["bucket", "block"]).select("bucket", "chunk", (F.col("base") + F.col("within")).alias("offset")), "offsets")
     inside = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy(*order)) - 1
     numbered = rows.withColumn("at", inside).join(offsets, ["bucket", "chunk"]).withColumn("at", F.col("at") + F.col("offset"))
     lens = F.array(*[F.lit(x).cast("long") for x in bounds])
