@@ -27,6 +27,8 @@ EPOCHS = 4
 ALPHA, BETA = 0.5, 1.0
 L1, L2 = 1e-4, 1e-4
 UNDETERMINED = "und"
+#: Bounds the weights that are broadcast (8 bytes x BUCKETS each, 64 MB together).
+MAX_LANGUAGES = 512
 
 
 def grams(text: str) -> np.ndarray:
@@ -163,14 +165,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
         if bucket >= 0:
             idf[bucket] = np.log((1 + df[-1]) / (1 + n)) + 1
     by_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(by_lang) > MAX_LANGUAGES:
+        raise ValueError(f"{len(by_lang)} languages; the weights are bounded to {MAX_LANGUAGES}")
     # a share of each language's rows by the hash of their id, bounded below
     share = F.lit(0.0)
     for lang, n in by_lang.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.6 * train_rows / n)).otherwise(share)
     drawn = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6) < share
     rows = known.where(drawn).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(12)).alias("order")).mapInArrow(_count_rows, COUNTS)
-    rows = rows.limit(int(2 * train_rows * len(by_lang))).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["order"], r["buckets"], r["counts"]))
+    # the bound takes the rows of least hash, whatever the plan; it holds twice what is expected
+    rows = rows.orderBy("order", "buckets", "counts").limit(int(4 * train_rows * len(by_lang))).toArrow().to_pylist()
     languages = tuple(sorted(by_lang))
     taken = dict.fromkeys(languages, 0)
     train, rest = [], []
@@ -211,7 +215,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score; fits a model if none is given.
 
     A text that is null or has no letter is `und` with score 0, and so is every text where no
-    labelled row can be learned from. Rows with a null doc_id count as held out. Repeated rows
+    labelled row can be learned from. Very long texts are read whole; of languages with equal
+    scores the first by name is taken. Rows with a null doc_id count as held out. Repeated rows
     are predicted alike; an empty table gives an empty result; extra columns are ignored.
     """
     common.prepare(docs.sparkSession)
