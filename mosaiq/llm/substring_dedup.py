@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,22 +55,20 @@ def _blocks(hashes: np.ndarray, span: int, gram: int):
     return grams[at[first]], first, last
 
 
-def _halves(keys: list[bytes]) -> list[pa.Array]:
-    """Text keys of 16 bytes as two columns of integers."""
-    both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+def _key(text: Column) -> list[Column]:
+    """Two integers of 60 bits each from the SHA-256 of a text; a null text counts as empty."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long").alias(f"k{i + 1}") for i in range(2)]
 
 
 def _table(span: int, gram: int):
     def run(batches):
         for batch in batches:
-            keys, n_words, kept, lists = [], [], [], []
+            n_words, kept, lists = [], [], []
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 whole = b" ".join(words)
-                digest = hashlib.sha256(whole)
-                keys.append(digest.digest()[:16])
-                kept.append(digest.hexdigest())
+                kept.append(hashlib.sha256(whole).hexdigest())
                 n_words.append(len(words))
                 if len(words) < span:
                     lists.append(None)
@@ -101,7 +99,8 @@ def _table(span: int, gram: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    *_halves(keys),
+                    batch.column("k1"),
+                    batch.column("k2"),
                     pa.array(n_words, pa.int64()),
                     pa.array(kept, pa.string()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct),
@@ -170,23 +169,22 @@ def _remove(span: int, with_text: bool):
     return run
 
 
-def _keyed(batches):
-    for batch in batches:
-        texts = batch.column("text")
-        keys = [hashlib.sha256(b" ".join(_words(t))).digest()[:16] for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([*_halves(keys), texts], names=["k1", "k2", "text"])
+KEY = ["k1", "k2"]
 
 
-KEY = ["k1", "k2"]
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (k1, k2 and more) with the text of each; only texts that are asked for move, copies once a task."""
+    asked = id_text(docs).select(*_key(F.col("text")), "text").join(keys.select(*KEY), KEY, "left_semi")
+    return asked.groupBy(*KEY).agg(F.first("text").alias("text")).join(keys, KEY)
 
 
-def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(table, factors, texts): TABLE's rows, factors (k1, k2, first, last), texts (k1, k2, text).
+def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """(table, factors): TABLE's rows, factors (k1, k2, first, last).
 
-    Texts are keyed by the first 16 bytes of their words' SHA-256, so equal texts share factors.
+    Texts are keyed by their SHA-256, so equal texts share factors.
     """
     common.prepare(docs.sparkSession)
-    table = cut(id_text(docs).mapInArrow(_table(span, gram), TABLE), "blocks")
+    table = cut(id_text(docs).select("doc_id", *_key(F.col("text")), "text").mapInArrow(_table(span, gram), TABLE), "blocks")
     blocks = table.select(*KEY, F.explode("blocks").alias("b")).select(*KEY, "b.*", (F.col("b.last") - F.col("b.first")).alias("size"))
     # reference blocks: copies collapse, map side first; where stands for any one of them
     one = [F.first(c).alias(c) for c in (*KEY, "first", "last")]
@@ -197,18 +195,17 @@ def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFram
     long_factors = blocks.join(whole, ["anchor", "b1", "b2", "size"]).select(*KEY, "first", "last")
     # blocks under an anchor with several variants are compared window by window
     open_blocks = known.where("variants > 1").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "n")).alias("open"))
-    texts = id_text(docs).select("text").mapInArrow(_keyed, "k1 long, k2 long, text string").groupBy(*KEY).agg(F.first("text").alias("text"))
-    windows = texts.join(cut(open_blocks, "open"), KEY).select(*KEY, "text", "open")
+    windows = texts_of(docs, cut(open_blocks, "open")).select(*KEY, "text", "open")
     windows = cut(windows.mapInArrow(_boundary_windows(span), "k1 long, k2 long, w1 long, w2 int, start int, weight long"), "windows")
     twice = cut(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     short_factors = windows.where("weight = 1").join(twice, ["w1", "w2"]).select(*KEY, F.col("start").alias("first"), F.col("start").alias("last"))
-    return table, long_factors.unionByName(short_factors), texts
+    return table, long_factors.unionByName(short_factors)
 
 
 def _removal(docs: DataFrame, span: int, gram: int, with_text: bool) -> DataFrame:
-    table, factors, texts = parse(docs, span, gram)
+    table, factors = parse(docs, span, gram)
     by_text = cut(factors.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("factors")), "factors")
-    cleaned = texts.join(by_text, KEY).select(*KEY, "text", "factors")
+    cleaned = texts_of(docs, by_text).select(*KEY, "text", "factors")
     cleaned = cut(cleaned.mapInArrow(_remove(span, with_text), "k1 long, k2 long, n_removed long, kept string"), "cleaned")
     return table.select("doc_id", *KEY, "n_words", "all_sha256").join(cleaned, KEY, "left")
 
@@ -218,8 +215,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
     Removed is each word covered by a window of `span` words whose sequence also starts
     elsewhere in the table. A null or empty text has no words; a text shorter than `span` keeps
-    all its words; repeated rows are copies of each other and lose all their windows. An empty
-    table gives an empty result; further columns of docs are ignored.
+    all its words; a very long one is read whole; repeated rows are copies of each other and lose
+    all their windows. An empty table gives an empty result; further columns of docs are ignored.
     """
     joined = _removal(docs, span, gram, with_text=False)
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "all_sha256").alias("kept_sha256"))
