@@ -129,3 +129,79 @@ def test_no_limit_on_blanks_labels_and_their_number():
         ):
             if not text.startswith("nine"):
                 assert [(k, a, b) for k, a, b in pii.find(text)[1]] == [("email", 0, len(text))], text[:80]
+
+
+# --- 7 decontamination ----------------------------------------------------------------------
+
+WORDS = "river stone garden market winter bridge candle forest window yellow silver morning letter basket kitchen harbour".split()
+NAMES = "Anna Carl Mia Otto Eva Nils Ida Lars Tom Ruth Paul Vera".split()
+CARDINALS = {2: "two", 3: "three", 5: "five", 7: "seven", 8: "eight", 9: "nine", 25: "twenty five", 31: "thirty-one", 47: "forty seven"}
+
+
+def _question(rng):
+    """A template of literal words with places for two names and two numbers, each standing twice."""
+    w = [rng.choice(WORDS) for _ in range(14)]
+    return f"{{a}} and {{b}} {w[0]} {w[1]} {{x}} kg of {w[2]} and {w[3]} the {w[4]} for {{y}} {w[5]}, so {w[6]} {w[7]} does {{a}} {w[8]} when {{x}} kg of {w[9]} {w[10]} and {{y}} {w[11]} {w[12]} to {{b}} in {w[13]}?"
+
+
+def test_reparameterised_items_are_found(spark):
+    import random
+
+    from mosaiq.llm import decontam
+
+    rng = random.Random(17)
+    fill = lambda q, a, b, x, y: q.format(a=a, b=b, x=x, y=y)
+    items, docs, want = [], [], {}
+    for i in range(60):
+        q = _question(rng)
+        (a, b, c, d), (x, y, u, v) = rng.sample(NAMES, 4), rng.sample(sorted(CARDINALS), 4)
+        items.append((i, fill(q, a, b, x, y)))
+        other = fill(_question(rng), c, d, u, v)
+        rewrites = {
+            "other values": fill(q, c, d, u, v), "other numbers, lower case": fill(q, a, b, u, v).lower(), "verbatim, lower case": fill(q, a, b, x, y).lower(),
+            "verbatim, upper case": fill(q, a, b, x, y).upper(), "numbers spelled": fill(q, a, b, CARDINALS[x], CARDINALS[y]), "spelled in part": fill(q, c, d, u, v).replace(str(u), CARDINALS[u], 1),
+            "another question": other,
+        }
+        for kind, text in rewrites.items():
+            want[len(docs)] = (kind, i)
+            docs.append((len(docs), f"Something else stands before it. {text} And after it."))
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {k: sum((d, i) in found for d, (kind, i) in want.items() if kind == k) / 60 for k in {kind for kind, _ in want.values()}}
+    precision = sum((d, i) in found for d, (kind, i) in want.items() if kind != "another question") / len(found)
+    print(recall, precision)
+    assert recall.pop("another question") == 0 and precision >= 0.95
+    assert min(recall.values()) >= 0.9
+
+
+def test_windows_agree_with_brute_force(spark):
+    """Matched words of every pair are those under equal windows of equal words, counted one by one."""
+    import random
+
+    from mosaiq.llm import decontam
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(WORDS[:5]) for _ in range(n))
+    items = [(i, text(rng.randint(3, 25))) for i in range(15)]
+    docs = [(i, text(rng.randint(0, 300))) for i in range(15)]
+    want = set()
+    for i, d in docs:
+        for k, t in items:
+            w, words = d.split(), t.split()
+            n = min(8, len(words))
+            at = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+            covered = {p for j in range(len(words) - n + 1) if tuple(words[j : j + n]) in at for p in range(j, j + n)}
+            if len(covered) >= 13 or 2 * len(covered) >= len(words):
+                want.add((i, k, len(covered)))
+    found = {(r.doc_id, r.item_id, r.n_words) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == want and want
+
+
+def test_decontamination_of_odd_tables(spark):
+    from mosaiq.llm import decontam
+
+    long = "word " * 60_000 + "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = spark.createDataFrame([(1, long, "x", 1), (1, long, "x", 1), (None, "", None, None), (2, None, "y", 2)], "doc_id long, text string, item_id string, hash long")
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    bench = spark.createDataFrame([(7, item, "a", 0), (7, item, "b", 1), (None, item, "c", 2)], "item_id long, text string, doc_id string, width int")
+    assert {(r.doc_id, r.item_id, r.share) for r in decontam.matches(docs, bench).collect()} == {(1, 7, 1.0), (1, None, 1.0)}
+    assert decontam.clean(docs, bench).count() == 2 and decontam.clean(docs, bench).columns == docs.columns
