@@ -1,8 +1,9 @@
 """License scan by diagonal voting.
 
-Words of a document and of each license template become rolling k-gram hashes. All document
-k-grams are joined with the template positions of equal hash; a match at document position d
-and template position t votes for the diagonal d - t. Votes are counted per document, template
+Words of a document and of each license template become rolling k-gram hashes. Document k-grams
+whose hash and words are those of a template k-gram leave the workers and are joined with the
+template positions of equal hash; a match at document position d and template position t votes
+for the diagonal d - t. Votes are counted per document, template
 and diagonal (each template position once), diagonals that lie within a few words of each other
 are merged, and a merged band becomes a span if the template words under its matches reach a
 share of the template.
@@ -41,7 +42,23 @@ TEMPLATES = [
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
@@ -70,26 +87,45 @@ def _places(words: list[bytes], whole: bytes) -> tuple[list[int], set[str]]:
 
 
 BASE = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, key binary"
-SCHEMA = BASE + ", grams array<long>"
+SCHEMA = BASE + ", hits array<struct<d:int,gram:long>>"
 
 
-def _scan(k: int):
+def gram_words(templates=TEMPLATES, k: int = K) -> dict[int, set[tuple[bytes, ...]]]:
+    """The words of the templates' k-grams by their hash."""
+    out: dict[int, set[tuple[bytes, ...]]] = {}
+    for _, text in templates:
+        words = words_of(text)
+        for t, g in enumerate(rolling(word_hashes(b" ".join(words)), k).view(np.int64).tolist()):
+            out.setdefault(g, set()).add(tuple(words[t : t + k]))
+    return out
+
+
+def _scan(templates, k: int):
+    known = gram_words(templates, k)
+    keys = np.array(sorted(known), np.int64)
+
     def run(batches):
         for batch in batches:
-            rows, grams = [], []
+            rows, hits, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 whole = b" ".join(words)
                 at, labels = _places(words, whole)
                 rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), hashlib.sha256(whole).digest()[:16]))
-                grams.append(rolling(word_hashes(whole), k))
+                grams = rolling(word_hashes(whole), k).view(np.int64)
+                near = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+                at_ = np.flatnonzero(keys[near] == grams) if len(keys) else near[:0]
+                # equal hashes are compared word by word
+                found = [(d, g) for d, g in zip(at_.tolist(), grams[at_].tolist(), strict=True) if tuple(words[d : d + k]) in known[g]]
+                hits += found
+                sizes.append(len(found))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            offsets = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32)
-            flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            struct = pa.StructArray.from_arrays([pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int64())], names=["d", "gram"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(offsets), struct)],
+                names=[c.split()[0] for c in BASE.split(", ")] + ["hits"],
             )
 
     return run
@@ -109,7 +145,7 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
 def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, key, label, template, first and last document word, share of each verified span."""
     grams = template_grams(scanned.sparkSession, templates, k)
-    found = scanned.select("doc_id", "key", F.posexplode("grams").alias("d", "gram")).join(grams, "gram")
+    found = scanned.select("doc_id", "key", F.explode("hits").alias("h")).select("doc_id", "key", "h.*").join(grams, "gram")
     votes = found.groupBy("doc_id", "key", "template", "label", "size", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("at"))
     one = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one) > BAND, F.lit(True))
@@ -129,17 +165,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K, min_share: float = MI
 
     score is the share of the best span's template, 1 where a base phrase stands, else 0. A null
     text is empty: no words, no places, empty label lists. Templates of fewer than k words give
-    no k-grams and match nothing. Repeated rows are scanned alike; rows with a null doc_id keep
-    their base columns and labels. An empty table gives an empty result.
+    no k-grams and match nothing. Very long texts are read whole. Repeated rows are scanned alike;
+    rows with a null doc_id keep their base columns and labels. An empty table gives an empty
+    result; further columns of docs are ignored, whatever their names.
     """
     common.prepare(docs.sparkSession)
-    scanned = id_text(docs).mapInArrow(_scan(k), SCHEMA)
+    scanned = common.cut(id_text(docs).mapInArrow(_scan(templates, k), SCHEMA), "scanned")
     by_row = spans(scanned, templates, k, min_share).groupBy("doc_id", "key").agg(
         F.collect_set("label").alias("found"), F.max("share").alias("best")
     )
     by_row = common.cut(by_row, "licenses").select(F.col("doc_id").alias("of"), F.col("key").alias("ofkey"), "found", "best")
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
-    joined = scanned.drop("grams").join(by_row, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("ofkey")), "left")
+    joined = scanned.drop("hits").join(by_row, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("ofkey")), "left")
     labels = F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>"))))
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
