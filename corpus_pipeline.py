@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
-last return the columns of documents.
+last return the columns of documents, whatever columns there are beside doc_id and text. Null,
+empty and short texts go with the quality rules, so do repeated rows but one with near-dedup.
+Very long texts are read whole and packed in pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from mosaiq.llm.common import cut
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
 from .license_scan import BAND, K, MIN_SHARE, PHRASES, TEMPLATES
-from .quality import ABUSIVE
+from .quality import ABUSIVE, LEXICON, MIN_TOXIC, STEM, STEM_RATIO, STEM_TEXTS
 from .url_filter import DOMAINS, IDENTIFIER, LEVELS, LONG_SEGMENT, MIN_SEGMENT_PAGES, NUMBER, REJECT_FROM, RULES, SIMILAR_Z, SMOOTHING
 
 QUALITY = f"""
@@ -13,15 +13,21 @@ rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word
 covered AS (SELECT rid, count(DISTINCT j) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY rid),
 runs AS (SELECT rid, max(c) AS longest FROM (SELECT rid, count(*) AS c FROM (SELECT rid, word, i - row_number() OVER (PARTITION BY rid, word ORDER BY i) AS g FROM tok) GROUP BY rid, word, g) GROUP BY rid),
 letters AS (SELECT rid, count(*) FILTER (regexp_matches(word, '\\p{{L}}')) AS lettered FROM tok GROUP BY rid),
+lab AS (SELECT DISTINCT text, toxic FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL AND text IS NOT NULL),
+occ AS (SELECT text, toxic, left(word, {STEM}) AS stem, count(*) AS n FROM (SELECT text, toxic, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{{STEM},}}')) AS word FROM lab) GROUP BY ALL),
+tot AS (SELECT sum(n) FILTER (toxic = 1) AS nt, sum(n) FILTER (toxic <> 1) AS nc, count(DISTINCT text) FILTER (toxic = 1) AS texts FROM occ),
+lex AS (SELECT stem FROM (SELECT stem, count(*) FILTER (toxic = 1) AS k, sum(CASE WHEN toxic = 1 THEN n ELSE 0 END) AS a, sum(CASE WHEN toxic = 1 THEN 0 ELSE n END) AS b FROM occ GROUP BY stem), tot
+  WHERE k >= {STEM_TEXTS} AND a * nc >= {STEM_RATIO} * (b + 1) * nt AND texts >= {MIN_TOXIC} ORDER BY k DESC, stem LIMIT {LEXICON}),
+bad AS (SELECT rid, count(*) AS hits FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{{STEM},}}')) AS word FROM d) JOIN lex ON left(word, {STEM}) = stem GROUP BY rid),
 lines AS (SELECT rid, count(*) AS n, count(DISTINCT line) AS k FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
 f AS (SELECT w.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
         coalesce(l.n, 0) AS n_lines, coalesce(l.n - l.k, 0) AS n_dup_lines, coalesce(c.n_repeat, 0) AS n_repeat_words, coalesce(r.longest, 0) AS longest, coalesce(t.lettered, 0) AS lettered,
-        length(text) - length(replace(text, '!', '')) AS shouts, len(regexp_extract_all(text, '(?i)\\b(?:{"|".join(sorted(ABUSIVE))})\\b')) AS insults
-      FROM w LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN runs r USING (rid) LEFT JOIN letters t USING (rid)),
+        length(text) - length(replace(text, '!', '')) AS shouts, len(regexp_extract_all(text, '(?i)\\b(?:{"|".join(sorted(ABUSIVE))})\\b')) AS insults, coalesce(x.hits, 0) AS hits
+      FROM w LEFT JOIN bad x USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN runs r USING (rid) LEFT JOIN letters t USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT 10 * n_symbols > 2 * n_words AND NOT 2 * n_dup_lines > n_lines AND word_chars BETWEEN 2 * n_words AND 12 * n_words AND NOT 10 * shouts > 5 * n_words
-  AND NOT 10 * lettered < 7 * n_words AND longest <= 20 AND NOT (insults >= 3 AND 250 * insults >= n_words) AS kept
+  AND NOT 10 * lettered < 7 * n_words AND longest <= 20 AND NOT (insults >= 3 AND 250 * insults >= n_words) AND NOT (hits >= 2 AND 100 * hits >= n_words) AS kept
 FROM b"""
 
 SUBSTRINGS = """

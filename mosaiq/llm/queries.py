@@ -18,7 +18,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir))
+    return quality.judge(documents(spark, sf_dir), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

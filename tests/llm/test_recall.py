@@ -205,3 +205,40 @@ def test_decontamination_of_odd_tables(spark):
     bench = spark.createDataFrame([(7, item, "a", 0), (7, item, "b", 1), (None, item, "c", 2)], "item_id long, text string, doc_id string, width int")
     assert {(r.doc_id, r.item_id, r.share) for r in decontam.matches(docs, bench).collect()} == {(1, 7, 1.0), (1, None, 1.0)}
     assert decontam.clean(docs, bench).count() == 2 and decontam.clean(docs, bench).columns == docs.columns
+
+
+# --- 2 quality ------------------------------------------------------------------------------
+
+
+def test_toxic_documents_of_every_language_go(spark):
+    """Learned from half of the labels, measured on the other half's good documents."""
+    from mosaiq.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    shown = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    held = labels.join(shown, "doc_id", "left_anti").where("quality = 1")
+    judged = quality.judge(docs, labels=shown)
+    rows = held.join(docs.select("doc_id", "lang"), "doc_id").join(judged, "doc_id").toPandas()
+    toxic, fair = rows[rows.toxic == 1], rows[(rows.toxic == 0) & ~rows.base_failed]
+    recall = {lang: 1 - part.kept.mean() for lang, part in toxic.groupby("lang")}
+    print(recall, 1 - toxic.kept.mean(), fair.kept.mean())
+    assert min(recall.values()) >= 0.85 and 1 - toxic.kept.mean() >= 0.9 and fair.kept.mean() >= 0.99
+
+
+def test_labels_of_odd_tables(spark):
+    from mosaiq.llm import quality
+
+    docs = spark.createDataFrame([(1, "word " * 60, "a"), (None, "word " * 60, None), (2, None, "c"), (3, "", "d")], "doc_id long, text string, toxic string")
+    for rows in ([], [(None, 1, 1), (1, None, 1), (1, 1, None), (1, 1, 1), (2, 0, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int, text int")
+        assert quality.learned_stems(docs, labels) == [] and quality.judge(docs, labels=labels).count() == 4
+
+
+def test_rules_that_leave_nothing_to_each_other_come_last():
+    from mosaiq.llm import quality
+
+    rules = tuple(quality.Rule(n, None) for n in "abc")
+    # a rejects three texts, b two of the same, c one other: c has more left to reject than b
+    measured = [[(1.0, i < 3), (1.0, i < 2), (1.0, i == 3)] for i in range(5)]
+    assert [r.name for r in quality.arranged(rules, measured)] == ["a", "c", "b"]
