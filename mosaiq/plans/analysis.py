@@ -11,16 +11,17 @@ from ..operators import models, select, stats
 META = ("Sample", "Rater", "sample_id", "seq")
 
 
-def prepare(features: DataFrame, sample: str = "sample_id", order: str = "seq") -> tuple[DataFrame, list[str]]:
+def prepare(features: DataFrame, sample: str = "sample_id", order: str | list[str] = "seq") -> tuple[DataFrame, list[str]]:
     """Sample, Rater (1.. by order within the sample) and the numeric features that hold values."""
-    names = [c for c in features.columns if c not in (sample, order, *META)]
-    numbered = columns.number_within(features, [sample], [order], "Rater").withColumnRenamed(sample, "Sample")
+    by = [order] if isinstance(order, str) else order
+    names = [c for c in features.columns if c not in (sample, *by, *META)]
+    numbered = columns.number_within(features, [sample], by, "Rater").withColumnRenamed(sample, "Sample")
     coerced = columns.coerce_numeric(numbered, names)
     kept = columns.present_columns(coerced, names)
     return coerced.select("Sample", "Rater", *kept), kept
 
 
-def select_features(features: DataFrame, icc_threshold: float = 0.75, corr_threshold: float = 0.95, max_raters: int = 8, alpha: float = 0.05, sample: str = "sample_id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+def select_features(features: DataFrame, icc_threshold: float = 0.75, corr_threshold: float = 0.95, max_raters: int = 8, alpha: float = 0.05, sample: str = "sample_id", order: str | list[str] = "seq") -> tuple[DataFrame, DataFrame]:
     """(results, selected): ICC and ANOVA by feature, and sample means of the features kept.
 
     If no feature could be scored at all, all go on; if some could and none is good, none does.
@@ -57,11 +58,15 @@ def report(correlations: DataFrame) -> DataFrame:
 
 
 def model(features: DataFrame, external: DataFrame, target: str, key: str = "sample_id", grids: dict | None = None, k: int = 5, trees: int = 100) -> dict[str, DataFrame]:
-    """Selected features, compared models, importances and attributions for one target."""
+    """Selected features, compared models, importances and attributions for one target.
+
+    Cross-validated fits fill gaps by the means outside the held-out fold, the final ones by those
+    of all rows. Features without any value are left out.
+    """
     merged = select.merge_external(features, external, key)
     names = [c for c in features.columns if c != key and c in merged.columns]
     data = columns.coerce_numeric(merged, [*names, target]).where(F.col(target).isNotNull())
-    data = columns.impute_mean(data, names)
+    names = columns.present_columns(data, names)
     kept, trail = models.recursive_elimination(data, names, target, key, trees=trees, k=k)
     spark = features.sparkSession
     out = {
@@ -71,5 +76,5 @@ def model(features: DataFrame, external: DataFrame, target: str, key: str = "sam
         "importance": models.feature_importance(data, kept, target, trees),
     }
     if len(kept) <= 10:
-        out["attribution"] = models.attribution(data, kept, target, key)
+        out["attribution"] = models.attribution(columns.impute_mean(data, kept), kept, target, key)
     return out

@@ -185,3 +185,38 @@ def test_report_orders_by_first_target(spark):
     e = spark.createDataFrame([("s1", 1.0), ("s2", 2.1), ("s3", 2.9)], "sample_id string, Hc20 double")
     rows = analysis.report(analysis.correlate(f, e)).collect()
     assert [r.feature for r in rows] == ["up", "down"] and rows[0].target == "Hc20" and not math.isnan(rows[0]["corr"])
+
+
+def test_gaps_are_filled_by_the_training_folds(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 2)) + [5.0, 0.0]
+    y = x @ [2.0, 1.0] + 0.1 * rng.normal(size=90)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = models.with_folds(spark.createDataFrame(rows, "id int, a double, b double, y double"), "id", 3)
+    fold = np.array([r.fold for r in df.orderBy("id").collect()])
+    r2 = []
+    for f in range(3):
+        held = fold == f
+        z = np.where(np.isnan(x), np.nanmean(x[~held], axis=0), x)
+        s = (z - z[~held].mean(0)) / z[~held].std(0)
+        w = np.linalg.solve(s[~held].T @ s[~held] + 2.0 * np.eye(2), s[~held].T @ (y[~held] - y[~held].mean()))
+        e = s[held] @ w + y[~held].mean() - y[held]
+        r2.append(1 - (e**2).sum() / ((y[held] - y[held].mean()) ** 2).sum())
+    found = models.search_linear(df, ["a", "b"], "y", models.ridge, [2.0], 3)
+    assert found["r2"].iloc[0] == pytest.approx(np.mean(r2))
+    options = {"n_estimators": 2, "max_depth": 3, "min_samples_split": 2}
+    assert np.isfinite(models.search_trees(df, ["a", "b"], "y", "RandomForest", [options], 3)["r2"].iloc[0])
+    assert np.isfinite(models.search_kernel(df, ["a", "b"], "y", "GaussianProcess", [{"kernel": "rbf"}], 3)["r2"].iloc[0])
+
+
+def test_rows_keep_their_place_in_the_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("name,v\n" + "".join(f"S{i % 2},{i}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        table = files.read_table(spark, str(tmp_path / "t.csv"), place=True)
+        rows = [r.v for r in table.orderBy(*files.PLACE).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == list(range(500)) and table.columns[0] == "sample_id"
