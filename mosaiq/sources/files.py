@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,17 @@ CROP_TOP, KEEP_ROWS = 20, 850
 
 
 def scan(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path, relative, content of the files below folder that match, in path order."""
+    """path, relative, content of the files below folder that match, in no order: sorting would move every file's bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     relative = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
     return files.select("path", relative.alias("relative"), "content")
 
 
+def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path, relative of the files below folder that match, in path order; their contents are not read."""
+    return scan(spark, folder, pattern).select("path", "relative").orderBy("path")
+
+
 def decode_image(data: bytes) -> np.ndarray:
     """An uncompressed 8-bit TIFF or a binary PGM/PPM as an array of rows, columns, bands."""
     if data[:2] in (b"P5", b"P6"):
@@ -116,11 +123,67 @@ def pack_masks(masks: list[dict]) -> bytes:
     return pack(out)
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with a header; its first column becomes sample_id."""
+def _packed(batches):
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            masks = []
+            for m in sorted(r["masks"], key=lambda m: m["mask_id"]):
+                a = np.zeros((m["height"], m["width"]), bool)
+                if m["pixels"]:
+                    a[[p["y"] for p in m["pixels"]], [p["x"] for p in m["pixels"]]] = True
+                masks.append({"segmentation": a, **{k: m[k] for k in ("area", "bbox", "predicted_iou", "stability_score") if m[k] is not None}})
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([pack_masks(masks)], pa.binary())], names=["path", "content"])
+
+
+def mask_contents(masks: DataFrame) -> DataFrame:
+    """path, content: the mask file of each image's masks, by mask_id; error rows are left out.
+
+    An image's masks meet in one task, as its file is written at once.
+    """
+    one = F.struct("mask_id", "area", "bbox", "predicted_iou", "stability_score", "height", "width", "pixels")
+    return masks.where("error is null").groupBy("path").agg(F.collect_list(one).alias("masks")).mapInArrow(_packed, "path string, content binary")
+
+
+def _saver(folder: str):
+    def run(batches):
+        for batch in batches:
+            done = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = os.path.join(folder, os.path.splitext(path)[0] + ".mask")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                # a task that is run again replaces the file as a whole
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, target)
+                done.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
+
+    return run
+
+
+def write_masks(masks: DataFrame, folder: str) -> int:
+    """Write a .mask file per image below folder, which all executors must share; the number of files."""
+    return mask_contents(masks).mapInArrow(_saver(folder), "file string").count()
+
+
+#: Columns that order the rows of a file as they stand in it.
+PLACE = ["block_start", "file_name", "seq"]
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None, place: bool = False) -> DataFrame:
+    """A CSV with a header; its first column becomes sample_id. With place, PLACE says where a row stands.
+
+    Numbers of rows grow within a block whatever the order in which blocks are dealt out, so one
+    file's rows are in file order; rows of several files are in a fixed order for given blocks.
+    """
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return df.withColumnRenamed(df.columns[0], "sample_id")
+    first = df.columns[0]
+    if place:
+        df = df.select("*", F.col("_metadata.file_block_start").alias(PLACE[0]), F.col("_metadata.file_path").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
+    return df.withColumnRenamed(first, "sample_id")
 
 
 def read_details(spark: SparkSession, folder: str, pattern: str = "*_details.csv") -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.ml import PipelineModel
 
+from mosaiq.__main__ import main as command
 from mosaiq.operators import models
 from mosaiq.plans import degrees, features, segmentation
 from mosaiq.sources import files, raster
@@ -55,3 +56,19 @@ def test_saved_pipeline(spark, tmp_path):
     m = models.fit_pipeline(df, ["a", "b"], "y", "RandomForest", {"n_estimators": 3, "max_depth": 3, "min_samples_split": 2})
     m.write().overwrite().save(str(tmp_path / "m"))
     assert PipelineModel.load(str(tmp_path / "m")).transform(df).select("prediction").collect() == m.transform(df).select("prediction").collect()
+
+
+def test_commands_from_images_to_degree_tables(spark, tmp_path):
+    folder = tmp_path / "in" / "S1"
+    folder.mkdir(parents=True)
+    (folder / "b.ppm").write_bytes(picture((2, 2, 12), (2, 20, 12), (20, 20, 11), (22, 2, 11)))
+    (folder / "a.ppm").write_bytes(b"not an image")
+    assert [r.relative for r in files.listing(spark, str(tmp_path / "in"), "*.ppm").collect()] == ["S1/a.ppm", "S1/b.ppm"]
+    command(["segmentation", str(tmp_path / "in"), str(tmp_path / "out"), "--pattern", "*.ppm", "--mask-files", str(tmp_path / "masks")])
+    back = files.read_masks(spark, str(tmp_path / "masks")).collect()
+    assert [(r.path, r.mask_id, r.error) for r in sorted(back, key=lambda r: r.mask_id)] == [("S1/b.mask", i, None) for i in (1, 2, 3, 4)]
+    assert sorted(r.area for r in back) == [121, 121, 144, 144]
+    (tmp_path / "external.csv").write_text("name,Hc20\nS1,1.5\n")
+    command(["degrees", str(tmp_path / "masks"), str(tmp_path / "tables"), "--external", str(tmp_path / "external.csv")])
+    assert spark.read.parquet(str(tmp_path / "tables" / "nodes")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "tables" / "compare_values")).count() == 8
