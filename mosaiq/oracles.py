@@ -300,3 +300,45 @@ two AS (SELECT image_id, s, t, w FROM e UNION ALL SELECT image_id, t, s, w FROM
 reach(image_id, s, t, w, pos) AS (SELECT image_id, s, t, w, s FROM e WHERE w <= 30 UNION SELECT r.image_id, r.s, r.t, r.w, x.t FROM reach r JOIN two x ON x.image_id = r.image_id AND x.s = r.pos AND (x.w, least(x.s, x.t), greatest(x.s, x.t)) < (r.w, r.s, r.t))
 SELECT e.image_id, round(e.w, 6) AS death FROM e WHERE w <= 30 AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.image_id = e.image_id AND r.s = e.s AND r.t = e.t AND r.pos = e.t)""",
 }
+
+P_VALUE = """
+, pv AS (
+  -- the upper tail of F for an even df1 is a finite sum; a feature that varies in no sample has f NULL and p 1
+  SELECT feature, CASE WHEN any_value(f) IS NULL THEN 1.0 ELSE sum(exp(df2 / 2 * ln(df2 / (df1 * f + df2)) + lgamma(df2 / 2 + j) - lgamma(df2 / 2) - lgamma(j + 1) + j * ln(df1 * f / (df1 * f + df2)))) END AS p_value
+  FROM res, range(CAST(df1 / 2 AS BIGINT)) t(j) GROUP BY feature)"""
+
+ICC = """
+r AS (SELECT * FROM long WHERE rater <= 8), k AS (SELECT feature, count(DISTINCT rater) AS k FROM r GROUP BY feature),
+c AS (SELECT r.* FROM r JOIN k USING (feature) JOIN (SELECT feature, sample, count(*) AS n FROM r GROUP BY feature, sample) s ON s.feature = r.feature AND s.sample = r.sample AND s.n = k.k),
+w AS (SELECT feature, sample, v, avg(v) OVER (PARTITION BY feature, sample) AS ms, avg(v) OVER (PARTITION BY feature, rater) AS mr, avg(v) OVER (PARTITION BY feature) AS m FROM c),
+t AS (SELECT feature, any_value(k) AS k, count(DISTINCT sample) AS n, sum((ms - m) ** 2) AS ssb, sum((v - ms - mr + m) ** 2) AS sse FROM w JOIN k USING (feature) GROUP BY feature),
+icc AS (SELECT feature, CASE WHEN ssb > 0 THEN (ssb / (n - 1) - sse / ((n - 1) * (k - 1))) / (ssb / (n - 1)) END AS icc FROM t)"""
+
+#: The columns that the correlation filter chooses from.
+LIKE_COLUMNS = {**{m: m for m in MEASURES}, "quantity_twice": "l_quantity * 2 + 1", "quantity_std": "l_quantity + l_tax", "discount_less": "-l_discount"}
+
+ORACLES |= {
+    "anova_p": "WITH " + LINE_LONG + "," + ANOVA + P_VALUE + " SELECT feature, round(p_value, 6) AS p_value, p_value < 0.05 / 4 AS reject_h0 FROM pv",
+    "good_features": _with(EVENTS_LONG, ICC, ANOVA) + P_VALUE + """
+SELECT feature, round(icc, 6) AS icc, round(p_value, 6) AS p_value, p_value < 0.05 / 3 AS reject_h0, coalesce(icc >= 0.75 AND p_value < 0.05 / 3, FALSE) AS good_feature FROM icc JOIN pv USING (feature)""",
+    "corr_filter": "WITH RECURSIVE feat AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(LIKE_COLUMNS)) + ") t(i, name)), pair AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS a, {j} AS b, corr({x}, {y}) AS c FROM lineitem" for i, x in enumerate(LIKE_COLUMNS.values()) for j, y in enumerate(LIKE_COLUMNS.values()) if i < j
+    ) + """), strong AS (SELECT a, b FROM pair WHERE abs(c) > 0.95 UNION ALL SELECT b, a FROM pair WHERE abs(c) > 0.95),
+-- each step drops the feature with most partners left, one named _std before others, then the first
+chosen(step, kept) AS (
+  SELECT 0, (SELECT list(i ORDER BY i) FROM feat)
+  UNION ALL
+  SELECT step + 1, [x FOR x IN kept IF x <> worst] FROM (
+    SELECT step, any_value(kept) AS kept, arg_min(i, -1000 * n + CASE WHEN suffix(name, '_std') THEN 0 ELSE 100 END + i) AS worst, max(n) AS most FROM (
+      SELECT d.step, any_value(d.kept) AS kept, f.i, f.name, count(s.b) AS n FROM chosen d JOIN feat f ON list_contains(d.kept, f.i) LEFT JOIN strong s ON s.a = f.i AND list_contains(d.kept, s.b) GROUP BY d.step, f.i, f.name)
+    GROUP BY step) WHERE most > 0),
+u AS (SELECT unnest(kept) AS i, generate_subscripts(kept, 1) - 1 AS position FROM (SELECT kept FROM chosen ORDER BY step DESC LIMIT 1))
+SELECT CAST(position AS INTEGER) AS position, name AS feature FROM u JOIN feat USING (i)""",
+    "connected_regions": _with(RASTER) + """
+, fg AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pixels WHERE label > 0),
+runs AS (SELECT image_id, y, min(x) AS a, max(x) AS b, count(*) AS n, y * 128 + min(x) AS id FROM fg GROUP BY image_id, y, g),
+touch AS (SELECT p.image_id, p.id AS u, q.id AS v FROM runs p JOIN runs q ON q.image_id = p.image_id AND abs(q.y - p.y) = 1 AND q.a <= p.b + 1 AND q.b >= p.a - 1),
+reach(image_id, id, root) AS (SELECT image_id, id, id FROM runs UNION SELECT r.image_id, t.v, r.root FROM reach r JOIN touch t ON t.image_id = r.image_id AND t.u = r.id),
+least AS (SELECT image_id, id, min(root) AS root FROM reach GROUP BY image_id, id)
+SELECT image_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INTEGER) AS label, CAST(sum(n) AS BIGINT) AS pixels, root AS first FROM least JOIN runs USING (image_id, id) GROUP BY image_id, root""",
+}
