@@ -71,9 +71,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def columns(df: DataFrame, wanted: str) -> DataFrame:
+    """The wanted columns ("name type, ..."), whatever else the table holds.
+
+    A column is found by its exact name, else by a name that differs by case only; further
+    columns whose names differ by case only, such as Text beside text, do no harm.
+    """
+    have, pairs = df.columns, [w.split() for w in wanted.split(", ")]
+    at = {}
+    for name, _ in pairs:
+        alike = [i for i, c in enumerate(have) if c.lower() == name.lower()]
+        at[next((i for i in alike if have[i] == name), alike[0] if alike else -1)] = name
+    plain = df.toDF(*[at.get(i, f"__{i}") for i in range(len(have))])
+    return plain.select(*[F.col(name).cast(kind).alias(name) for name, kind in pairs])
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only the two columns an operator works on, whatever else the table holds."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return columns(docs, "doc_id long, text string")
 
 
 # --- word hashing over whole batches -------------------------------------------------------

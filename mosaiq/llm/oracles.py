@@ -110,4 +110,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
   array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
 FROM d LEFT JOIN base USING (rid) LEFT JOIN sp USING (rid)"""
 
-ORACLES = {"op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_url_filter": URLS, "op10_license_scan": LICENSES}
+MIXING = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+o AS (SELECT *, sum(s) OVER () AS total, sum(w) OVER () AS every, coalesce(sum(s) OVER below, 0) AS cs, coalesce(sum(w) OVER below, 0) AS cw FROM w
+  WINDOW below AS (ORDER BY s / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 4.0 * s * (every - cw) <= (3 * total - 4 * cs) * w AS capped FROM o),
+l AS (SELECT coalesce(sum(s) FILTER (capped), 0) AS cs, coalesce(sum(w) FILTER (NOT capped), 1) AS rest FROM c),
+t AS (SELECT source, s, CASE WHEN capped THEN 2.0 * s ELSE w * CAST(3 * total - 4 * l.cs AS DOUBLE) / CAST(2 * l.rest AS DOUBLE) END AS target FROM c, l),
+u AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM t),
+e AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE words // s * size + greatest(0, least(start + size, words % s) - greatest(start, 0)) END AS BIGINT) AS taken
+FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source"""
+
+ORACLES = {"op11_mixing": MIXING, "op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_url_filter": URLS, "op10_license_scan": LICENSES}

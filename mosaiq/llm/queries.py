@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
+from . import decontam, langid, license_scan, mixing, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -61,4 +65,5 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op7_decontamination": op7_decontamination,
     "op9_url_filter": op9_url_filter,
+    "op11_mixing": op11_mixing,
 }
