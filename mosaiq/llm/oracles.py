@@ -125,4 +125,22 @@ SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
   CAST(CASE WHEN size = 0 THEN 0 ELSE words // s * size + greatest(0, least(start + size, words % s) - greatest(start, 0)) END AS BIGINT) AS taken
 FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source"""
 
-ORACLES = {"op11_mixing": MIXING, "op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_url_filter": URLS, "op10_license_scan": LICENSES}
+TRIE = """
+WITH c AS (SELECT conv_id, turn, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS p FROM c),
+i AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS h FROM c GROUP BY conv_id),
+j AS (SELECT i.*, least(i.h, coalesce(b.own, 0)) AS lent FROM i LEFT JOIN i b ON b.conv_id = i.base),
+r AS (SELECT conv_id, lent + p - h AS p, k, n FROM o JOIN j USING (conv_id) WHERE p >= h UNION ALL SELECT j.conv_id, p, k, n FROM j JOIN o ON o.conv_id = j.base WHERE p < h),
+x AS (SELECT conv_id, p + 1 AS depth, n, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY p) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM j),
+m AS (SELECT conv_id, max(depth) AS turns FROM x GROUP BY conv_id),
+nd AS (SELECT depth, path, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs FROM x GROUP BY ALL),
+ch AS (SELECT depth - 1 AS depth, left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nd WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT nd.*, coalesce(n_children, 0) AS n_children FROM nd LEFT JOIN ch USING (depth, path)),
+sub AS (SELECT a AS depth, left(path, 64 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM full_) GROUP BY ALL),
+e AS (SELECT depth, path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM x JOIN m USING (conv_id) WHERE depth = turns GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ f JOIN sub USING (depth, path) LEFT JOIN e USING (depth, path) LEFT JOIN full_ u ON u.depth = f.depth - 1 AND u.path = left(f.path, 64 * (f.depth - 1))"""
+
+ORACLES = {"op12_prefix_trie": TRIE, "op11_mixing": MIXING, "op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_url_filter": URLS, "op10_license_scan": LICENSES}

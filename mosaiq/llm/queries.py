@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, mixing, packing, pii, quality, simhash, substring_dedup, token_counts, url_filter
+from . import decontam, langid, license_scan, mixing, packing, pii, prefix_trie, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import documents
 
 
@@ -54,6 +54,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -66,4 +70,5 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op9_url_filter": op9_url_filter,
     "op11_mixing": op11_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
