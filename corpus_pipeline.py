@@ -8,6 +8,7 @@ Very long texts are read whole and packed in pieces. An empty table gives an emp
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from mosaiq.llm import decontam, packing, pii, quality, simhash
@@ -15,8 +16,14 @@ from mosaiq.llm.common import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality.keep_good(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that no quality rule rejects; without a table of labels no rule is learned."""
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality.keep_good(docs, labels=labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
