@@ -200,7 +200,7 @@ def classify(text: str | None, model: Model | None) -> tuple[str, float]:
 
 def _predict(shared):
     def run(batches):
-        model = shared.value
+        model = None if shared.value is None else Model(*shared.value)
         for batch in batches:
             out = [classify(t, model) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -220,6 +220,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     are predicted alike; an empty table gives an empty result; extra columns are ignored.
     """
     common.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    model = model or fit(docs)
+    # plain arrays: workers without this package could not read an instance of its class
+    plain = None if model is None else (model.languages, model.idf, model.weights, model.temperature)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     rows = common.id_text(docs).withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")

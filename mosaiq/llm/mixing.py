@@ -113,7 +113,7 @@ def _spans(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _schedule(spark, sources: DataFrame, block: int) -> DataFrame:
     words = F.floor(F.col("target") + 0.5).cast("long")
-    full, rest = F.expr("coalesce(words div source_size, 0)"), F.expr("coalesce(words % source_size, 0)")
+    full, rest = F.expr("words div greatest(source_size, 1)"), F.expr("words % greatest(source_size, 1)")
     needs = sources.withColumn("words", words).withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("rest", rest)
     needs = needs.withColumn("slots", (full * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long"))
     needs = cut(_running(needs.where(F.col("slots") > 0), "slots", "low").withColumn("high", F.col("low") + F.col("slots")), "needs")

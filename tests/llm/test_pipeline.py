@@ -42,7 +42,8 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, out["packing"].select(run.columns).collect()))
 
 
-def test_empty(spark, tmp_path):
-    for name in ("documents", "benchmark"):
+@pytest.mark.parametrize("tables", [("documents", "benchmark"), ("documents", "benchmark", "labels")])
+def test_empty(spark, tmp_path, tables):
+    for name in tables:
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
