@@ -34,12 +34,16 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def present_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns that hold at least one value (one aggregate row reaches the driver)."""
+    if not columns:
+        return []
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     return [c for c in columns if counts[c]]
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs become the column's mean; a column without values becomes 0."""
+    if not columns:
+        return df
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(float(means[c] or 0.0))) for c in columns})
 
