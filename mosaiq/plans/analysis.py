@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def model(features: DataFrame, external: DataFrame, target: str, key: str = "sam
     """Selected features, compared models, importances and attributions for one target.
 
     Cross-validated fits fill gaps by the means outside the held-out fold, the final ones by those
-    of all rows. Features without any value are left out.
+    of all rows. Features without any value are left out. The attribution is that of the best model.
     """
     merged = select.merge_external(features, external, key)
     names = [c for c in features.columns if c != key and c in merged.columns]
@@ -69,12 +71,12 @@ def model(features: DataFrame, external: DataFrame, target: str, key: str = "sam
     names = columns.present_columns(data, names)
     kept, trail = models.recursive_elimination(data, names, target, key, trees=trees, k=k)
     spark = features.sparkSession
-    out = {
+    compared = models.compare_models(data, kept, target, key, grids, k)
+    best = compared.first()
+    return {
         "selected": spark.createDataFrame([(c,) for c in kept], "feature string"),
         "elimination": spark.createDataFrame(trail, "n_features int, cv_r2 double"),
-        "models": models.compare_models(data, kept, target, key, grids, k),
+        "models": compared,
         "importance": models.feature_importance(data, kept, target, trees),
+        "attribution": models.mean_attribution(data, kept, target, key, best.model, json.loads(best.best_params)),
     }
-    if len(kept) <= 10:
-        out["attribution"] = models.attribution(columns.impute_mean(data, kept), kept, target, key)
-    return out

@@ -53,7 +53,7 @@ def test_details_files(spark, tmp_path):
 
 def test_saved_pipeline(spark, tmp_path):
     df = spark.createDataFrame([(float(i), float(i % 3) if i % 4 else None, 2.0 * i) for i in range(40)], "a double, b double, y double")
-    m = models.fit_pipeline(df, ["a", "b"], "y", "RandomForest", {"n_estimators": 3, "max_depth": 3, "min_samples_split": 2})
+    m = models.fit_pipeline(df, ["a", "b"], "y", {"n_estimators": 3, "max_depth": 3, "min_samples_split": 2})
     m.write().overwrite().save(str(tmp_path / "m"))
     assert PipelineModel.load(str(tmp_path / "m")).transform(df).select("prediction").collect() == m.transform(df).select("prediction").collect()
 

@@ -136,16 +136,6 @@ def test_shapley_adds_up():
     assert v[:, 2] == pytest.approx(2 * (x[:, 2] - base[:, 2].mean()))
 
 
-def test_forest_arrays_predict_like_spark(spark):
-    rows = [(float(i), float(i % 7), float(i * (i % 7)), 0) for i in range(80)]
-    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
-    data = models.assembled(df, ["a", "b"], "y")
-    m = models.tree_model("RandomForest", {"n_estimators": 4, "max_depth": 4, "min_samples_split": 2}).fit(data)
-    want = [r.prediction for r in m.transform(data).select("prediction").collect()]
-    x = np.array([[r[0], r[1]] for r in rows])
-    assert models.forest_predict(models.forest_arrays(m), [0.25] * 4, x) == pytest.approx(want)
-
-
 def test_mask_files_round_trip(spark, tmp_path):
     a = np.zeros((4, 5), bool)
     a[1:3, 2:4] = True
@@ -206,7 +196,7 @@ def test_gaps_are_filled_by_the_training_folds(spark):
     found = models.search_linear(df, ["a", "b"], "y", models.ridge, [2.0], 3)
     assert found["r2"].iloc[0] == pytest.approx(np.mean(r2))
     options = {"n_estimators": 2, "max_depth": 3, "min_samples_split": 2}
-    assert np.isfinite(models.search_trees(df, ["a", "b"], "y", "RandomForest", [options], 3)["r2"].iloc[0])
+    assert np.isfinite(models.search_forests(df, ["a", "b"], "y", [options], 3)["r2"].iloc[0])
     assert np.isfinite(models.search_kernel(df, ["a", "b"], "y", "GaussianProcess", [{"kernel": "rbf"}], 3)["r2"].iloc[0])
 
 
