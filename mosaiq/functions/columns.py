@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialise
+
 
 def number(c: str) -> Column:
     """A column coerced to double: NULL where it is not a number, and for NaN."""
@@ -72,24 +74,30 @@ def scaled(value: Column, least: Column, greatest: Column, low: float, high: flo
     return F.when(span > 0, low + (value - least) / span * (high - low)).otherwise(F.lit((low + high) / 2))
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], to: str, chunks: int = 32) -> DataFrame:
-    """1-based number of each row within its keys, by order, without a task per key.
+def random_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows of df (a top-n, so no row is shuffled that cannot be among them), by a hash of a whole-number key.
+
+    The hash is Knuth's multiplicative one modulo a prime: plain arithmetic, equal in every engine.
+    """
+    at = F.pmod(F.pmod(F.col(key) + seed, F.lit(2_147_483_647)) * F.lit(2_654_435_761 % 2_147_483_647), F.lit(2_147_483_647))
+    return df.orderBy(at, key).limit(n)
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], to: str) -> DataFrame:
+    """1-based number of each row within its keys, by order (NULL first), without a task per key.
 
-    The first order column (a number or timestamp) is cut at its quantiles, so a chunk of a hot
-    key is numbered by itself; offsets come from the chunk sizes.
+    The whole table is sorted by range of keys and order together, so a hot key spreads over as
+    many partitions as it needs, whichever of its order columns varies. A row's number is its
+    place in its partition, counted on from where the partition's share of the key begins.
     """
-    first = F.col(order[0])
-    if "timestamp" in dict(df.dtypes)[order[0]]:
-        first = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(dict(df.dtypes)[order[0]]), first)
-    first = first.cast("double")
-    cuts = df.agg(F.percentile_approx(first, [i / chunks for i in range(1, chunks)], 1000).alias("q")).first().q or []
-    chunk = F.lit(0)
-    for q in sorted(set(cuts)):
-        chunk = chunk + (first > q).cast("int")
-    parts = df.withColumn("__chunk", F.coalesce(chunk, F.lit(0)))
-    sizes = parts.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(*order))
-    numbered = parts.withColumn(to, inside).join(offsets, [*keys, "__chunk"])
-    return numbered.withColumn(to, (F.col(to) + F.col("__before")).cast("long")).drop("__chunk", "__before")
+    # equal rows are told apart by a number of their own, so they can be parted too
+    ranked = df.withColumn("__salt", F.monotonically_increasing_id()).orderBy(*keys, *order, "__salt").drop("__salt")
+    ranked = materialise(ranked.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), "ranked")
+    runs = ranked.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = runs.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), (F.col("__first") - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__zero"))
+    same = ranked["__part"] == starts["__p"]
+    for i, k in enumerate(keys):
+        same = same & ranked[k].eqNullSafe(starts[f"__{i}"])
+    numbered = ranked.join(starts, same).withColumn(to, (F.col("__at") - F.col("__zero") + 1).cast("long"))
+    return numbered.select(*df.columns, to)

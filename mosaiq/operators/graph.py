@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialise
 from ..sources.raster import spread
 
 FIXED = (20, 50, 100, 150)
@@ -49,10 +50,46 @@ def pairwise_distances(points: DataFrame) -> DataFrame:
     return _images(points).join(d, "image_id", "left").select("image_id", F.coalesce("m", F.lit(0.0)).alias("pairwise_dist_mean"), F.coalesce("s", F.lit(0.0)).alias("pairwise_dist_std"))
 
 
+#: Points of a grid cell, about.
+CELL_POINTS = 2.0
+
+
+def nearest_distances(points: DataFrame) -> DataFrame:
+    """image_id, label, d: each point's distance to the nearest other one of its image; a lone point has none.
+
+    Points lie in the cells of a grid that is sized by their image. A point looks at the ring of
+    cells around its own; what it finds is the nearest if it is no farther than the ring reaches.
+    The few points left look again in rings twice as wide, up to the whole grid.
+    """
+    frame = points.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    high, wide = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    # points on a line are spread over one direction only
+    side = F.greatest(F.sqrt(high * wide * CELL_POINTS / F.col("n")), F.greatest(high, wide) * CELL_POINTS / F.col("n"))
+    frame = frame.withColumn("side", F.when(side > 0, side).otherwise(1.0)).withColumn("reach", F.floor(F.greatest(high, wide) / F.col("side")) + 1)
+    cell = lambda c, lo: F.floor((F.col(c) - F.col(lo)) / F.col("side"))
+    placed = points.select("image_id", "label", "y", "x").join(frame.select("image_id", "y0", "x0", "side", "reach"), "image_id")
+    placed = materialise(placed.select("image_id", "label", "y", "x", "side", "reach", cell("y", "y0").alias("cy"), cell("x", "x0").alias("cx")), "cells")
+    others = placed.select("image_id", "cy", "cx", F.struct("label", "y", "x").alias("o"))
+    todo, ring, out = placed, 1, None
+    while True:
+        steps = F.sequence(F.lit(-ring), F.lit(ring))
+        looks = todo.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+        looks = looks.select("image_id", "label", "y", "x", (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"))
+        dy, dx = F.col("y") - F.col("o.y"), F.col("x") - F.col("o.x")
+        met = looks.join(others, ["image_id", "cy", "cx"]).where(F.col("label") != F.col("o.label")).groupBy("image_id", "label").agg(F.min(F.sqrt(dy * dy + dx * dx)).alias("d"))
+        seen = materialise(todo.join(met, ["image_id", "label"], "left"), "seen")
+        sure = (F.col("d") <= ring * F.col("side")) | (F.lit(ring) >= F.col("reach"))
+        found = seen.where(F.coalesce(sure, F.lit(ring) >= F.col("reach"))).select("image_id", "label", "d")
+        out = found if out is None else out.unionByName(found)
+        todo = seen.where(~F.coalesce(sure, F.lit(ring) >= F.col("reach"))).drop("d")
+        if todo.isEmpty():
+            return out
+        ring *= 2
+
+
 def nearest_neighbours(points: DataFrame) -> DataFrame:
     """Mean and population deviation of the distance to the nearest point; zeros with fewer than two."""
-    p = pairs(points).select("image_id", "d", F.explode(F.array("a.label", "b.label")).alias("label"))
-    near = p.groupBy("image_id", "label").agg(F.min("d").alias("d")).groupBy("image_id").agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s"))
+    near = nearest_distances(points).groupBy("image_id").agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s"))
     return _images(points).join(near, "image_id", "left").select("image_id", F.coalesce("m", F.lit(0.0)).alias("nn_dist_mean"), F.coalesce("s", F.lit(0.0)).alias("nn_dist_std"))
 
 

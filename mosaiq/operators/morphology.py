@@ -19,8 +19,10 @@ def images(pixels: DataFrame) -> DataFrame:
     return bands(pixels).groupBy("image_id").agg(rows.alias("rows")).select("image_id", F.col("rows.labels").alias("labels"))
 
 
-def _raster(value) -> np.ndarray:
-    return np.array(value, np.int32)
+def _raster(rows: pa.ListScalar) -> np.ndarray:
+    """An array of rows as a matrix, by its buffer."""
+    lines = rows.values
+    return lines.flatten().to_numpy(zero_copy_only=False).reshape(len(lines), -1).astype(np.int32, copy=False) if len(lines) else np.zeros((0, 0), np.int32)
 
 
 SHAPES = (
@@ -33,7 +35,7 @@ _SHAPE_NAMES = [c.split()[0] for c in SHAPES.split(",")][2:]
 def _shapes(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            raster = _raster(labels.as_py())
+            raster = _raster(labels)
             around = kernels.perimeters(raster) if raster.size else ()
             rows = [(label, kernels.region_shape(mask) | {"perimeter": around[label]}) for label, _, _, mask in kernels.crops(raster)]
             yield pa.RecordBatch.from_arrays(
@@ -48,17 +50,17 @@ def region_shapes(pixels: DataFrame) -> DataFrame:
 
 
 def _band_batch(image: str, kinds: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
-    rows = [(kind, y, line) for kind, raster in kinds for y, line in enumerate(raster.tolist())]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([image] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))],
-        names=["image_id", "region_type", "y", "labels"],
-    )
+    whole = np.concatenate([raster for _, raster in kinds]).astype(np.int32)
+    lines = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * whole.shape[1], pa.int32()), pa.array(whole.ravel()))
+    names = np.repeat([kind for kind, _ in kinds], [len(raster) for _, raster in kinds])
+    y = np.concatenate([np.arange(len(raster), dtype=np.int32) for _, raster in kinds])
+    return pa.RecordBatch.from_arrays([pa.array([image] * len(whole), pa.string()), pa.array(names.tolist(), pa.string()), pa.array(y), lines], names=["image_id", "region_type", "y", "labels"])
 
 
 def _classes(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            raster = _raster(labels.as_py())
+            raster = _raster(labels)
             background, walls, junctions = kernels.boundary_classes(raster)
             yield _band_batch(image, [("grain", raster), ("background", background), ("thinw", walls), ("junc", junctions)])
 
@@ -73,7 +75,7 @@ def _components(diagonal: bool):
     def run(batches):
         for batch in batches:
             for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-                yield _band_batch(image, [("component", kernels.components(_raster(labels.as_py()) > 0, diagonal)[0])])
+                yield _band_batch(image, [("component", kernels.components(_raster(labels) > 0, diagonal)[0])])
 
     return run
 
@@ -87,7 +89,7 @@ def connected_components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
 def _skeletons(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            yield _band_batch(image, [("skeleton", kernels.thin(_raster(labels.as_py()) > 0).astype(np.int32))])
+            yield _band_batch(image, [("skeleton", kernels.thin(_raster(labels) > 0).astype(np.int32))])
 
 
 def skeleton_pixels(mask: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def skeleton_pixels(mask: DataFrame) -> DataFrame:
 def _measures(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            raster = _raster(labels.as_py())
+            raster = _raster(labels)
             around = kernels.perimeters(raster) if raster.size else ()
             rows = [(label, around[label], kernels.box_dimension(mask)) for label, _, _, mask in kernels.crops(raster)]
             columns = list(zip(*rows)) or [()] * 3
@@ -119,7 +121,7 @@ def _near(radius: int):
     def run(batches):
         for batch in batches:
             for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-                raster = _raster(labels.as_py())
+                raster = _raster(labels)
                 near = kernels.dilate(raster > 0, radius) if raster.size else raster
                 yield _band_batch(image, [("near", 2 * raster + near)])
 
@@ -140,7 +142,7 @@ def _networks(batches):
     for batch in batches:
         out = []
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            mask = _raster(labels.as_py()) > 0
+            mask = _raster(labels) > 0
             nodes, edges = kernels.skeleton_graph(mask)
             parent = list(range(len(nodes)))
 
@@ -166,7 +168,7 @@ def boundary_networks(mask: DataFrame) -> DataFrame:
 def _edges(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            nodes, edges = kernels.skeleton_graph(_raster(labels.as_py()) > 0)
+            nodes, edges = kernels.skeleton_graph(_raster(labels) > 0)
             rows = [(a, b, *nodes[a], *nodes[b], len(path), [{"y": y, "x": x} for y, x in path]) for (a, b), path in edges.items()]
             columns = list(zip(*rows)) or [()] * 8
             point = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32())]))

@@ -37,13 +37,6 @@ def variance_filter(df: DataFrame, features: list[str], threshold: float = 0.0)
     return chosen or kept
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over complete pairs; NULL where a side is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def _gram(columns: list[str], centre: np.ndarray):
     def run(batches):
         p = len(columns)
@@ -119,16 +112,49 @@ def correlation_filter(df: DataFrame, features: list[str], threshold: float = 0.
     return greedy_drop(kept, [(r.feature_a, r.feature_b) for r in strong])
 
 
+def _masked(left: list[str], right: list[str], centre: np.ndarray):
+    """A partition's counts, sums, squares and products of each pair over the rows that have both."""
+
+    def run(batches):
+        p = len(left)
+        sums = np.zeros((6, p, len(right)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in [*left, *right]]) - centre
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            (a, b), (ma, mb) = (x[:, :p], x[:, p:]), (m[:, :p], m[:, p:])
+            sums += np.array([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
+        i, j = (v.ravel() for v in np.indices(sums.shape[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(v.ravel()) for v in sums)], names=["i", "j", "n", "sa", "sb", "qa", "qb", "g"])
+
+    return run
+
+
 def feature_target_correlation(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
-    """feature, target, corr of each pair; names that the table lacks are left out."""
+    """feature, target, corr of each pair over the rows that have both; NULL where a side is constant.
+
+    Names that the table lacks are left out. One pass: a partition gives a row per pair, from six
+    matrix products of values and masks around the column means, however many rows it has.
+    """
     fs, ts = [c for c in features if c in df.columns], [c for c in targets if c in df.columns]
     if not fs or not ts:
         return df.sparkSession.createDataFrame([], "feature string, target string, corr double")
     clean = coerce_numeric(df, sorted({*fs, *ts}))
-    pairs = [(f, t) for f in fs for t in ts]
-    row = clean.agg(*[safe_corr(F.col(f), F.col(t)).alias(f"c{i}") for i, (f, t) in enumerate(pairs)])
-    long = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"c{i}").alias("corr")) for i, (f, t) in enumerate(pairs)]))
-    return row.select(long.alias("r")).select("r.*")
+    # a name can be feature and target at once
+    values = clean.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fs)], *[F.col(c).alias(f"t{i}") for i, c in enumerate(ts)])
+    means = values.agg(*[F.avg(c) for c in values.columns]).first()
+    run = _masked(values.columns[: len(fs)], values.columns[len(fs) :], np.array([v or 0.0 for v in means]))
+    sums = values.mapInArrow(run, "i int, j int, n double, sa double, sb double, qa double, qb double, g double")
+    t = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "g")])
+    n = F.col("n")
+    n = F.nullif(n, F.lit(0.0))
+    va, vb = F.col("qa") - F.col("sa") * F.col("sa") / n, F.col("qb") - F.col("sb") * F.col("sb") / n
+    usable = (va > 1e-12 * F.col("qa")) & (vb > 1e-12 * F.col("qb"))
+    corr = F.when(usable, F.try_divide(F.col("g") - F.col("sa") * F.col("sb") / n, F.sqrt(va * vb)))
+    name = lambda names, at: F.element_at(F.array(*[F.lit(c) for c in names]), F.col(at) + 1)
+    return t.select(name(fs, "i").alias("feature"), name(ts, "j").alias("target"), corr.alias("corr"))
 
 
 #: Target groups of the external measurements.

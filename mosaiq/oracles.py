@@ -96,6 +96,10 @@ def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
 
+DILATED = """
+, hit AS (SELECT DISTINCT b.image_id, b.y + dy AS y, b.x + dx AS x FROM inner_boundary b, range(-{r}, {r1}) a(dy), range(-{r}, {r1}) c(dx) WHERE dy * dy + dx * dx <= {rr})
+SELECT image_id, count(*) AS pixels, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM hit WHERE y BETWEEN 0 AND 95 AND x BETWEEN 0 AND 127 GROUP BY image_id"""
+
 ORACLES = {
     "image_region_stats": _with(RASTER, GEOMETRY) + """
 SELECT image_id, count(*) AS num_grains, round(avg(area), 6) AS area_mean, round(stddev_pop(area), 6) AS area_std,
@@ -118,11 +122,11 @@ FROM (SELECT image_id, label, area, round(mu20, 6) AS a, round(mu02, 6) AS c, ro
     "region_hu": _with(RASTER, GEOMETRY, MOMENTS) + """
 , e AS (SELECT image_id, label, mu20 / area ** 2 AS n20, mu02 / area ** 2 AS n02, mu11 / area ** 2 AS n11, mu30 / area ** 2.5 AS n30, mu03 / area ** 2.5 AS n03,
              mu21 / area ** 2.5 AS n21, mu12 / area ** 2.5 AS n12 FROM mom)
-SELECT image_id, label, round(n20 + n02 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_0, round((n20 - n02) ** 2 + 4 * n11 ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_1,
-       round((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_2, round((n30 + n12) ** 2 + (n21 + n03) ** 2 + CAST(1.7e-8 AS DOUBLE), 6) AS hu_moments_3,
-       round((n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_4,
-       round((n20 - n02) * ((n30 + n12) ** 2 - (n21 + n03) ** 2) + 4 * n11 * (n30 + n12) * (n21 + n03) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_5,
-       round((3 * n21 - n03) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2) + CAST(1.7e-8 AS DOUBLE), 6) + 0 AS hu_moments_6
+SELECT image_id, label, round(n20 + n02, 9) AS hu_moments_0, round((n20 - n02) ** 2 + 4 * n11 ** 2, 9) AS hu_moments_1,
+       round((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2, 9) AS hu_moments_2, round((n30 + n12) ** 2 + (n21 + n03) ** 2, 9) AS hu_moments_3,
+       round((n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2), 9) + 0 AS hu_moments_4,
+       round((n20 - n02) * ((n30 + n12) ** 2 - (n21 + n03) ** 2) + 4 * n11 * (n30 + n12) * (n21 + n03), 9) + 0 AS hu_moments_5,
+       round((3 * n21 - n03) * (n30 + n12) * ((n30 + n12) ** 2 - 3 * (n21 + n03) ** 2) - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) ** 2 - (n21 + n03) ** 2), 9) + 0 AS hu_moments_6
 FROM e""",
     "adjacency_edges": _with(MOSAIC, NEAR, ADJACENCY) + """
 SELECT image_id, src, dst, contact FROM adj""",
@@ -156,9 +160,12 @@ SELECT image_id, label, round(coalesce(d, 0), 6) AS fractal_dimension_boxcount F
 , bx AS (SELECT DISTINCT image_id, k, y // (1 << k) AS by_, x // (1 << k) AS bx FROM inner_boundary, range(1, 6) t(k)),
 ct AS (SELECT image_id, k, count(*) AS n FROM bx GROUP BY image_id, k)
 SELECT image_id, round(-regr_slope(ln(n), k * ln(2)), 6) AS boundary_fractal_dim FROM ct GROUP BY image_id""",
-    "dilate_disk": _with(RASTER, NEAR) + """
-, hit AS (SELECT DISTINCT b.image_id, b.y + dy AS y, b.x + dx AS x FROM inner_boundary b, range(-3, 4) a(dy), range(-3, 4) c(dx) WHERE b.label % 10 = 1 AND dy * dy + dx * dx <= 9)
-SELECT image_id, count(*) AS pixels, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM hit WHERE y BETWEEN 0 AND 95 AND x BETWEEN 0 AND 127 GROUP BY image_id""",
+    "dilate_disk": _with(RASTER, NEAR) + DILATED.format(r=3, r1=4, rr=9),
+    "dilate_disk_all": _with(RASTER, NEAR) + DILATED.format(r=5, r1=6, rr=25),
+    "distance_map": _with(RASTER) + """
+, back AS (SELECT image_id, y, x FROM pixels WHERE label = 0),
+d AS (SELECT p.image_id, p.label, sqrt(min((p.y - b.y) ** 2 + (p.x - b.x) ** 2)) AS d FROM pixels p JOIN back b USING (image_id) WHERE p.label > 0 GROUP BY p.image_id, p.label, p.y, p.x)
+SELECT image_id, label, round(avg(d), 6) AS mean_distance, round(max(d), 6) AS max_distance FROM d GROUP BY image_id, label""",
     "thin_background": _with(RASTER) + """
 , thin AS (SELECT DISTINCT b.image_id, b.y, b.x FROM pixels b, range(-3, 4) a(dy), range(-3, 4) c(dx), pixels o
   WHERE b.label = 0 AND o.label > 0 AND o.image_id = b.image_id AND o.y = b.y + dy AND o.x = b.x + dx AND dy * dy + dx * dx <= 9)
@@ -233,7 +240,10 @@ FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""",
         for t in ("l_extendedprice", "l_tax")
     ),
     "merge_features_external": "SELECT o_custkey AS sample_id, o_orderkey, o_totalprice AS amount_x, c_acctbal AS amount_y, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
-    "target_groups": "SELECT * FROM (VALUES ('props', 'Br20'), ('props', 'Hc20'), ('props', 'Hc147'), ('props', 'Hr20'), ('props', 'Hr147'), ('pps', 'C'), ('pps', 'F'), ('pps', 'J'), ('pps', 'L'), ('effs', 'Neff'), ('effs', 'alpha'), ('pcs', 'PC5-X10000A')) t(target_group, target)",
+    "target_groups": """WITH f AS (SELECT o_custkey AS id, avg(o_totalprice) AS price, count(*) AS orders FROM orders GROUP BY o_custkey),
+m AS (SELECT price, orders, c_acctbal AS hc, c_nationkey AS c, c_custkey % 7 AS a FROM f JOIN customer ON c_custkey = id)
+SELECT 'props' AS target_group, 'price' AS feature, 'Hc20' AS target, round(corr(price, hc), 6) AS corr FROM m UNION ALL SELECT 'props' AS target_group, 'orders' AS feature, 'Hc20' AS target, round(corr(orders, hc), 6) AS corr FROM m UNION ALL SELECT 'pps' AS target_group, 'price' AS feature, 'C' AS target, round(corr(price, c), 6) AS corr FROM m UNION ALL SELECT 'pps' AS target_group, 'orders' AS feature, 'C' AS target, round(corr(orders, c), 6) AS corr FROM m UNION ALL SELECT 'effs' AS target_group, 'price' AS feature, 'alpha' AS target, round(corr(price, a), 6) AS corr FROM m UNION ALL SELECT 'effs' AS target_group, 'orders' AS feature, 'alpha' AS target, round(corr(orders, a), 6) AS corr FROM m""",
+    "random_rows": "SELECT p_partkey FROM part ORDER BY ((p_partkey + 42) % 2147483647) * (2654435761 % 2147483647) % 2147483647, p_partkey LIMIT 100",
     "coerce_numeric": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS page, CAST(NULL AS DOUBLE) AS bad, CAST(user_id AS DOUBLE) AS \"user\" FROM events",
     "drop_empty_columns": "SELECT 'value' AS feature UNION ALL SELECT 'user'",
     "impute_mean": "WITH " + GAPS + ' SELECT event_id, round(coalesce(value, avg(value) OVER ()), 6) AS value, round(coalesce(usr, avg(usr) OVER ()), 6) AS "user" FROM gaps',
@@ -342,3 +352,5 @@ reach(image_id, id, root) AS (SELECT image_id, id, id FROM runs UNION SELECT r.i
 least AS (SELECT image_id, id, min(root) AS root FROM reach GROUP BY image_id, id)
 SELECT image_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INTEGER) AS label, CAST(sum(n) AS BIGINT) AS pixels, root AS first FROM least JOIN runs USING (image_id, id) GROUP BY image_id, root""",
 }
+
+ORACLES["connected_regions_tiled"] = ORACLES["connected_regions"]

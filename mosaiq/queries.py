@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns
-from .operators import graph, models, morphology, neighbours, plots, regions, select, stats
-from .plans import features
+from .operators import distances, graph, models, morphology, neighbours, plots, regions, select, stats, tiles
+from .plans import analysis, features
 from .sources import raster
 
 
@@ -43,8 +43,7 @@ def region_orientation(spark, sf_dir):
 
 def region_hu(spark, sf_dir):
     hu = regions.hu_moments(regions.central_moments(raster.raster(spark, sf_dir)))
-    # many moments are exact ties of the last digit kept; a small shift takes them off it
-    return rounded(hu.select("image_id", "label", *[(F.col("hu")[i] + 1.7e-8).alias(f"hu_moments_{i}") for i in range(7)]))
+    return rounded(hu.select("image_id", "label", *[F.col("hu")[i].alias(f"hu_moments_{i}") for i in range(7)]), 9)
 
 
 def _near(spark, sf_dir):
@@ -89,7 +88,7 @@ def neighbor_area_stats(spark, sf_dir):
 
 def topology_features(spark, sf_dir):
     points = raster.points(spark, sf_dir)
-    return graph.topology(points, neighbours.adjacency(neighbours.with_neighbours(_mosaic(spark, sf_dir))), graph.delaunay_relational(points))
+    return graph.topology(points, neighbours.adjacency(neighbours.with_neighbours(_mosaic(spark, sf_dir))), graph.delaunay(points))
 
 
 def fractal_regions(spark, sf_dir):
@@ -113,12 +112,13 @@ def _near_boundary(pixels, of, radius=3):
 
 
 def dilate_disk(spark, sf_dir):
-    """Of every tenth region, as its SQL has it; dilate_disk_all has every region."""
-    return _places(_near_boundary(raster.raster(spark, sf_dir), F.col("label") % 10 == 1))
+    """The inner boundary of every region, dilated."""
+    return _places(_near_boundary(raster.raster(spark, sf_dir), F.lit(True)))
 
 
 def dilate_disk_all(spark, sf_dir):
-    return _places(_near_boundary(raster.raster(spark, sf_dir), F.lit(True)))
+    """By a disk of five pixels: boundaries of all neighbours meet."""
+    return _places(_near_boundary(raster.raster(spark, sf_dir), F.lit(True), 5))
 
 
 def thin_background(spark, sf_dir):
@@ -134,12 +134,12 @@ def pairwise_distance(spark, sf_dir):
 
 
 def delaunay_edges(spark, sf_dir):
-    return rounded(graph.delaunay_relational(raster.points(spark, sf_dir)))
+    return rounded(graph.delaunay(raster.points(spark, sf_dir)))
 
 
 def degree_distribution(spark, sf_dir):
     points = raster.points(spark, sf_dir)
-    ends = graph.both_ways(graph.delaunay_relational(points))
+    ends = graph.both_ways(graph.delaunay(points))
     counts = ends.groupBy("image_id", F.col("u").alias("label")).agg(*[F.count_if(F.col("weight") <= t).alias(f"t{t}") for t in graph.FIXED])
     nodes = points.select("image_id", "label").join(counts, ["image_id", "label"], "left")
     long = nodes.select("image_id", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(f"t{t}", F.lit(0)).alias("degree")) for t in graph.FIXED])).alias("d")).select("image_id", "d.*")
@@ -148,7 +148,7 @@ def degree_distribution(spark, sf_dir):
 
 def avg_clustering(spark, sf_dir):
     points = raster.points(spark, sf_dir)
-    edges = graph.delaunay_relational(points)
+    edges = graph.delaunay(points)
     c = graph.clustering(points, edges, points.groupBy("image_id").agg(F.array(*[F.lit(float(t)) for t in graph.FIXED], *[F.lit(0.0)] * 25).alias("t")))
     return rounded(c.select("image_id", F.col("c1").alias("avg_clustering")))
 
@@ -242,8 +242,10 @@ def merge_features_external(spark, sf_dir):
 
 
 def target_groups(spark, sf_dir):
-    rows = [(g, t) for g, names in select.TARGET_GROUPS.items() for t in names]
-    return spark.createDataFrame(rows, "target_group string, target string")
+    """Correlations with the target groups; targets and whole groups that the table lacks are left out."""
+    f = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).alias("orders"))
+    e = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_acctbal").alias("Hc20"), F.col("c_nationkey").alias("C"), (F.col("c_custkey") % 7).alias("alpha"), F.col("c_acctbal").alias("other"))
+    return rounded(analysis.correlate(f, e))
 
 
 # --- cleaning and scalar functions ----------------------------------------------------------
@@ -313,7 +315,8 @@ def neighbour_sets(spark, sf_dir):
 
 
 def random_rows(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey").limit(100)
+    """A hundred rows in the order of a multiplicative hash of the key: the same sample on every run."""
+    return columns.random_rows(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 100)
 
 
 # --- plot tables ----------------------------------------------------------------------------
@@ -321,7 +324,7 @@ def random_rows(spark, sf_dir):
 
 def _degrees(spark, sf_dir, limit=50.0):
     points = raster.points(spark, sf_dir)
-    ends = graph.both_ways(graph.delaunay_relational(points)).where(F.col("weight") <= limit)
+    ends = graph.both_ways(graph.delaunay(points)).where(F.col("weight") <= limit)
     counted = ends.groupBy("image_id", F.col("u").alias("label")).agg(F.count(F.lit(1)).alias("degree"))
     return points.select("image_id", "label").join(counted, ["image_id", "label"], "left").fillna({"degree": 0})
 
@@ -401,6 +404,19 @@ def connected_regions(spark, sf_dir):
     return found.where("label > 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.min(F.col("y") * 128 + F.col("x")).alias("first"))
 
 
+def connected_regions_tiled(spark, sf_dir):
+    """The same from tiles of 32 pixels, each labelled by itself."""
+    found = tiles.connected_components(raster.raster(spark, sf_dir), tile=32)
+    return found.where("label > 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("pixels"), F.min(F.col("y") * 128 + F.col("x")).alias("first"))
+
+
+def distance_map(spark, sf_dir):
+    """How far the pixels of each region lie from the background."""
+    pixels = raster.raster(spark, sf_dir)
+    far = distances.distance_map(pixels).join(pixels, ["image_id", "y", "x"])
+    return rounded(far.where("label > 0").groupBy("image_id", "label").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance")))
+
+
 def region_shapes(spark, sf_dir):
     return rounded(morphology.region_shapes(raster.raster(spark, sf_dir)))
 
@@ -433,14 +449,14 @@ def persistence_h1(spark, sf_dir):
 def small_world(spark, sf_dir):
     points = raster.points(spark, sf_dir)
     limits = graph.thresholds(regions.geometry(raster.raster(spark, sf_dir)))
-    flags = morphology.small_worlds(points, graph.delaunay_relational(points), limits)
+    flags = morphology.small_worlds(points, graph.delaunay(points), limits)
     return flags.select("image_id", *[F.col("small_world")[i].alias(f"is_small_world_{s}") for i, s in enumerate(graph.SUFFIXES)])
 
 
 def delaunay_degree_29(spark, sf_dir):
     points = raster.points(spark, sf_dir)
     limits = graph.thresholds(regions.geometry(raster.raster(spark, sf_dir)))
-    return graph.degrees(points, graph.delaunay_relational(points), limits)
+    return graph.degrees(points, graph.delaunay(points), limits)
 
 
 def delaunay_kernel(spark, sf_dir):
@@ -526,7 +542,7 @@ QUERIES = {
         merge_features_external, target_groups, coerce_numeric, drop_empty_columns, impute_mean, fill_zero, drop_missing, nan_to_zero, standardize_pop,
         regex_sample_id, concat_union_by_name, topk_importance, neighbour_sets, random_rows, degree_value_counts, value_histogram, histogram_by_sample,
         compare_quartiles, compare_ordered, kde_grid, kde_2d, hexbin, outlier_flags, node_scaling, discrete_colormap, spatial_coloring, file_match,
-        boundary_classes, connected_regions, region_shapes, skeleton_branches, boundary_network, skeleton_edges, persistence_h0, persistence_h1, small_world,
+        boundary_classes, connected_regions, connected_regions_tiled, distance_map, region_shapes, skeleton_branches, boundary_network, skeleton_edges, persistence_h0, persistence_h1, small_world,
         delaunay_degree_29, delaunay_kernel, dedup_masks, labels_from_masks, region_details, image_features, region_type_stats,
         model_comparison, ridge_cv, rfe_selected, feature_importance, shap_mean_abs,
     )

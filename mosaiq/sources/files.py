@@ -169,20 +169,20 @@ def write_masks(masks: DataFrame, folder: str) -> int:
 
 
 #: Columns that order the rows of a file as they stand in it.
-PLACE = ["block_start", "file_name", "seq"]
+PLACE = ["file_name", "block_start", "seq"]
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, place: bool = False) -> DataFrame:
     """A CSV with a header; its first column becomes sample_id. With place, PLACE says where a row stands.
 
-    Numbers of rows grow within a block whatever the order in which blocks are dealt out, so one
-    file's rows are in file order; rows of several files are in a fixed order for given blocks.
+    Files come by name and their rows as they stand: numbers of rows grow within a block, whatever
+    the order in which blocks are dealt out.
     """
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     first = df.columns[0]
     if place:
-        df = df.select("*", F.col("_metadata.file_block_start").alias(PLACE[0]), F.col("_metadata.file_path").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
+        df = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
     return df.withColumnRenamed(first, "sample_id")
 
 
