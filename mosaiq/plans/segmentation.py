@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import sample_of_path
 from ..operators import kernels
 from ..sources import files
+from ..sources.images import decode
 
 Segmenter = Callable[[np.ndarray], list[np.ndarray]]
 
@@ -40,7 +41,7 @@ def _segmented(segmenter: Segmenter, min_area: int, area_ratio: float | None):
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows = []
                 try:
-                    image = files.decode_image(content)[files.CROP_TOP : files.CROP_TOP + files.KEEP_ROWS, :, :3]
+                    image = decode(content)[files.CROP_TOP : files.CROP_TOP + files.KEEP_ROWS, :, :3]
                     for number, (_, mask) in enumerate(kernels.deduplicate(segmenter(image), min_area, area_ratio), 1):
                         y, x = np.nonzero(mask)
                         box = [float(x.min()), float(y.min()), float(np.ptp(x) + 1), float(np.ptp(y) + 1)]

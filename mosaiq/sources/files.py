@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import struct
 import uuid
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import sample_of_path
+from .images import decode
 from .msgpack import pack, unpack
 
 #: Rows cut from the top of an image, and rows kept after that.
@@ -30,54 +30,20 @@ def listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return scan(spark, folder, pattern).select("path", "relative").orderBy("path")
 
 
-def decode_image(data: bytes) -> np.ndarray:
-    """An uncompressed 8-bit TIFF or a binary PGM/PPM as an array of rows, columns, bands."""
-    if data[:2] in (b"P5", b"P6"):
-        fields, at = [], 2
-        while len(fields) < 3:
-            while data[at : at + 1].isspace():
-                at += 1
-            if data[at : at + 1] == b"#":
-                at = data.index(b"\n", at)
-                continue
-            end = at
-            while not data[end : end + 1].isspace():
-                end += 1
-            fields.append(int(data[at:end]))
-            at = end
-        bands = 1 if data[:2] == b"P5" else 3
-        return np.frombuffer(data, np.uint8, fields[0] * fields[1] * bands, at + 1).reshape(fields[1], fields[0], bands)
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF, PGM or PPM image")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        form, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, (None, 0))
-        if form:
-            place = at + 10 + 12 * i if n * size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-            tags[tag] = struct.unpack(order + form * n, data[place : place + n * size])
-    if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (8,))) != {8}:
-        raise ValueError("only uncompressed 8-bit TIFF images are read")
-    raw = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    return np.frombuffer(raw, np.uint8).reshape(tags[257][0], tags[256][0], tags.get(277, (1,))[0])
-
-
 def _decoded(batches):
+    """Rows by their buffers: an array of pixels, each an array of bands."""
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            error, rows = None, []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             try:
-                image = decode_image(content)[CROP_TOP : CROP_TOP + KEEP_ROWS, :, :3]
-                rows = [(y, line.tolist()) for y, line in enumerate(image.astype(int))]
+                image = decode(content.as_py())[CROP_TOP : CROP_TOP + KEEP_ROWS, :, :3]
+                if not image.size:
+                    raise ValueError("no row is left below the part that is cut off")
+                h, w, bands = image.shape
+                pixels = pa.ListArray.from_arrays(pa.array(np.arange(h * w + 1, dtype=np.int32) * bands), pa.array(image.astype(np.int16).ravel()))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(h + 1, dtype=np.int32) * w), pixels)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * h), pa.array(np.arange(h, dtype=np.int32)), rows, pa.nulls(h, pa.string())], names=["path", "y", "row", "error"])
             except Exception as e:  # one bad file is a row with its error, not a failed job
-                error = str(e)
-            rows = rows or [(None, None)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int16()))), pa.array([error] * len(rows), pa.string())],
-                names=["path", "y", "row", "error"],
-            )
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.list_(pa.int16()))), pa.array([str(e)])], names=["path", "y", "row", "error"])
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFrame:
