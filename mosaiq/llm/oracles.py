@@ -48,7 +48,7 @@ hp AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
 r AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in _FITS)} END AS rule, CASE {" ".join(f"WHEN {c} THEN '{w}'" for w, _, _, c in _FITS)} END AS ruled FROM hp),
 paths AS (SELECT host, path, ruled, count(*) AS n FROM r GROUP BY ALL),
 seg AS (SELECT host, path, n, generate_subscripts(s, 1) AS depth, unnest(s) AS raw FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM paths)),
-gen AS (SELECT *, CASE WHEN depth > {LEVELS} THEN '*' WHEN regexp_matches(raw, '{NUMBER}') THEN raw[1] || '#' WHEN regexp_matches(raw, '{IDENTIFIER}') THEN '#h' WHEN length(raw) >= {LONG_SEGMENT} THEN '*' ELSE raw END AS segment FROM seg),
+gen AS (SELECT *, CASE WHEN depth > {LEVELS} THEN '*' WHEN regexp_matches(raw, '{NUMBER}') THEN '#' WHEN regexp_matches(raw, '{IDENTIFIER}') THEN '#h' WHEN length(raw) >= {LONG_SEGMENT} THEN '*' ELSE raw END AS segment FROM seg),
 lit AS (SELECT host, depth, segment FROM (SELECT *, count(*) OVER (PARTITION BY depth, segment) AS hosts FROM (SELECT host, depth, segment, sum(n) AS pages FROM gen WHERE segment <> '*' AND NOT contains(segment, '#') GROUP BY ALL))
   WHERE pages >= {MIN_SEGMENT_PAGES} OR hosts >= {MIN_SEGMENT_PAGES}),
 tmpl AS (SELECT g.host, g.path, list(CASE WHEN l.segment IS NOT NULL OR contains(g.segment, '#') THEN g.segment ELSE '*' END ORDER BY g.depth) AS template FROM gen g LEFT JOIN lit l USING (host, depth, segment) GROUP BY g.host, g.path),

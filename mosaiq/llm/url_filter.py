@@ -1,7 +1,7 @@
 """URL filter: explicit rules, and a path-template tree where no rule fits.
 
-Per host, path segments become a tree of templates: numbers become a wildcard of their first
-digit ("4#"), hex identifiers "#h", and segments that hardly any page or host has "*". The ancestors of a
+Per host, path segments become a tree of templates: numbers become the wildcard
+"#", hex identifiers "#h", and segments that hardly any page or host has "*". The ancestors of a
 template have one more of its last segments made "*". Pages that a rule judges are the labels.
 
 * Merging: a node whose labelled branches do not differ significantly in their blocked share (a
@@ -71,7 +71,7 @@ def longest_rule(rules=RULES) -> tuple[Column, Column]:
 def templates(paths: DataFrame) -> DataFrame:
     """host, path, template (array) for distinct paths (host, path, n pages)."""
     raw = F.col("raw")
-    made = F.when(F.rlike(raw, F.lit(NUMBER)), F.concat(F.substring(raw, 1, 1), F.lit("#"))).when(F.rlike(raw, F.lit(IDENTIFIER)), "#h")
+    made = F.when(F.rlike(raw, F.lit(NUMBER)), "#").when(F.rlike(raw, F.lit(IDENTIFIER)), "#h")
     made = made.when((F.length(raw) >= LONG_SEGMENT) | (raw == "*"), "*").otherwise(raw)
     segments = paths.select("host", "path", "n", F.posexplode(F.filter(F.split("path", "/"), lambda s: s != "")).alias("depth", "raw"))
     segments = segments.select("host", "path", "n", "depth", F.when(F.col("depth") >= LEVELS, "*").otherwise(made).alias("segment"))
