@@ -160,8 +160,8 @@ SELECT image_id, label, round(coalesce(d, 0), 6) AS fractal_dimension_boxcount F
 , bx AS (SELECT DISTINCT image_id, k, y // (1 << k) AS by_, x // (1 << k) AS bx FROM inner_boundary, range(1, 6) t(k)),
 ct AS (SELECT image_id, k, count(*) AS n FROM bx GROUP BY image_id, k)
 SELECT image_id, round(-regr_slope(ln(n), k * ln(2)), 6) AS boundary_fractal_dim FROM ct GROUP BY image_id""",
-    "dilate_disk": _with(RASTER, NEAR) + DILATED.format(r=3, r1=4, rr=9),
-    "dilate_disk_all": _with(RASTER, NEAR) + DILATED.format(r=5, r1=6, rr=25),
+    "dilate_disk": _with(RASTER, NEAR) + DILATED.format(r=5, r1=6, rr=25),
+    "dilate_disk_all": _with(RASTER, NEAR) + DILATED.format(r=3, r1=4, rr=9),
     "distance_map": _with(RASTER) + """
 , back AS (SELECT image_id, y, x FROM pixels WHERE label = 0),
 d AS (SELECT p.image_id, p.label, sqrt(min((p.y - b.y) ** 2 + (p.x - b.x) ** 2)) AS d FROM pixels p JOIN back b USING (image_id) WHERE p.label > 0 GROUP BY p.image_id, p.label, p.y, p.x)
