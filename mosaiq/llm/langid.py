@@ -3,9 +3,11 @@
 Features are the hashed 1- to 3-grams of the lower-cased text. Document frequencies come from
 every training row (partial sums of a fixed-size vector, merged by feature). The weights are
 fitted by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded
-sample of the training rows (whole texts, counted by the workers), spread evenly over the languages; a second, disjoint part of the sample sets the temperature
-that calibrates the scores. Prediction broadcasts the weights, whose size is fixed by BUCKETS
-and the number of languages.
+sample of the training rows (whole texts, counted by the workers), spread evenly over the
+languages; most weights end at zero. A second, disjoint part of the sample sets the temperature
+that calibrates the scores: by whole texts, which are easy, and by short pieces of them, which are
+not, with a prior that holds the temperature near 1 where the sample says nothing. Prediction
+broadcasts the weights, whose size is fixed by BUCKETS and the number of languages.
 """
 
 from __future__ import annotations
@@ -25,7 +27,13 @@ BUCKETS = 1 << 14
 TRAIN_ROWS = 600
 EPOCHS = 4
 ALPHA, BETA = 0.5, 1.0
-L1, L2 = 1e-4, 1e-4
+L1, L2 = 0.5, 1e-4
+#: Rows of all languages together that train and calibrate at most, however many languages there are.
+SAMPLE_ROWS = 12_000
+#: Characters of the pieces that calibrate, least and most.
+PIECE = (8, 160)
+#: Deviation of the logarithm of the temperature that is expected before any row is seen, in rows' worth of log loss.
+PRIOR = 1.0
 UNDETERMINED = "und"
 #: Bounds the weights that are broadcast (8 bytes x BUCKETS each, 64 MB together).
 MAX_LANGUAGES = 512
@@ -91,14 +99,14 @@ def fit_ftrl(vectors, labels: np.ndarray, n_classes: int, epochs: int = EPOCHS)
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search over its logarithm."""
+    """The temperature of least log loss and prior, by golden-section search over its logarithm."""
     if not len(scores):
         return 1.0
 
     def loss(t: float) -> float:
         s = scores / np.exp(t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(labels)), labels]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(labels)), labels]).sum() + 0.5 * (t / PRIOR) ** 2)
 
     lo, hi, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
@@ -130,16 +138,27 @@ def _document_frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
 
-COUNTS = "lang string, order long, buckets binary, counts binary"
+COUNTS = "lang string, order long, piece boolean, buckets binary, counts binary"
+
+
+def piece_of(text: str, order: int) -> str:
+    """A short stretch of the text; where and how long follows from the row's number."""
+    least, most = PIECE
+    length = least + order % (most - least + 1)
+    start = (order >> 16) % max(1, len(text) - length + 1)
+    return text[start : start + length]
 
 
 def _count_rows(batches):
-    """The features of whole texts and their counts, the features in ascending order."""
+    """The features of whole texts and of a piece of each with their counts, the features in ascending order."""
     for batch in batches:
-        found = [term_counts(text) for text in batch.column("text").to_pylist()]
+        orders = batch.column("order").to_pylist()
+        texts = batch.column("text").to_pylist()
+        found = [term_counts(t) for t in texts] + [term_counts(piece_of(t, o)) for t, o in zip(texts, orders, strict=True)]
         at = [np.flatnonzero(c) for c in found]
+        langs, n = batch.column("lang").to_pylist(), len(texts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("order"), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.uint32).tobytes() for c, a in zip(found, at, strict=True)], pa.binary())],
+            [pa.array(langs * 2, pa.string()), pa.array(orders * 2, pa.int64()), pa.array([False] * n + [True] * n), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.uint32).tobytes() for c, a in zip(found, at, strict=True)], pa.binary())],
             names=[c.split()[0] for c in COUNTS.split(", ")],
         )
 
@@ -167,6 +186,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     by_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(by_lang) > MAX_LANGUAGES:
         raise ValueError(f"{len(by_lang)} languages; the weights are bounded to {MAX_LANGUAGES}")
+    train_rows = max(8, min(train_rows, SAMPLE_ROWS // max(1, len(by_lang))))
     # a share of each language's rows by the hash of their id, bounded below
     share = F.lit(0.0)
     for lang, n in by_lang.items():
@@ -174,14 +194,17 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     drawn = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6) < share
     rows = known.where(drawn).select("text", "lang", F.xxhash64("doc_id", "text", F.lit(12)).alias("order")).mapInArrow(_count_rows, COUNTS)
     # the bound takes the rows of least hash, whatever the plan; it holds twice what is expected
-    rows = rows.orderBy("order", "buckets", "counts").limit(int(4 * train_rows * len(by_lang))).toArrow().to_pylist()
+    rows = rows.orderBy("order", "lang", "piece", "buckets", "counts").limit(int(4 * train_rows * len(by_lang))).toArrow().to_pylist()
     languages = tuple(sorted(by_lang))
     taken = dict.fromkeys(languages, 0)
     train, rest = [], []
     for r in rows:
-        taken[r["lang"]] += 1
+        if not r["piece"]:
+            taken[r["lang"]] += 1
         if taken[r["lang"]] <= 1.25 * train_rows:
-            (rest if taken[r["lang"]] % 5 == 0 else train).append((_row_vector(r, idf), languages.index(r["lang"])))
+            calibrates = taken[r["lang"]] % 5 == 0
+            if calibrates or not r["piece"]:
+                (rest if calibrates else train).append((_row_vector(r, idf), languages.index(r["lang"])))
     weights = fit_ftrl([v for v, _ in train], np.array([y for _, y in train], int), len(languages))
     scores = np.array([weights[:, at] @ x for (at, x), _ in rest]).reshape(len(rest), len(languages))
     return Model(languages, idf, weights, calibrate(scores, np.array([y for _, y in rest], int)))

@@ -256,3 +256,41 @@ def test_rules_that_leave_nothing_to_each_other_come_last():
     # a rejects three texts, b two of the same, c one other: c has more left to reject than b
     measured = [[(1.0, i < 3), (1.0, i < 2), (1.0, i == 3)] for i in range(5)]
     assert [r.name for r in quality.arranged(rules, measured)] == ["a", "c", "b"]
+
+
+# --- 6 language identification ----------------------------------------------------------------
+
+
+def test_language_scores_are_calibrated_and_weights_sparse(spark):
+    """Scores of short held-out pieces mean what they say; most weights are zero; the temperature is found, not a limit."""
+    import numpy as np
+
+    from mosaiq.llm import langid
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(docs)
+    used = model.idf > 0
+    assert 0.03 < model.temperature < 15 and (model.weights[:, :-1][:, used] != 0).mean() < 0.3
+    held = docs.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").collect()
+    whole = [langid.classify(r.text, model)[0] == r.lang for r in held]
+    pieces = [(langid.classify(langid.piece_of(r.text, k * 7919 + (r.doc_id << 17)), model), r.lang) for r in held for k in range(6)]
+    score, right = (np.array(v) for v in zip(*[(s, p == lang) for (p, s), lang in pieces if p != langid.UNDETERMINED], strict=True))
+    bins = np.ceil(score * 10)
+    error = sum((bins == b).mean() * abs(score[bins == b].mean() - right[bins == b].mean()) for b in np.unique(bins))
+    print(f"whole {np.mean(whole):.3f}, pieces {right.mean():.3f}, mean score {score.mean():.3f}, calibration error {error:.3f}")
+    assert np.mean(whole) >= 0.97 and right.mean() > 0.9 and error < 0.06 and score.min() < 0.9
+
+
+def test_language_broadcast_is_plain(spark, monkeypatch):
+    """What is broadcast can be read by workers that lack the package."""
+    import pickletools
+    import pickle
+
+    from mosaiq.llm import langid
+
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, own=type(spark.sparkContext).broadcast: sent.append(value) or own(self, value))
+    docs = spark.createDataFrame([(i, "the cat sat" if i % 2 else "le chat dort", "en" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.identify(docs).count() == 60
+    names = [arg for op, arg, _ in pickletools.genops(pickle.dumps(sent)) if isinstance(arg, str)]
+    assert sent and not any("mosaiq" in n for n in names)
