@@ -1,6 +1,7 @@
 """How much the operators find of what is planted or hidden, where no exact answer is defined."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,36 @@ def test_language_broadcast_is_plain(spark, monkeypatch):
     assert langid.identify(docs).count() == 60
     names = [arg for op, arg, _ in pickletools.genops(pickle.dumps(sent)) if isinstance(arg, str)]
     assert sent and not any("mosaiq" in n for n in names)
+
+
+def test_shared_instructions_are_no_match(spark):
+    """Items and documents that share an instruction give no pair by it; copies and other values are found, and pairs stay few."""
+    from mosaiq.llm import decontam
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9)))
+    instruction = "please read the following question with care and then write down the single best answer in full"
+    items = [(i, f"{instruction} " + " ".join(word() for _ in range(20))) for i in range(120)]
+    # one question with many values, and the instruction alone as an item
+    family = "a train leaves the old station at {} and travels for {} hours before it meets the slow river bridge near town"
+    items += [(1000 + i, family.format(i + 100, i + 3)) for i in range(60)] + [(5000, instruction)]
+    docs = [(i, f"{instruction} " + " ".join(word() for _ in range(40))) for i in range(150)]
+    docs += [(900 + i, "x y z " + items[i][1] + " and more") for i in range(5)] + [(950, family.format(7000, 12)), (951, items[125][1])]
+    rows = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, set()).add(r.item_id)
+    assert all(found.get(900 + i, set()) - {5000} == {i} for i in range(5))
+    assert found[950] and found[951] and all(1000 <= i < 1060 for d in (950, 951) for i in found[d])
+    # the instruction is an item of its own here; beside it no document matches by the instruction alone
+    assert all(found.get(i, set()) <= {5000} for i in range(150)) and len(rows) < 400
+
+
+def test_items_of_one_id_are_kept_apart(spark):
+    from mosaiq.llm import decontam
+
+    rng = random.Random(22)
+    a, b = (" ".join("".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(20)) for _ in range(2))
+    half = a.split()[:8] + ["between"] + b.split()[:8]
+    got = decontam.matches(spark.createDataFrame([(1, " ".join(half)), (2, a)], "doc_id long, text string"), spark.createDataFrame([(7, a), (7, b), (None, a + " x"), (None, b + " y")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_words) for r in got} == {(2, 7, 20), (2, None, 20)}
