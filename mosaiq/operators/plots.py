@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import outlier, scaled
+from .neighbours import thick_boundary, with_neighbours
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -134,6 +135,24 @@ def coloured_pixels(pixels: DataFrame, values: DataFrame, column: str) -> DataFr
     return joined.select("image_id", "y", "x", "label", F.when(F.col("label") > 0, F.coalesce("value", "__least")).alias("value"))
 
 
+def backdrop(pixels: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """image_id, y, x, red, green, blue: what lies behind a network plot.
+
+    images(image_id, y, row) are picture rows, cropped as those that were segmented; a grey picture
+    gives all three bands. Where an image has no picture, or the picture ends before the raster,
+    the thick boundaries of the raster are white on black.
+    """
+    near = with_neighbours(pixels)
+    walls = thick_boundary(near).select("image_id", "y", "x", F.lit(255).alias("wall"))
+    ground = pixels.select("image_id", "y", "x").join(walls, ["image_id", "y", "x"], "left").withColumn("wall", F.coalesce("wall", F.lit(0)))
+    if images is None:
+        return ground.select("image_id", "y", "x", *[F.col("wall").alias(c) for c in ("red", "green", "blue")])
+    seen = images.where(F.col("row").isNotNull()).select("image_id", "y", F.posexplode("row").alias("x", "bands"))
+    band = lambda i: F.coalesce(F.get("bands", F.lit(i)), F.get("bands", F.lit(0))).cast("int")
+    joined = ground.join(seen, ["image_id", "y", "x"], "left")
+    return joined.select("image_id", "y", "x", *[F.coalesce(band(i), F.col("wall")).alias(c) for i, c in enumerate(("red", "green", "blue"))])
+
+
 def network_nodes(points: DataFrame, details: DataFrame, size: str = "area", colour: str = "area") -> DataFrame:
     nodes = points.join(details.select("image_id", "label", F.col(size).alias("__size"), F.col(colour).cast("double").alias("colour")), ["image_id", "label"], "left").fillna({"colour": 0.0})
     return node_sizes(nodes, "__size").drop("__size")

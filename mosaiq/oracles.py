@@ -300,6 +300,13 @@ SELECT p.image_id, p.label, """ + ", ".join(f"count(*) FILTER (weight <= {t}) AS
         f"count(*) FILTER (weight <= greatest(0, {k} * m + {i} * s)) AS delaunay_degree_adaptive_{k}r{str(i).replace('.', '_')}std" for k in (1, 2, 4, 6, 8) for i in (0, 0.5, 1, 1.5, 2)
     ) + """
 FROM points p JOIN r ON r.image_id = p.image_id LEFT JOIN two ON two.image_id = p.image_id AND two.src = p.label GROUP BY p.image_id, p.label""",
+    "thick_boundaries": _with(RASTER, NEAR) + """
+SELECT image_id, count(*) AS pixels, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM near
+WHERE coalesce(num <> label, FALSE) OR coalesce(ndm <> label, FALSE) OR coalesce(nml <> label, FALSE) OR coalesce(nmr <> label, FALSE) GROUP BY image_id""",
+    "raster_faults": _with(MOSAIC) + """
+, m AS (SELECT DISTINCT image_id, label, y + dy AS y, x + dx AS x FROM pixels, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4),
+p AS (SELECT image_id, y, x, count(*) AS n FROM m WHERE y BETWEEN 0 AND 95 AND x BETWEEN 0 AND 127 GROUP BY ALL)
+SELECT image_id, CAST(0 AS BIGINT) AS missing, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unlabelled FROM p GROUP BY image_id HAVING sum(n - 1) > 0""",
     "labels_from_masks": _with(MOSAIC) + """
 , m AS (SELECT image_id, y + dy AS y, x + dx AS x, min(label) AS label FROM pixels, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4 GROUP BY ALL)
 SELECT image_id, CAST(label AS INTEGER) AS label, count(*) AS n, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM m WHERE y BETWEEN 0 AND 95 AND x BETWEEN 0 AND 127 GROUP BY image_id, label""",

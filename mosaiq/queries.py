@@ -63,6 +63,16 @@ def boundary_pixels(spark, sf_dir):
     return neighbours.boundary_counts(_near(spark, sf_dir))
 
 
+def thick_boundaries(spark, sf_dir):
+    return _places(neighbours.thick_boundary(_near(spark, sf_dir)))
+
+
+def raster_faults(spark, sf_dir):
+    """Overlapping masks are no raster yet: places repeat."""
+    masks, _ = _overlapping_masks(spark, sf_dir)
+    return raster.faults(masks.withColumnRenamed("mask_id", "label"))
+
+
 def total_boundary_length(spark, sf_dir):
     return neighbours.inner_boundary(_near(spark, sf_dir)).groupBy("image_id").agg(F.count(F.lit(1)).alias("total_boundary_length"))
 
@@ -535,7 +545,7 @@ def shap_mean_abs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        image_region_stats, label_raster, region_geometry, region_axes, region_orientation, region_hu, adjacency_edges, boundary_pixels,
+        image_region_stats, label_raster, region_geometry, region_axes, region_orientation, region_hu, adjacency_edges, boundary_pixels, thick_boundaries, raster_faults,
         total_boundary_length, region_perimeter, neighbor_area_stats, topology_features, fractal_regions, fractal_boundaries, dilate_disk, dilate_disk_all,
         thin_background, nn_distance, pairwise_distance, delaunay_edges, degree_distribution, avg_clustering,
         rater_index, icc3k, anova_f, levene_f, anova_p, normality, good_features, sample_means, variance_filter, corr_matrix, corr_filter, feature_target_corr,

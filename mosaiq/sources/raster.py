@@ -119,6 +119,30 @@ def bands(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id", "y").agg(row.alias("row")).select("image_id", "y", F.col("row.label").alias("labels"))
 
 
+def faults(pixels: DataFrame) -> DataFrame:
+    """image_id, missing, repeated, unlabelled of the images that are no whole raster.
+
+    The frame runs from (0, 0) to the greatest row and column. missing: places without a pixel (one
+    at a negative place counts against its image as a repeated one); repeated: pixels beyond the
+    first of a place; unlabelled: places with a label that is null or below 0.
+    """
+    place = pixels.groupBy("image_id", "y", "x").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("label") < 0, F.lit(True))).alias("odd"))
+    inside = F.coalesce((F.col("y") >= 0) & (F.col("x") >= 0), F.lit(False))
+    per = place.groupBy("image_id").agg(
+        ((F.max("y") + 1).cast("long") * (F.max("x") + 1) - F.count_if(inside)).alias("missing"),
+        F.sum(F.when(inside, F.col("n") - 1).otherwise(F.col("n"))).alias("repeated"), F.count_if("odd").alias("unlabelled"),
+    )
+    return per.where("missing <> 0 or repeated > 0 or unlabelled > 0")
+
+
+def require_whole(pixels: DataFrame) -> DataFrame:
+    """pixels as they are; a ValueError that names a few images if some are no whole raster."""
+    bad = faults(pixels).orderBy("image_id").limit(5).collect()
+    if bad:
+        raise ValueError("not a whole raster: " + "; ".join(f"{r.image_id}: {r.missing} missing, {r.repeated} repeated, {r.unlabelled} unlabelled" for r in bad))
+    return pixels
+
+
 def from_masks(masks: DataFrame, frame: DataFrame) -> DataFrame:
     """Pixels of masks(image_id, mask_id, y, x), where the lowest mask of a pixel wins.
 

@@ -7,6 +7,7 @@ import pytest
 
 from mosaiq.functions import columns
 from mosaiq.operators import distances, graph, morphology, plots, select, tiles
+from mosaiq.sources import raster
 
 
 def drawing(rng, h, w, share):
@@ -143,3 +144,28 @@ def test_density_in_two_directions(spark):
         for j, b in enumerate(np.linspace(y.min(), y.max(), 5)):
             want = np.exp(-0.5 * (((a - x) / hx) ** 2 + ((b - y) / hy) ** 2)).sum() / (200 * hx * hy * 2 * np.pi)
             assert got[i, j] == pytest.approx(want)
+
+
+# --- rasters ------------------------------------------------------------------------------------------------
+
+
+def test_faults_of_rasters(spark):
+    whole = [("ok", y, x, y + x) for y in range(3) for x in range(4)]
+    rows = whole + [("hole", y, x, 1) for y in range(3) for x in range(4) if (y, x) != (1, 1)]
+    rows += [("twice", 0, x, 1) for x in (0, 1, 1, 2, 2, 2)] + [("odd", 0, 0, -1), ("odd", 0, 1, None), ("odd", 1, 0, 5), ("odd", 1, 1, 0)] + [("left", 0, -1, 1), ("left", 0, 0, 1)]
+    df = spark.createDataFrame(rows, "image_id string, y int, x int, label int")
+    got = {r.image_id: (r.missing, r.repeated, r.unlabelled) for r in raster.faults(df).collect()}
+    assert got == {"hole": (1, 0, 0), "twice": (0, 3, 0), "odd": (0, 0, 2), "left": (0, 1, 0)}
+    with pytest.raises(ValueError, match="hole: 1 missing"):
+        raster.require_whole(df)
+    assert raster.require_whole(df.where("image_id = 'ok'")).count() == 12
+
+
+def test_backdrop(spark, pixels):
+    labels = pixels({"a": ["1122", "1122", "3333"], "b": ["11", "11"]})
+    picture = spark.createDataFrame([("a", 0, [[1, 2, 3], [4, 5, 6], [7, 8, 9]]), ("a", 1, [[10], [20], [30], [40], [50]]), ("b", None, None)], "image_id string, y int, row array<array<short>>")
+    got = {(r.image_id, r.y, r.x): (r.red, r.green, r.blue) for r in plots.backdrop(labels, picture).collect()}
+    assert got["a", 0, 1] == (4, 5, 6) and got["a", 1, 3] == (40, 40, 40) and len(got) == 16
+    assert got["a", 0, 3] == (0, 0, 0) and got["a", 2, 2] == (255, 255, 255) and got["b", 0, 0] == (0, 0, 0)
+    plain = {(r.image_id, r.y, r.x): r.red for r in plots.backdrop(labels).collect()}
+    assert plain["a", 0, 0] == 0 and plain["a", 0, 1] == plain["a", 0, 2] == plain["a", 2, 0] == 255
