@@ -6,7 +6,7 @@ template positions of equal hash; a match at document position d and template po
 for the diagonal d - t. Votes are counted per document, template
 and diagonal (each template position once), diagonals that lie within a few words of each other
 are merged, and a merged band becomes a span if the template words under its matches reach a
-share of the template.
+share of the template, all of it if it is short.
 
 Templates are a parameter of the operator, a short fixed list, so their k-grams may be broadcast
 after a check of their number; a longer list is joined by a shuffle.
@@ -26,6 +26,8 @@ from .common import id_text, rolling, word_hashes
 
 K = 3
 MIN_SHARE = 0.8
+#: Notices up to this many words must stand whole: the word that is missing would be the license's name.
+SHORT = 12
 #: Diagonals at most this far apart belong to one span (a few words put in or left out).
 BAND = 4
 #: Template k-grams up to this number are broadcast (16 bytes each).
@@ -34,6 +36,13 @@ BROADCAST_GRAMS = 200_000
 #: Phrases of the base and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: Names of the licenses in identifier lines.
+IDENTIFIERS = {
+    "mit": ["MIT"], "apache": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "zlib": ["Zlib"], "boost": ["BSL-1.0"],
+    "gpl": ["GPL-2.0", "GPL-3.0"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "agpl": ["AGPL-3.0"], "mpl": ["MPL-2.0"], "epl": ["EPL-2.0"],
+    "unlicense": ["Unlicense"], "cc0": ["CC0-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+}
+
 #: Notices and grants as their licenses word them.
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
@@ -64,6 +73,23 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("mit", "is MIT licensed"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Licensed under the BSD 3-Clause License"),
+    ("bsd", "Licensed under the BSD 2-Clause License"),
+    ("mpl", "Licensed under the Mozilla Public License 2.0"),
+    ("mpl", "Licensed under the Mozilla Public License, version 2.0"),
+    ("isc", "Licensed under the ISC License"),
+    ("epl", "Licensed under the Eclipse Public License 2.0"),
+    ("unlicense", "Released under the Unlicense"),
+    ("cc0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("cc-by", "Creative Commons Attribution 4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    *((label, f"SPDX-License-Identifier: {name}") for label, names in IDENTIFIERS.items() for name in names),
 ]
 
 _FOLD = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -156,7 +182,7 @@ def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K, min_share: float
         F.max(F.col("diagonal") + F.array_max("at") + k - 1).alias("last"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + k - 1)))))
-    verified = merged.withColumn("share", covered / F.col("size")).where(F.col("share") >= min_share)
+    verified = merged.withColumn("share", covered / F.col("size")).where(F.col("share") >= F.when(F.col("size") <= SHORT, 1.0).otherwise(min_share))
     return verified.select("doc_id", "key", "template", "label", "first", "last", "share")
 
 

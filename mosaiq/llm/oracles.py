@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
-from .license_scan import BAND, K, MIN_SHARE, PHRASES, TEMPLATES
+from .license_scan import BAND, K, MIN_SHARE, PHRASES, SHORT, TEMPLATES
 from .quality import ABUSIVE, LEXICON, MIN_TOXIC, STEM, STEM_RATIO, STEM_TEXTS
 from .url_filter import DOMAINS, IDENTIFIER, LEVELS, LONG_SEGMENT, MIN_SEGMENT_PAGES, NUMBER, REJECT_FROM, RULES, SIMILAR_Z, SMOOTHING
 
@@ -105,7 +105,7 @@ dg AS (SELECT DISTINCT rid, template, diagonal FROM hit),
 bd AS (SELECT rid, template, diagonal, sum(far) OVER (PARTITION BY rid, template ORDER BY diagonal) AS band
   FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS far FROM dg)),
 cov AS (SELECT rid, template, label, band, any_value(size) AS size, count(DISTINCT w) AS c FROM (SELECT hit.*, band, unnest(range(t, t + {K})) AS w FROM hit JOIN bd USING (rid, template, diagonal)) GROUP BY rid, template, label, band),
-sp AS (SELECT rid, list(DISTINCT label) AS found, max(c / size) AS best FROM cov WHERE c / size >= {MIN_SHARE} GROUP BY rid)
+sp AS (SELECT rid, list(DISTINCT label) AS found, max(c / size) AS best FROM cov WHERE c / size >= CASE WHEN size <= {SHORT} THEN 1 ELSE {MIN_SHARE} END GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
 FROM d LEFT JOIN base USING (rid) LEFT JOIN sp USING (rid)"""

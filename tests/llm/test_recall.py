@@ -328,3 +328,25 @@ def test_items_of_one_id_are_kept_apart(spark):
     half = a.split()[:8] + ["between"] + b.split()[:8]
     got = decontam.matches(spark.createDataFrame([(1, " ".join(half)), (2, a)], "doc_id long, text string"), spark.createDataFrame([(7, a), (7, b), (None, a + " x"), (None, b + " y")], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.n_words) for r in got} == {(2, 7, 20), (2, None, 20)}
+
+
+# --- 10 license scan ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This project is MIT licensed.", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+        ("Licensed under the Mozilla Public License 2.0", "mpl"), ("under Creative Commons Attribution 4.0, as is", "cc-by"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        # near misses
+        ("This project is MIT funded.", ""), ("SPDX-License-Identifier: LicenseRef-Own", ""), ("the Mozilla foundation and its public license debate of 2.0", ""), ("Creative Commons photographs, attribution needed", ""),
+        ("Permission is hereby granted to enter the garden free of charge", ""), ("Redistribution and use of the land in the valley are permitted", ""), ("Licensed under the supervision of a doctor", ""),
+    ],
+)
+def test_license_lines(spark, text, labels):
+    from mosaiq.llm import license_scan
+
+    docs = spark.createDataFrame([(1, "some words before it. " + text + "\nand some after")], "doc_id long, text string")
+    assert license_scan.scan(docs).first().labels == labels
