@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import ASCII_LOWER, cut, id_text
 
+#: Bits of the filter that keeps rows without near-duplicates out of the last joins.
+FILTER_BITS = 1 << 26
 MAX_BITS = 4
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
@@ -215,6 +217,21 @@ def _key_prints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())], names=["key", "fp"])
 
 
+def _parted(keyed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed in two: rows whose key is surely none of found's, which need no join, and the rest, which may be.
+
+    A bitmap of FILTER_BITS hashed keys tells them apart: 8 MB whatever the tables hold, so it is
+    broadcast. The more keys there are the more rows are asked needlessly; none is missed.
+    """
+    number = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(FILTER_BITS)) + 1
+    bits = found.select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("at"))
+    bits = cut(bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "filter")
+    marked = keyed.withColumn("bucket", F.bitmap_bucket_number(number)).withColumn("at", F.bitmap_bit_position(number)).join(F.broadcast(bits), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
+    return marked.where(~hit).select("row", "key"), marked.where(hit).select("row", "key")
+
+
 def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id.
 
@@ -234,7 +251,8 @@ def keep_one(docs: DataFrame, pair_limit: int = 256) -> DataFrame:
     winner = where.groupBy("root").agg(F.min("first").alias("least"))
     settled = where.join(winner, "root").select("key", "n", (F.col("first") == F.col("least")).alias("wins"))
     out = cut(settled.where("not wins or n > 1").select("key", "wins"), "losers")
-    stay = keyed.join(out.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").select("row")
-    repeated = keyed.join(out.where("wins").select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    sure, asked = _parted(keyed, out.select("key"))
+    stay = asked.join(out.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").select("row")
+    repeated = asked.join(out.where("wins").select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_semi")
     one = repeated.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
-    return stay.unionByName(one).select("row.*")
+    return sure.select("row").unionByName(stay).unionByName(one).select("row.*")
