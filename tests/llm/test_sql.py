@@ -20,7 +20,7 @@ def rows(pdf):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
