@@ -427,8 +427,8 @@ def test_substrings_of_real_texts(real):
     assert removal(real) == brute_removal(list(texts(real).items()), 35)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substrings_of_few_words(corpus, seed):
+def few_words(seed):
+    """Passages of few different words in ever new surroundings."""
     rng = random.Random(seed)
     passages = [[rng.choice("abcdefgh") for _ in range(rng.randint(4, 20))] for _ in range(5)]
     rows = []
@@ -437,7 +437,35 @@ def test_substrings_of_few_words(corpus, seed):
         for _ in range(rng.randint(0, 6)):
             w += rng.choice(passages) if rng.random() < 0.5 else [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 12))]
         rows.append((i, " ".join(w)))
-    assert removal(corpus(rows), span=7, gram=3) == brute_removal(rows, 7)
+    return rows
+
+
+@pytest.mark.parametrize("seed, gram, group_limit", [(0, 3, 64), (1, 3, 1), (2, 3, 4), (3, 4, 64), (4, 7, 64), (5, 1, 3)])
+def test_substrings_of_few_words(corpus, seed, gram, group_limit):
+    rows = few_words(seed)
+    assert removal(corpus(rows), span=7, gram=gram, group_limit=group_limit) == brute_removal(rows, 7)
+
+
+@pytest.mark.parametrize("group_limit", [64, 2])
+def test_substrings_compare_words(corpus, monkeypatch, group_limit):
+    """Words whose hashes collide are still told apart."""
+    of = substring_dedup.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda whole: of(whole) & np.uint64(1))
+    rows = few_words(9)
+    assert removal(corpus(rows), span=7, gram=3, group_limit=group_limit) == brute_removal(rows, 7)
+
+
+def test_greedy_factors():
+    """The longest run from the leftmost word on; the next is looked for span - 1 words before its end."""
+
+    def block(words, anchor, n=1, first=0):
+        return {"words": words.encode(), "first": first, "at": first + words.split().index(anchor), "n": n}
+
+    group = [block("a b c M d e f g h", "M", first=10), block("b c M d e f x", "M"), block("a b c M d y", "M"), block("z M d e f g h", "M", n=2), block("q M r", "M")]
+    factors = substring_dedup.greedy_factors(group, 5)
+    assert [(a, b) for i, a, b in factors if i == 0] == [(10, 10), (11, 12), (13, 14)]  # abcMd, bcMdef, Mdefgh
+    assert {i for i, _, _ in factors} == {0, 1, 2}
+    assert substring_dedup.greedy_factors(group[3:], 3) == []
 
 
 def test_substrings_odd(odd):
