@@ -91,6 +91,25 @@ def id_text(docs: DataFrame) -> DataFrame:
     return columns(docs, "doc_id long, text string")
 
 
+#: Bits of the filter before a join; 8 MB whatever the tables hold, so it can be broadcast.
+FILTER_BITS = 1 << 26
+
+
+def may_match(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose columns `on` may be a row of keys: all that are, and some that are not.
+
+    Put before a join it keeps most of the other rows from moving. keys is read twice, so it should
+    be a written table; the more keys it has, the fewer rows the filter spares, and none is missed.
+    The join after it should be an inner one: Catalyst pushes a semi join below this filter.
+    """
+    number = F.pmod(F.xxhash64(*on, F.lit(3)), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(number).alias("__bucket"), F.bitmap_bit_position(number).alias("__at"))
+    bits = cut(bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits")), "filter")
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(number)).withColumn("__at", F.bitmap_bit_position(number)).join(F.broadcast(bits), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 # --- word hashing over whole batches -------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

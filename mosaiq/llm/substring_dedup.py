@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import cut, id_text, rolling, span_hash, word_hashes
+from .common import cut, id_text, may_match, rolling, span_hash, word_hashes
 
 SPAN = 35
 GRAM = 8
@@ -259,8 +259,8 @@ KEY = ["k1", "k2"]
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """keys (k1, k2 and more) with the text of each; only texts that are asked for move, copies once a task."""
-    asked = id_text(docs).select(*_key(F.col("text")), "text").join(keys.select(*KEY), KEY, "left_semi")
+    """keys (a written table: k1, k2 and more) with the text of each; few texts that are not asked for move, copies once a task."""
+    asked = may_match(id_text(docs).select(*_key(F.col("text")), "text"), keys, KEY).join(keys.select(*KEY), KEY)
     return asked.groupBy(*KEY).agg(F.first("text").alias("text")).join(keys, KEY)
 
 
@@ -273,18 +273,19 @@ def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group_limit: int
     table = cut(id_text(docs).select("doc_id", *_key(F.col("text")), "text").mapInArrow(_table(span, gram), TABLE), "blocks")
     blocks = table.select(*KEY, F.explode("blocks").alias("b")).select(*KEY, "b.*")
     # reference blocks: copies collapse, map side first; where stands for any one of them
-    one = [F.first(F.struct(*KEY, "first", "last")).alias("where")]
-    reference = cut(blocks.groupBy("anchor", "b1", "b2").agg(F.count(F.lit(1)).alias("n"), *one).select("anchor", "b1", "b2", "n", "where.*"), "reference")
+    one = [F.first(c).alias(c) for c in (*KEY, "first", "last")]
+    reference = cut(blocks.groupBy("anchor", "b1", "b2").agg(F.count(F.lit(1)).alias("n"), *one), "reference")
     repeated = cut(reference.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "anchors")
-    long_factors = blocks.join(reference.where("n > 1").select("anchor", "b1", "b2"), ["anchor", "b1", "b2"]).select(*KEY, "first", "last")
+    whole = reference.where("n > 1").select("b1", "b2")
+    long_factors = may_match(blocks, whole, ["b1", "b2"]).join(whole, ["b1", "b2"]).select(*KEY, "first", "last")
     # blocks under an anchor with several variants are parsed against those they meet on either side of it
-    open_blocks = reference.join(repeated, "anchor", "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "n")).alias("open"))
+    open_blocks = may_match(reference, repeated, ["anchor"]).join(repeated.select("anchor"), "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "n")).alias("open"))
     sides = cut(texts_of(docs, cut(open_blocks, "open")).select(*KEY, "text", "open").mapInArrow(_sides(span, gram), SIDES), "sides")
     met = cut(sides.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "met")
-    groups = sides.join(met.where(F.col("met") <= group_limit).select("key"), "key").groupBy("key")
-    groups = groups.agg(F.collect_list(F.struct(*KEY, "first", "at", "n", "words")).alias("variants")).select("variants")
+    few, many = (met.where(c).select("key") for c in (F.col("met") <= group_limit, F.col("met") > group_limit))
+    groups = may_match(sides, few, ["key"]).join(few, "key").groupBy("key").agg(F.collect_list(F.struct(*KEY, "first", "at", "n", "words")).alias("variants")).select("variants")
     parsed = groups.mapInArrow(_parse_groups(span), "k1 long, k2 long, first int, last int")
-    hot = sides.join(met.where(F.col("met") > group_limit).select("key"), "key", "left_semi").groupBy(*KEY, "first", "last", "n").agg(F.first("words").alias("words"))
+    hot = may_match(sides, many, ["key"]).join(many, "key").groupBy(*KEY, "first", "last", "n").agg(F.first("words").alias("words"))
     windows = cut(hot.mapInArrow(_windows(span), "k1 long, k2 long, w1 long, w2 int, start int, weight long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
     single = windows.where("weight = 1").join(twice, ["w1", "w2"]).select(*KEY, F.col("start").alias("first"), F.col("start").alias("last"))
