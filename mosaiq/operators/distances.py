@@ -37,23 +37,28 @@ def envelope(x: np.ndarray, height: np.ndarray) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for image, y, xs, gaps in zip(batch.column("image_id").to_pylist(), batch.column("y").to_pylist(), batch.column("xs"), batch.column("gaps"), strict=True):
-            x = xs.values.to_numpy(zero_copy_only=False)
-            gap = gaps.values.to_numpy(zero_copy_only=False).astype(float)
-            far = np.sqrt(envelope(x, gap * gap))
-            yield pa.RecordBatch.from_arrays([pa.array([image] * len(x), pa.string()), pa.array([y] * len(x), pa.int32()), pa.array(x, pa.int32()), pa.array(far, from_pandas=True)], names=["image_id", "y", "x", "distance"])
+        row = batch.column("row")
+        x, gaps = (row.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "gap"))
+        gaps = gaps.astype(float)
+        ends = np.cumsum(row.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        far = [np.sqrt(envelope(a, g * g)) for a, g in zip(np.split(x, ends), np.split(gaps, ends), strict=True)]
+        flat = row.flatten()
+        places = pa.StructArray.from_arrays([flat.field("x"), flat.field("label"), pa.array(np.concatenate(far or [np.zeros(0)]), from_pandas=True)], names=["x", "label", "distance"])
+        places = pa.ListArray.from_arrays(pa.array(np.r_[0, ends, len(x)] if len(row) else [0], pa.int32()), places)
+        yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("y"), places], names=["image_id", "y", "row"])
 
 
 def distance_map(pixels: DataFrame) -> DataFrame:
-    """image_id, y, x, distance: from each pixel to the nearest of label 0; NULL in an image without one.
+    """image_id, y, x, label, distance: from each pixel to the nearest of label 0; NULL in an image without one.
 
     The first pass finds the nearest background pixel of each column, the second the lower
-    envelope of the parabolas over these distances along each row.
+    envelope of the parabolas over these distances along each row, whose labels travel with it.
     """
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    back = F.when(F.col("label") == 0, F.col("y"))
-    above = F.col("y") - F.last(back, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(back, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
-    line = pixels.select("image_id", "y", "x", F.least(above, below).alias("gap"))
-    rows = line.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "gap"))).alias("row")).select("image_id", "y", F.col("row.x").alias("xs"), F.col("row.gap").alias("gaps"))
-    return rows.mapInArrow(_rows, "image_id string, y int, x int, distance double")
+    column = Window.partitionBy("image_id", "x")
+    back = F.last(F.when(F.col("label") == 0, F.col("y")), ignorenulls=True)
+    seen = pixels.select("image_id", "y", "x", "label", back.over(column.orderBy("y")).alias("above"))
+    seen = seen.withColumn("below", back.over(column.orderBy(F.desc("y"))))
+    line = seen.select("image_id", "y", "x", "label", F.least(F.col("y") - F.col("above"), F.col("below") - F.col("y")).alias("gap"))
+    rows = line.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "label", "gap"))).alias("row"))
+    rows = rows.mapInArrow(_rows, "image_id string, y int, row array<struct<x:int,label:int,distance:double>>")
+    return rows.select("image_id", "y", F.inline("row"))
