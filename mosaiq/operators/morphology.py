@@ -261,7 +261,7 @@ def small_worlds(points: DataFrame, edges: DataFrame, limits: DataFrame) -> Data
     """image_id, small_world: a flag per threshold, against seeded random graphs."""
     nodes = spread(points).groupBy("image_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
     links = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("weight", "src", "dst"))).alias("edges"))
-    rows = nodes.join(links, "image_id", "left").join(limits, "image_id").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<weight:double,src:int,dst:int>>")))
+    rows = nodes.join(links.hint("merge"), "image_id", "left").join(limits.hint("merge"), "image_id").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<weight:double,src:int,dst:int>>")))
     return rows.mapInArrow(_small_worlds, "image_id string, small_world array<boolean>")
 
 
