@@ -67,10 +67,39 @@ def anova(long: DataFrame, alpha: float = 0.05, n_features: int | None = None) -
     return features.join(tested, "feature", "left").withColumn("reject_h0", F.coalesce("reject_h0", F.lit(False)))
 
 
+#: Ranks by which an approximate median may be off, as a share of the rows: one in so many.
+MEDIAN_ACCURACY = 10_000
+
+
+def medians(known: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median: the exact median of value, whatever the number of distinct values.
+
+    Approximate quantiles of bounded memory bracket the middle; the rows below the bracket are
+    counted, and only the distinct values inside it are put in order. A group whose bracket
+    misses the middle takes the exact percentile.
+    """
+    off = 2.0 / MEDIAN_ACCURACY
+    ends = known.groupBy(*keys).agg(F.percentile_approx("value", F.array(F.lit(0.5 - off), F.lit(0.5 + off)), F.lit(MEDIAN_ACCURACY)).alias("e"), F.count(F.lit(1)).alias("n"))
+    ends = materialise(ends.select(*keys, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "n"), "brackets")
+    placed = known.join(F.broadcast(ends), keys).where("value <= high")  # a row per group is broadcast
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    counted = placed.groupBy(*keys, "n", inside.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*keys).orderBy("value")  # NULL, the rows below the bracket, first
+    ranked = materialise(counted.withColumn("upto", F.sum("c").over(upto)), "ranked")
+    at = lambda rank: F.min(F.when(F.col("value").isNotNull() & (F.col("upto") > rank), F.col("value")))
+    below = F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0))
+    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    found = ranked.groupBy(*keys, "n").agg(at(lower).alias("a"), at(upper).alias("b"), below.alias("below"))
+    found = found.select(*keys, F.when((F.col("below") <= lower) & F.col("a").isNotNull() & F.col("b").isNotNull(), 0.5 * F.col("a") + 0.5 * F.col("b")).alias("median"))
+    found = materialise(found, "medians")
+    rest = known.join(F.broadcast(found.where("median is null").select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.percentile("value", 0.5).alias("median"))
+    return found.where("median is not null").unionByName(rest)
+
+
 def deviations(long: DataFrame) -> DataFrame:
     """The long table of distances from each sample's median."""
     known = long.where(F.col("value").isNotNull())
-    middle = known.groupBy("feature", "sample").agg(F.percentile("value", 0.5).alias("median"))
+    middle = F.broadcast(medians(known, ["feature", "sample"]))
     return known.join(middle, ["feature", "sample"]).withColumn("value", F.abs(F.col("value") - F.col("median"))).drop("median")
 
 
