@@ -6,9 +6,12 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import distances, morphology, neighbours, tiles
+from mosaiq.operators import distances, graph, morphology, neighbours, stats, tiles
 from mosaiq.sources import raster
 
+#: Seeds of an image with three points in line on the rim.
+RIM_SIZES = [11, 22, 26, 5, 41, 1, 25, 49, 45, 44, 36, 10, 32, 8, 49, 18, 3, 6, 5, 17, 9, 36, 35, 12, 6, 39, 3, 47, 15, 2, 36, 28, 44, 4, 21, 28, 16, 2, 6, 25]
+
 
 def part_of(spark, n):
     return spark.range(n).select(F.col("id").alias("p_partkey"), (F.col("id") * 7 % 50 + 1).cast("int").alias("p_size"))
@@ -85,3 +88,30 @@ def test_masks_beyond_the_frame_and_bare_rows(spark):
     got = {(r.image_id, r.y, r.x): r.label for r in raster.from_masks(masks, frame).collect()}
     want = {("a", y, x): 0 for y in range(2) for x in range(3)} | {("b", 0, 0): 0, ("b", 0, 1): 0, ("a", 0, 0): 1}
     assert got == want
+
+
+def test_joins_of_points_broadcast_nothing(spark):
+    points = raster.synthetic_points(part_of(spark, 80))
+    limits = points.select("image_id").distinct().select("image_id", F.array(*[F.lit(50.0)] * 29).alias("t"))
+    edges = graph.delaunay(points)
+    for df in (edges, graph.degrees(points, edges, limits), graph.clustering(points, edges, limits), graph.nearest_neighbours(points)):
+        assert "Broadcast" not in plan(df)
+
+
+def test_medians_are_exact(spark):
+    """By brackets, with ties, null and one value; no map of all distinct values is kept."""
+    rows = [("f", "odd", float(i * i % 10_007)) for i in range(30_001)] + [("f", "even", float(i % 7)) for i in range(1000)] + [("g", "one", -3.5), ("g", "two", 1.0), ("g", "two", 2.0)]
+    long = spark.createDataFrame(rows, "feature string, sample string, value double")
+    got = {(r.feature, r.sample): r.median for r in stats.medians(long, ["feature", "sample"]).collect()}
+    want = {}
+    for f, s, v in rows:
+        want.setdefault((f, s), []).append(v)
+    assert got == {k: 0.5 * sorted(v)[(len(v) - 1) // 2] + 0.5 * sorted(v)[len(v) // 2] for k, v in want.items()}
+
+
+def test_no_edge_spans_a_point_on_the_rim(spark):
+    """The middle one of three points in line on the rim; rounding about the mean must not hide it."""
+    whole = spark.range(20440, 20480).select(F.col("id").alias("p_partkey"))
+    sizes = spark.createDataFrame(list(zip(range(20440, 20480), RIM_SIZES)), "p_partkey long, p_size int")
+    points = raster.synthetic_points(whole.join(sizes, "p_partkey"))
+    assert as_rows(graph.delaunay(points, 0).select("image_id", "src", "dst")) == as_rows(graph.delaunay(points).select("image_id", "src", "dst"))
