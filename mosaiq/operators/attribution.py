@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers of one block of rows x leaves x conditions.
@@ -159,8 +159,9 @@ def explain(df: DataFrame, features: list[str], key: str, values: Callable[[np.n
     return rows.mapInArrow(run, "key string, values array<double>")
 
 
-def mean_absolute(explained: DataFrame, features: list[str]) -> DataFrame:
-    """feature, mean_abs_shap over all rows, largest first."""
-    each = explained.select(F.posexplode("values").alias("i", "v")).groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs_shap"))
+def mean_absolute(explained: DataFrame, features: list[str], rows: Column | None = None) -> DataFrame:
+    """feature, mean_abs_shap over all rows, largest first; rows: for how many each one stands."""
+    weight = F.lit(1.0) if rows is None else rows
+    each = explained.select(weight.alias("w"), F.posexplode("values").alias("i", "v")).groupBy("i").agg((F.sum(F.abs("v") * F.col("w")) / F.sum("w")).alias("mean_abs_shap"))
     name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("i") + 1)
     return each.select(name.alias("feature"), "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")

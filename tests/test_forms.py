@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import distances, graph, morphology, neighbours, stats, tiles
+from mosaiq.operators import distances, graph, models, morphology, neighbours, stats, tiles
 from mosaiq.sources import raster
 
 #: Seeds of an image with three points in line on the rim.
@@ -115,3 +115,17 @@ def test_no_edge_spans_a_point_on_the_rim(spark):
     sizes = spark.createDataFrame(list(zip(range(20440, 20480), RIM_SIZES)), "p_partkey long, p_size int")
     points = raster.synthetic_points(whole.join(sizes, "p_partkey"))
     assert as_rows(graph.delaunay(points, 0).select("image_id", "src", "dst")) == as_rows(graph.delaunay(points).select("image_id", "src", "dst"))
+
+
+def test_alike_rows_are_explained_once_and_weigh_all(spark):
+    rows = [(i, float(i % 3), float(i % 2), float(i % 3) * 2 + i % 2) for i in range(60)] + [(60 + i, None, 1.0, 5.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    each = models.attributions(df, ["a", "b"], "y", "id", "Ridge", {"alpha": 1.0}).collect()
+    got = {r.feature: r.mean_abs_shap for r in models.mean_attribution(df, ["a", "b"], "y", "id", "Ridge", {"alpha": 1.0}).collect()}
+    assert len(each) == 80 and got == pytest.approx({c: sum(abs(r["values"][i]) for r in each) / 80 for i, c in enumerate("ab")})
+
+
+def test_model_rows_are_dealt_by_number(spark):
+    """One small file is one task as read; the forests' work is in its rows."""
+    df = spark.range(20_000).coalesce(1).withColumnRenamed("id", "k")
+    assert models.dealt(df, "k").rdd.getNumPartitions() == 4 and models.dealt(df.limit(10), "k").rdd.getNumPartitions() == 1
