@@ -12,6 +12,12 @@ hash, so changed numbers are found in copies whose case is lost. Values are comp
 windows then do not count. The benchmark words that the consistent diagonals of a document cover
 decide.
 
+No window is left out. Those that many items have, such as a common instruction or the template of
+a generated question, are matched once for all items that have the same of them: such a class gives
+one row a document with its number of items, and the pairs of an item that any other window
+meets are counted over all windows. Whether more than one kind of item has a window says only if it tells
+one item from another, which is a column of the result.
+
 Document windows pass a bitmap of fixed size first, built from the benchmark's window hashes by
 a distributed or; it loses no match, and the exact join follows. So only windows that probably
 match leave the Python workers, and nothing that grows with either table is broadcast by hand.
@@ -20,6 +26,7 @@ match leave the Python workers, and nothing that grows with either table is broa
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,7 @@ from .common import cut, process_cache, rolling
 WINDOW = 8
 #: Windows with fewer words outside placeholders are no evidence of other values in the same question.
 MIN_LITERALS = 4
-#: A window that items of more kinds than this have tells none of them; items of one kind differ by their values only.
+#: Windows of more items than this are matched by class; those of more kinds tell none of them. Items of one kind differ by their values only.
 SHARED = 8
 #: A document is contaminated by an item if it covers so many of its words, or such a share.
 MIN_WORDS = 13
@@ -242,7 +249,14 @@ def _slots(kinds: np.ndarray, values: np.ndarray, at: int, width: int) -> list[i
     return values[part][kinds[part] != LITERAL].view(np.int64).tolist()
 
 
-BENCH = "item_id long, item_hash long, like long, size int, width int, t int, exact boolean, hash long, slots array<long>"
+def _back(values: np.ndarray) -> np.ndarray:
+    """How far back each value first stood; two places have one value if the places of its first standing are one."""
+    _, first, which = np.unique(values, return_index=True, return_inverse=True)
+    return np.arange(len(values)) - first[which]
+
+
+BENCH = "item_id long, item_hash long, like long, size int, width int, t int, exact boolean, hash long, slots array<long>, back array<long>"
+ITEM = ["item_id", "item_hash"]
 
 
 def _bench_rows(window: int):
@@ -255,18 +269,19 @@ def _bench_rows(window: int):
                 if width:
                     # items that differ by their values only are of one kind
                     item = (*item, int(rolling(template, len(template), salt=len(template) | 1 << 33)[0].view(np.int64)))
+                    back = _back(values)
                     h, good = _windows(template, kinds == LITERAL, width)
-                    rows += [(*item, len(template), width, t, False, int(h[t].view(np.int64)), _slots(kinds, values, t, width)) for t in np.flatnonzero(good).tolist()]
+                    rows += [(*item, len(template), width, t, False, int(h[t].view(np.int64)), _slots(kinds, values, t, width), _slots(kinds, back, t, width)) for t in np.flatnonzero(good).tolist()]
                     # in a copy without capitals names look like literal words
                     name = kinds == NAME
                     plain = np.where(name, LITERAL, kinds)
                     h, good = _windows(np.where(name, values, template), plain == LITERAL, width)
                     good &= rolling_any(name, width)
-                    rows += [(*item, len(template), width, t, False, int(h[t].view(np.int64)), _slots(plain, values, t, width)) for t in np.flatnonzero(good).tolist()]
+                    rows += [(*item, len(template), width, t, False, int(h[t].view(np.int64)), _slots(plain, values, t, width), _slots(plain, back, t, width)) for t in np.flatnonzero(good).tolist()]
                     h = _plain(values, width)
-                    rows += [(*item, len(template), width, t, True, int(h[t].view(np.int64)), []) for t in range(len(h))]
-            columns = list(zip(*rows)) or [()] * 9
-            types = [pa.int64()] * 3 + [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+                    rows += [(*item, len(template), width, t, True, int(h[t].view(np.int64)), [], []) for t in range(len(h))]
+            columns = list(zip(*rows)) or [()] * 10
+            types = [pa.int64()] * 3 + [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in BENCH.split(", ")])
 
     return run
@@ -317,29 +332,58 @@ def _bitmap(bench: DataFrame) -> np.ndarray:
     return out
 
 
-def telling(windows: DataFrame) -> DataFrame:
-    """The windows that tell items apart, with the number of words that they cover as the item's size.
+def _matched(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """a with the columns of b that agree in `by`, nulls included."""
+    b = b.withColumnsRenamed({c: f"__{c}" for c in by})
+    return a.join(b, reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__{c}"]) for c in by]), how).drop(*[f"__{c}" for c in by])
 
-    An item all of whose windows are shared keeps them. Counts are partial sums, so a window that
-    every item has meets in one task as a row per kind only after it was counted.
+
+def parts(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows with what is known of their items, and the items with their classes.
+
+    A window that more than SHARED items have is `many`, one that items of more than SHARED kinds have
+    `common`. Items with the same `many` windows at the same distances, whose slots repeat their
+    values at the same places, are a class: a document matches these windows of all of them alike.
+    The smallest stands for it (`first`). `own` is the number of words under windows not common.
+    Counts are partial sums, so a window that every item has meets in one task as a row per kind only.
     """
     at = ["hash", "width"]
-    each = windows.select(*at, "like", "item_id", "item_hash").distinct()
-    kinds = each.groupBy(*at, "like").agg(F.min(F.struct("item_id", "item_hash")).alias("first"), F.count(F.lit(1)).alias("items"))
-    common_ = kinds.groupBy(*at).agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SHARED).select(*at, F.lit(True).alias("common"))
-    marked = cut(windows.join(common_, at, "left").withColumn("common", F.coalesce("common", F.lit(False))), "marked")
-    item = ["item_id", "item_hash"]
-    covered = F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("common"), F.sequence("t", F.col("t") + F.col("width") - 1)))))
-    sizes = marked.groupBy(F.col("item_id").alias("i"), F.col("item_hash").alias("ih")).agg(F.size(covered).alias("own"))
-    marked = marked.join(sizes, marked["item_id"].eqNullSafe(sizes["i"]) & marked["item_hash"].eqNullSafe(sizes["ih"])).drop("i", "ih")
-    kept = marked.where(~F.col("common") | (F.col("own") == 0)).withColumn("size", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("size")))
-    holder = kinds.where(F.col("items") > SHARED).select(*at, "like", F.col("first.item_id").alias("i"), F.col("first.item_hash").alias("ih"), F.lit(True).alias("many"))
-    kept = kept.join(holder, [*at, "like"], "left").where(F.col("many").isNull() | (F.col("item_id").eqNullSafe(F.col("i")) & F.col("item_hash").eqNullSafe(F.col("ih"))))
-    return kept.select(*[c.split()[0] for c in BENCH.split(", ")])
+    each = windows.select(*at, "like", *ITEM).distinct()
+    kinds = each.groupBy(*at, "like").agg(F.count(F.lit(1)).alias("items"))
+    held = kinds.groupBy(*at).agg(F.sum("items").alias("items"), F.count(F.lit(1)).alias("kinds")).where(F.col("items") > SHARED)
+    held = held.select(*at, F.lit(True).alias("many"), (F.col("kinds") > SHARED).alias("common"))
+    marked = windows.drop("like").join(held, at, "left").fillna(False, ["many", "common"])
+    marked = cut(marked, "marked")
+    own = F.collect_list(F.when(~F.col("common"), F.sequence("t", F.col("t") + F.col("width") - 1)))
+    part = F.collect_set(F.when(F.col("many"), F.struct("exact", "t", "width", "hash", "back")))
+    items = marked.groupBy(*ITEM).agg(F.max("size").alias("size"), F.size(F.array_distinct(F.flatten(own))).alias("own"), F.sort_array(part).alias("part"))
+    start = F.array_min(F.transform("part", lambda x: x["t"]))
+    near = F.transform("part", lambda x: F.struct(x["exact"], x["t"] - start, x["width"], x["hash"], x["back"]))
+    items = items.select(*ITEM, "size", "own", F.when(F.size("part") > 0, F.xxhash64(near)).alias("class"))
+    items = cut(items, "items")
+    first = items.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("size", *ITEM)).alias("least"))
+    items = items.join(first, "class", "left").withColumn("first", F.col("item_hash").eqNullSafe(F.col("least.item_hash")) & F.col("item_id").eqNullSafe(F.col("least.item_id")))
+    items = cut(items, "classes")
+    return cut(_matched(marked.drop("size", "back"), items.drop("least"), ITEM), "benchmark"), items
+
+
+def _covered(joined: DataFrame, by: list[str]) -> DataFrame:
+    """Words that the consistent diagonals of each pair cover, and those of them under windows not common."""
+    match = F.struct("t", "width", "common", F.arrays_zip(F.col("bslots").alias("a"), F.col("slots").alias("b")).alias("slots"))
+    diagonal = joined.groupBy(*by, "exact", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.collect_set(match).alias("found"))
+    pairs = F.array_distinct(F.flatten(F.transform("found", lambda x: x["slots"])))
+    diagonal = diagonal.withColumn("pairs", pairs).withColumn("values", F.array_distinct(F.transform("pairs", lambda s: s["a"])))
+    diagonal = diagonal.withColumn("broken", F.filter("values", lambda a: F.size(F.filter("pairs", lambda s: s["a"] == a)) > 1))
+    diagonal = diagonal.where(F.size("broken") <= BROKEN_SLOTS * F.size("values"))
+    diagonal = diagonal.withColumn("found", F.filter("found", lambda x: ~F.exists(x["slots"], lambda s: F.array_contains(F.col("broken"), s["a"]))))
+    words = lambda found: F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["t"], x["t"] + x["width"] - 1))))
+    diagonal = diagonal.withColumn("all", words("found")).withColumn("telling", words(F.filter("found", lambda x: ~x["common"])))
+    count = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
+    return diagonal.groupBy(*by).agg(count("all").alias("n_words"), count("telling").alias("n_own"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, text_hash, item_id, item_hash, n_words (item words covered), share of each contaminated pair.
+    """doc_id, text_hash, item_id, item_hash, n_words (item words covered), share, n_items, telling of each contaminated pair.
 
     Null texts have no windows; windows without enough literal words match by their own words
     only, others also with other values, and an item shorter than the window is matched whole. Rows of docs with a null doc_id or alike in
@@ -347,42 +391,86 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_wor
     Items alike in item_id are told apart by item_hash; alike in both they are one. Empty tables
     give an empty result; further columns of either table are ignored, whatever their names.
 
-    Windows that items of more than SHARED kinds have, such as a common instruction, say nothing
-    of an item: they are left out of the words that count and of the size that the share is of,
-    unless the item has no others. Of more than SHARED items of one kind that share a window the
-    first has it.
+    A pair that meets in a window of few items has a row of its own, counted over all windows of the item.
+    All pairs of a document with items of one class (see `members`) that meet only in the windows which make
+    the class are one row: item_id and share are those of the class's smallest item, n_items is the
+    number of its items that the document contaminates and that have no row of their own. telling says whether
+    one of these items reaches the limits by the windows alone that no more than SHARED kinds of items have, of
+    the words under these (of all its words, if it has no such window): a common instruction tells no item.
     """
     spark = docs.sparkSession
-    common.prepare(spark)
-    items = common.columns(benchmark, "item_id long, text string").withColumn("item_hash", F.xxhash64("text"))
-    bench = cut(telling(cut(items.mapInArrow(_bench_rows(window), BENCH), "windows")), "benchmark")
-    widths = tuple(sorted(r.width for r in bench.select("width").distinct().collect()))  # at most `window`
-    shared = spark.sparkContext.broadcast(_bitmap(bench))
+    bench, items = _benchmark(benchmark, window)
+    sought = bench.where(~F.col("many") | F.col("first"))
+    widths = tuple(sorted(r.width for r in sought.select("width").distinct().collect()))  # at most `window`
+    shared = spark.sparkContext.broadcast(_bitmap(sought))
     rows = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
     found = rows.mapInArrow(_doc_rows(widths, shared), DOC)
-    b = bench.select("item_id", "item_hash", "size", F.col("width").alias("bw"), "t", "exact", F.col("hash").alias("bh"), F.col("slots").alias("bslots"))
-    joined = found.join(b, (F.col("hash") == F.col("bh")) & (F.col("width") == F.col("bw")))
-    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
-    match = F.struct("t", "width", F.arrays_zip(F.col("bslots").alias("a"), F.col("slots").alias("b")).alias("slots"))
-    diagonal = joined.groupBy(*pair, "exact", (F.col("d") - F.col("t")).alias("diagonal")).agg(F.max("size").alias("size"), F.collect_set(match).alias("found"))
-    pairs = F.array_distinct(F.flatten(F.transform("found", lambda x: x["slots"])))
-    diagonal = diagonal.withColumn("pairs", pairs).withColumn("values", F.array_distinct(F.transform("pairs", lambda s: s["a"])))
-    diagonal = diagonal.withColumn("broken", F.filter("values", lambda a: F.size(F.filter("pairs", lambda s: s["a"] == a)) > 1))
-    diagonal = diagonal.where(F.size("broken") <= BROKEN_SLOTS * F.size("values"))
-    diagonal = diagonal.withColumn("found", F.filter("found", lambda x: ~F.exists(x["slots"], lambda s: F.array_contains(F.col("broken"), s["a"]))))
-    covered = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["t"], x["t"] + x["width"] - 1))))
-    pairs = diagonal.groupBy(*pair).agg(F.max("size").alias("size"), F.size(F.array_distinct(F.flatten(F.collect_list(covered)))).cast("long").alias("n_words"))
-    pairs = pairs.withColumn("share", F.col("n_words") / F.col("size"))
-    return pairs.where((F.col("n_words") >= min_words) | (F.col("share") >= min_share)).select(*pair, "n_words", "share")
+    b = sought.withColumnsRenamed({"hash": "bh", "width": "bw", "slots": "bslots"})
+    joined = found.join(b, (F.col("hash") == F.col("bh")) & (F.col("width") == F.col("bw"))).drop("bh", "bw")
+    doc = ["doc_id", "text_hash"]
+    what = [*doc, *ITEM, "n_words", "share", "n_items", "telling"]
+
+    def tells(x):
+        enough = (F.col("n_own") >= min_words) | (F.col("n_own") / x["own"] >= min_share)
+        return F.when(x["own"] > 0, enough).otherwise((F.col("n_words") >= min_words) | (F.col("n_words") / x["size"] >= min_share))
+
+    def holds(x):
+        return tells(x) | (F.col("n_words") >= min_words) | (F.col("n_words") / x["size"] >= min_share)
+
+    def number(of, test):
+        return F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + F.when(test(x), x["n"]).otherwise(0))
+
+    def alone(pairs):
+        x = {"size": F.col("size"), "own": F.col("own")}
+        pairs = pairs.where(holds(x)).withColumn("share", F.col("n_words") / F.col("size"))
+        return pairs.select(*what[:-2], F.lit(1).cast("long").alias("n_items"), tells(x).alias("telling"))
+
+    pair = [*doc, *ITEM, "size", "own"]
+    if items.where(F.col("class").isNotNull()).isEmpty():
+        return alone(_covered(joined, pair))
+    joined = cut(joined.select(*pair, "class", "many", "common", "exact", "t", "width", "d", "hash", "bslots", "slots"), "found")
+    single, many = joined.where(~F.col("many")), joined.where("many")
+    # a pair with a window of its own is counted over the item's other windows as well
+    having = single.where(F.col("class").isNotNull()).select(*pair, "class").distinct()
+    hits = _matched(having, many.select(*doc, "class", "hash", "width", "d", "slots").distinct(), [*doc, "class"])
+    theirs = bench.where("many").select(*ITEM, "hash", "width", "t", "exact", "common", F.col("slots").alias("bslots"))
+    columns = [*pair, "common", "exact", "t", "width", "d", "bslots", "slots"]
+    own = alone(_covered(single.select(*columns).unionByName(_matched(hits, theirs, [*ITEM, "hash", "width"]).select(*columns)), pair))
+    # the others of its class are counted together
+    group = F.struct("size", "own", "n")
+    classes = items.where(F.col("class").isNotNull()).groupBy("class", "least", "size", "own").agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.groupBy("class", "least").agg(F.collect_list(group).alias("have"))
+    less = having.groupBy(*doc, "class", "size", "own").agg(F.count(F.lit(1)).alias("n")).groupBy(*doc, "class").agg(F.collect_list(group).alias("less"))
+    together = _matched(_covered(many, [*doc, "class"]).join(classes, "class"), less, [*doc, "class"], "left")
+    together = together.withColumn("less", F.coalesce("less", F.array().cast(less.schema["less"].dataType)))
+    together = together.withColumn("n_items", number("have", holds) - number("less", holds)).withColumn("telling", number("have", tells) > number("less", tells))
+    together = together.withColumns({c: F.col(f"least.{c}") for c in ITEM}).withColumn("share", F.col("n_words") / F.col("least.size"))
+    return own.unionByName(together.where(F.col("n_items") > 0).select(*what))
+
+
+def _benchmark(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    common.prepare(benchmark.sparkSession)
+    items = common.columns(benchmark, "item_id long, text string").withColumn("item_hash", F.xxhash64("text"))
+    return parts(cut(items.mapInArrow(_bench_rows(window), BENCH), "windows"))
+
+
+def members(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id and item_hash of each item of a class, class_item_id and class_item_hash of the item that stands for it in `matches`.
+
+    Items without windows that more than SHARED items have are in no class and not listed; an empty
+    table gives an empty result.
+    """
+    items = _benchmark(benchmark, window)[1].where(F.col("class").isNotNull())
+    return items.select(*ITEM, *[F.col(f"least.{c}").alias(f"class_{c}") for c in ITEM])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that no benchmark item contaminates, all columns as they are.
+    """The rows of docs that no benchmark item contaminates by windows that tell it, all columns as they are.
 
     Null and empty texts stay; very long ones are read whole. Repeated rows stay or go together;
     rows with a null doc_id are told apart by their text. Without items all rows stay; an empty
     table gives an empty result. Clashing names of columns do no harm.
     """
-    bad = cut(matches(docs, benchmark, **how).select("doc_id", "text_hash").distinct(), "contaminated")
+    bad = cut(matches(docs, benchmark, **how).where("telling").select("doc_id", "text_hash").distinct(), "contaminated")
     same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["text_hash"])
     return docs.join(bad, same, "left_anti")

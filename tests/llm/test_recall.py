@@ -330,6 +330,61 @@ def test_items_of_one_id_are_kept_apart(spark):
     assert {(r.doc_id, r.item_id, r.n_words) for r in got} == {(2, 7, 20), (2, None, 20)}
 
 
+def test_no_pair_is_lost_to_shared_windows(spark):
+    """Every pair by the plain rule, of which many hang on windows of more than SHARED items, is in a row."""
+    from mosaiq.llm import decontam
+
+    rng = random.Random(31)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    common = [words(n) for n in (6, 9, 12, 17)]
+    # items of one, two or no common passage and some words of their own; documents likewise
+    make = lambda: [w for p in rng.sample([*common, words(3), words(10), []], 3) for w in p] or words(5)
+    items = [(i, make()) for i in range(70)]
+    docs = [(i, words(4) + (make() if i % 2 else rng.choice(items)[1][rng.randint(0, 4) :]) + words(4)) for i in range(50)]
+    want, size = {}, {i: len(t) for i, t in items}
+    for i, d in docs:
+        for k, t in items:
+            n = min(8, len(t))
+            at = {tuple(d[j : j + n]) for j in range(len(d) - n + 1)}
+            covered = {p for j in range(len(t) - n + 1) if tuple(t[j : j + n]) in at for p in range(j, j + n)}
+            if len(covered) >= 13 or 2 * len(covered) >= len(t):
+                want[i, k] = len(covered)
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in x], f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    rows, of = decontam.matches(*frames).collect(), {}
+    for m in decontam.members(frames[1]).collect():
+        of.setdefault(m.class_item_id, set()).add(m.item_id)
+    assert max(map(len, of.values())) > decontam.SHARED
+    links, got = {}, {}
+    for r in rows:
+        links[r.doc_id] = links.get(r.doc_id, 0) + r.n_items
+        for k in {r.item_id} | (of.get(r.item_id, set()) if r.n_items > 1 else set()):
+            got.setdefault((r.doc_id, k), set()).add(r.n_words)
+    # as many links as pairs, and each pair's words in a row of the item or of its class
+    assert links == {i: sum(d == i for d, _ in want) for i in {d for d, _ in want}}
+    assert all(n in got.get(pair, {n}) for pair, n in want.items()) and len(rows) < len(want)
+    assert all(r.share == r.n_words / size[r.item_id] for r in rows)
+
+
+def test_every_item_of_a_generated_question_is_linked(spark):
+    """Items that differ by their values, also as a class whose slots repeat values at other places than another's."""
+    from mosaiq.llm import decontam
+
+    family = "after lunch the old farmer near {} sells {} baskets of fresh pears and {} small pots of honey at the market in town"
+    places = "Rome Oslo Bern Kiel Graz Nice Bath York Cork Lyon Turin Malmo".split()
+    items = [(i, family.format(places[i], i + 20, i + 40)) for i in range(12)] + [(100 + i, family.format(places[i], i + 60, i + 60)) for i in range(10)]
+    docs = [(1, family.format("Riga", 700, 800)), (2, family.format("Riga", 900, 900)), (3, items[4][1]), (4, items[15][1].lower()), (5, "after lunch the old farmer near the river sells nothing at all")]
+    frames = [spark.createDataFrame(x, f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    rows = decontam.matches(*frames).collect()
+    links, kept = {}, {r.doc_id for r in decontam.clean(*frames).collect()}
+    for r in rows:
+        links[r.doc_id] = links.get(r.doc_id, 0) + r.n_items
+        assert r.telling and r.item_hash is not None
+    whole = {(r.doc_id, r.item_id) for r in rows if r.n_items == 1 and r.share == 1.0}
+    print(links, whole)
+    assert {(3, 4), (4, items[15][0])} <= whole and kept == {5}
+    assert {k: links[k] for k in (1, 2)} == {1: 12, 2: 22}
+
+
 # --- 10 license scan ---------------------------------------------------------------------------
 
 
