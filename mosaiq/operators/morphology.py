@@ -158,41 +158,47 @@ def near_boundary(pixels: DataFrame, radius: int) -> DataFrame:
     return images(pixels).mapInArrow(_near_edges(radius), IMAGES)
 
 
-NETWORK = "image_id string, nodes long, edges long, components long, network_euler_number long, longest_chain_length long, endpoints long"
+NETWORK = "image_id string, nodes long, edges long, components long, network_euler_number long, longest_chain_length long, endpoints long, segments long, segment_pixels long"
 
 
 def _networks(batches):
     for batch in batches:
         out = []
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            mask = _raster(labels) > 0
-            nodes, edges = kernels.skeleton_graph(mask)
+            s = kernels.thin(_raster(labels) > 0)
+            nodes, segments = kernels.skeleton_graph(s)
+            edges = {(min(a, b), max(a, b)) for a, b, _ in segments if a != b}
             parent = list(range(len(nodes)))
 
             def find(i: int, parent=parent) -> int:
                 while parent[i] != i:
+                    parent[i] = parent[parent[i]]
                     i = parent[i]
                 return i
 
             for a, b in edges:
                 parent[find(a)] = find(b)
             c = sum(find(i) == i for i in range(len(nodes)))
-            s = kernels.thin(mask)
-            out.append((image, len(nodes), len(edges), c, len(nodes) - len(edges) + c if nodes else 0, 0, int((s & (kernels.count_neighbours(s) == 1)).sum())))
-        columns = list(zip(*out)) or [()] * 7
+            ends = int((s & (kernels.count_neighbours(s) == 1)).sum())
+            out.append((image, len(nodes), len(edges), c, len(nodes) - len(edges) + c if nodes else 0, 0, ends, len(segments), sum(len(path) for *_, path in segments)))
+        columns = list(zip(*out)) or [()] * 9
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[c.split()[0] for c in NETWORK.split(", ")])
 
 
 def boundary_networks(mask: DataFrame) -> DataFrame:
-    """Nodes, edges and Euler number (V - E + C) of the thinned mask's graph."""
+    """Nodes, edges (pairs of nodes that a segment joins) and Euler number (V - E + C) of the thinned
+    mask's graph; all its segments and their pixels (the last node with each, the first not).
+
+    longest_chain_length is the reference's placeholder, always 0.
+    """
     return images(mask).mapInArrow(_networks, NETWORK)
 
 
 def _edges(batches):
     for batch in batches:
         for image, labels in zip(batch.column("image_id").to_pylist(), batch.column("labels"), strict=True):
-            nodes, edges = kernels.skeleton_graph(_raster(labels) > 0)
-            rows = [(a, b, *nodes[a], *nodes[b], len(path), [{"y": y, "x": x} for y, x in path]) for (a, b), path in edges.items()]
+            nodes, segments = kernels.skeleton_graph(kernels.thin(_raster(labels) > 0))
+            rows = [(a, b, *nodes[a], *nodes[b], len(path), [{"y": y, "x": x} for y, x in path]) for a, b, path in segments]
             columns = list(zip(*rows)) or [()] * 8
             point = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +208,7 @@ def _edges(batches):
 
 
 def skeleton_edges(mask: DataFrame) -> DataFrame:
-    """Edges between branch and end pixels of the thinned mask, with their pixels."""
+    """Segments between branch and end pixels of the thinned mask, with their pixels."""
     return images(mask).mapInArrow(
         _edges, "image_id string, src int, dst int, src_y int, src_x int, dst_y int, dst_x int, length int, path array<struct<y:int,x:int>>"
     )

@@ -125,6 +125,22 @@ def test_triangulation_decides_as_the_relational_form(spark):
     assert (0, 2) in want and want == {tuple(r)[1:3] for r in graph.delaunay(df, 0).collect()}
 
 
+def test_skeleton_segments(pixels):
+    import numpy as np
+
+    draw = lambda lines: np.array([[c == "1" for c in line] for line in lines])
+    loop = draw(["00000000000", "00001110000", "01110001110", "00001110000", "00000000000"])
+    nodes, segments = kernels.skeleton_graph(loop)
+    assert nodes == [(2, 1), (2, 3), (2, 7), (2, 9)]
+    assert sorted((a, b, len(p)) for a, b, p in segments) == [(0, 1, 2), (1, 2, 4), (1, 2, 4), (2, 3, 2)]
+    back = draw(["0000000", "0001100", "1110010", "0001100"])
+    assert sorted((a, b, len(p)) for a, b, p in kernels.skeleton_graph(back)[1]) == [(0, 1, 2), (1, 1, 6)]
+    line = pixels({"a": ["0" * 9, "011111110", "0" * 9]})
+    r = morphology.boundary_networks(line).first()
+    assert (r.nodes, r.edges, r.components, r.network_euler_number, r.segments, r.segment_pixels) == (2, 1, 1, 2, 1, 6)
+    assert [(e.src, e.dst, e.length) for e in morphology.skeleton_edges(line).collect()] == [(0, 1, 6)]
+
+
 def test_components_and_morphology():
     import numpy as np
 
