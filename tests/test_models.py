@@ -155,6 +155,20 @@ def test_primal_beyond_one_task_is_the_dual(spark):
         assert np.abs(predict(x) - wide[at](x)).max() < 0.06, at
 
 
+@pytest.mark.parametrize("times", [1, 60])
+def test_support_vectors_are_the_same_at_any_size(spark, times):
+    """Every row sixty times at a sixtieth of the cost, and once, are the same problem; the dual is the yardstick."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 2))
+    y = 5 + 3 * x[:, 0] + np.cos(2 * x[:, 1])
+    df = table(spark, np.repeat(x, times, axis=0), np.repeat(y, times), np.zeros(100 * times, int))
+    data = models.numeric(df, names(x), "y")
+    predict = kernel_models.fit_svr(data, names(x), "y", [{"kernel": "rbf", "C": 6.0 / times}], [-1])["rbf", 6.0 / times, -1]
+    z, kernel = (x - x.mean(0)) / x.std(0), kernel_models.svr_kernel("rbf", 2)
+    coef, offset = kernel_models.svr_dual(z, y, kernel, 6.0, tolerance=1e-5)
+    assert np.abs(predict(x) - kernel(z, z) @ coef - offset).max() < 0.02
+
+
 # --- Gaussian processes ----------------------------------------------------------------------------
 
 
