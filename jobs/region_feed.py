@@ -45,15 +45,16 @@ def read(spark: SparkSession, out: str, table: str) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, *by: str) -> None:
-    """Replaces the partitions that df has rows of, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replaces the partitions that df has rows of, and no others; a partition is written by one task, into one file."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    df.repartition(tasks, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def region_table(seeds: DataFrame, settings: dict) -> DataFrame:
     """The regions of the seeds' rasters."""
     block = F.floor(F.col("image_id").cast("long") / settings["images_per_block"]).alias("block")
     odd = outlier(F.col("area"), settings["area_low"], settings["area_high"]).alias("outlier")
-    found = regions.geometry(raster.synthetic_pixels(seeds))
+    found = regions.geometry(regions.sums(raster.synthetic_images(seeds), 1))
     return found.select("image_id", "label", "area", "centroid_y", "centroid_x", "equivalent_diameter", "rectangularity", odd, block)
 
 

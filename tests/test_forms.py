@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import distances, graph, models, morphology, neighbours, stats, tiles
+from mosaiq.operators import distances, graph, models, morphology, neighbours, regions, stats, tiles
 from mosaiq.sources import raster
 
 #: Seeds of an image with three points in line on the rim.
@@ -129,3 +129,15 @@ def test_model_rows_are_dealt_by_number(spark):
     """One small file is one task as read; the forests' work is in its rows."""
     df = spark.range(20_000).coalesce(1).withColumnRenamed("id", "k")
     assert models.dealt(df, "k").rdd.getNumPartitions() == 4 and models.dealt(df.limit(10), "k").rdd.getNumPartitions() == 1
+
+
+def test_regions_from_images_are_those_from_pixels(spark):
+    """Also with null places, gaps between labels and an image without regions; no pixel becomes a row."""
+    rows = [("a", [[0, 7, 7, None], [2, 2, 7, 0], [0, 2, 7, 7]]), ("b", [[0, 0], [0, 0]]), ("c", [[5]]), ("d", [])]
+    images = spark.createDataFrame(rows, raster.IMAGES)
+    pixels, sums = raster.flat(images), regions.sums(images)
+    for form in (regions.geometry, regions.central_moments):
+        want, got = form(pixels), form(sums)
+        assert want.dtypes == got.dtypes
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+    assert "explode" not in regions.geometry(sums)._jdf.queryExecution().executedPlan().toString()
